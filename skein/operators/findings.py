@@ -16,7 +16,7 @@ def admit_findings(rows: DataFrame) -> DataFrame:
         F.when(F.coalesce(F.btrim("verdict"), F.lit("")) == "", "missing-verdict")
         .when(F.coalesce(F.btrim("coverage"), F.lit("")) == "", "missing-coverage")
         .when((F.col("method") == "derived") & (F.coalesce(F.size("claims"), F.lit(0)) < 1), "missing-claims")
-        .when((F.col("method") == "evidential") & F.coalesce(F.col("receipts"), F.lit(0)).__lt__(1), "missing-receipts")
+        .when((F.col("method") == "evidential") & (F.coalesce(F.col("receipts"), F.lit(0)) < 1), "missing-receipts")
         .when(F.col("scope") > F.col("grounds"), "scope-above-grounds")
     )
     return rows.withColumn("reason", reason)
@@ -44,12 +44,12 @@ def finding_conflicts(rows: DataFrame) -> DataFrame:
         a.where(derived.format("a")).withColumn("claim", F.explode("a_claims"))
         .join(b.where(derived.format("b")).withColumn("claim", F.explode("b_claims")), "claim")
         .where((F.col("a_namespace") == F.col("b_namespace")) & (F.col("a_outcome") != F.col("b_outcome")) & later)
-        .groupBy("a_id", "b_id").agg(F.array_join(F.sort_array(F.collect_set("claim")), ",").alias("shared"))
+        .groupBy("a_id", "b_id").agg(F.array_join(F.sort_array(F.collect_set("claim")).cast("array<string>"), ",").alias("shared"))
         .select("a_id", "b_id", F.lit("claims").alias("reason"), "shared")
     )
     by_corpus = a.join(b, (F.col("a_namespace") == F.col("b_namespace")) & (F.col("a_corpus") == F.col("b_corpus"))).where(
         (F.col("a_outcome") != F.col("b_outcome")) & (F.col("a_method") != F.col("b_method")) & (F.col("a_conclusive") | F.col("b_conclusive")) & later
-    ).select("a_id", "b_id", F.lit("corpus").alias("reason"), F.col("a_corpus").alias("shared"))
+    ).select("a_id", "b_id", F.lit("corpus").alias("reason"), F.col("a_corpus").cast("string").alias("shared"))
     return by_claim.unionByName(by_corpus).toDF("newer", "older", "reason", "shared")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package with QUERIES and SQL, by name.
-MODULES = ["texts", "graphs", "metrics"]
+MODULES = ["text_graph", "texts", "graphs", "metrics", "assertions"]
 
 
 def queries() -> dict:
