@@ -412,7 +412,7 @@ def run_agreement(spark, sf):
 
 def tie_breaker_value(spark, sf):
     li = table(spark, sf, "lineitem")
-    rows = li.select("l_orderkey", F.col("l_linenumber").alias("id"), F.floor(F.col("l_quantity") / 10).alias("edits"), F.element_at(F.array(F.lit(1.0), F.lit(0.7), F.lit(0.3)), (F.pmod("l_suppkey", F.lit(3)) + 1).cast("int")).alias("weight"), (F.col("l_returnflag") == "R").alias("valid"))
+    rows = li.select("l_orderkey", (F.col("l_partkey") * 100 + F.col("l_linenumber")).alias("id"), F.floor(F.col("l_quantity") / 10).alias("edits"), F.element_at(F.array(F.lit(1.0), F.lit(0.7), F.lit(0.3)), (F.pmod("l_suppkey", F.lit(3)) + 1).cast("int")).alias("weight"), (F.col("l_returnflag") == "R").alias("valid"))
     return D.tie_breaker_value(rows, "l_orderkey").na.fill(-1)
 
 
@@ -515,8 +515,8 @@ _SQL = {
     "fi4": f"with {FIND}, {_RESOLVED} select * from res",
     "fi5": f"""with {_QV}, f as (select vec_id as id, s, s - case when vec_id % 4 + vec_id % 3 > 0 then 0.0 else 0.05 * least(1.0, (vec_id % 300) / 180) end + least(0.05, 0.01 * (vec_id % 3) + 0.002 * (vec_id % 4)) as sc from sm where s >= 0)
         select id, round(s, 6) + 0.0 as similarity, round(sc, 6) + 0.0 as score from f order by round(f.sc, 9) desc, id limit 20""",
-    "fi6": f"""with {FIND}, g as (select *, outcome = '1-URGENT' as guard, recalls + 4 * cites as use from fi), x as (select *, use = 0 and date_diff('day', cast(at as date), date '1998-08-01') > 180 and not guard as expired from g),
-        k as (select *, row_number() over (partition by expired order by use, at, id) as rn, count(*) over (partition by expired) as n from x)
+    "fi6": f"""with {FIND}, g as (select *, outcome = '1-URGENT' as guard, recalls + 4 * cites as use from fi), x as (select *, use = 0 and date_diff('day', cast("at" as date), date '1998-08-01') > 180 and not guard as expired from g),
+        k as (select *, row_number() over (partition by expired order by use, "at", id) as rn, count(*) over (partition by expired) as n from x)
         select id, case when expired then 'archived' when rn <= n - 5000 and not guard then 'archived' when rn <= n - 5000 then 'conflict-held' else 'hot' end as fate from k""",
     "fi7": """with s as (select distinct l_orderkey as id, l_suppkey as name, l_returnflag as value from lineitem), n as (select s_suppkey as name, case when s_acctbal > 3000 then 'A' else 'N' end as now from supplier where s_suppkey % 5 <> 0)
         select id, string_agg(name || ':' || value || '>' || coalesce(now, '-'), ';' order by name || ':' || value || '>' || coalesce(now, '-')) as changes from s left join n using (name) where value is distinct from now group by id""",
@@ -537,7 +537,7 @@ _SQL = {
     "qe2": "with f as (select distinct o_custkey as run, o_orderpriority || '/' || o_orderstatus as claim from orders) select run, round(count(*) filter (where claim in ('1-URGENT/F', '2-HIGH/O', '5-LOW/P')) / 3, 6) as recall, count(*) filter (where claim = '3-MEDIUM/P') as violations from f group by run",
     "qe3": """with p as (select l_linestatus as corpus, l_orderkey as segment, l_linenumber % 3 as run, string_agg(distinct l_returnflag, '|' order by l_returnflag) as claims from lineitem group by all), s as (select corpus, segment, count(*) as runs, count(distinct claims) as kinds from p group by all having count(*) > 1)
         select corpus, count(*) as segments, round(avg((kinds = 1)::int), 6) as agreement from s group by corpus""",
-    "qe4": """with r as (select l_orderkey, l_returnflag = 'R' as valid, row_number() over (partition by l_orderkey order by floor(l_quantity / 10), l_linenumber) as p, row_number() over (partition by l_orderkey order by floor(l_quantity / 10), ([1.0, 0.7, 0.3])[l_suppkey % 3 + 1] desc, l_linenumber) as w from lineitem)
+    "qe4": """with r as (select l_orderkey, l_returnflag = 'R' as valid, row_number() over (partition by l_orderkey order by floor(l_quantity / 10), l_partkey * 100 + l_linenumber) as p, row_number() over (partition by l_orderkey order by floor(l_quantity / 10), ([1.0, 0.7, 0.3])[l_suppkey % 3 + 1] desc, l_partkey * 100 + l_linenumber) as w from lineitem)
         select l_orderkey, coalesce(min(p) filter (where valid), -1)::int as plain, coalesce(min(w) filter (where valid), -1)::int as weighted from r group by 1""",
     "qe5": "with r as (select p_brand, row_number() over (partition by p_brand order by p_size, p_partkey)::double as x, row_number() over (partition by p_brand order by p_retailprice, p_partkey)::double as y from part) select p_brand, round(corr(x, y), 6) + 0.0 as rho from r group by p_brand",
     "qe6": """with k as (select distinct l_orderkey as set_id, l_suppkey as st from lineitem where l_linestatus = 'F'), f as (select distinct l_orderkey as found_id, l_suppkey as st from lineitem where l_returnflag <> 'A'), nk as (select set_id, count(*) as nk from k group by 1), nf as (select found_id, count(*) as nf from f group by 1),
