@@ -27,12 +27,12 @@ class UnitTable:
         for text in texts:
             units = cut(text)
             got = list(map(get, units))
-            if None in got:
+            try:
+                done.append(b"".join(got))
+            except TypeError:  # there is a None
                 at = [i for i, g in enumerate(got) if g is None]
                 short.append((len(done), got, at, [units[i] for i in at]))
                 done.append(b"")
-            else:
-                done.append(b"".join(got))
         missing = set().union(*(units for *_, units in short))
         if len(self.young) + len(missing) > self.limit:
             self.old, self.young = self.young, {"": b""}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import lru_cache
 
@@ -111,44 +112,79 @@ class WaveletMatrix:
 
 #: A separator for many units in one text: a symbol that is a match of its own between blanks.
 _GAP = "␀"
+#: Below this, Python lower-cases and tells letters as the tokenizer does, but for U+0130.
+_PLAIN = "ɐ"
 
 
 @lru_cache(maxsize=2)
 def _worker(path: str, wide: bool):
     """The tokenizer behind a table of white-space-separated units. The tokenizer lower-cases,
-    normalizes (NFC) and drops white space, so that texts may be cut at blanks and line feeds."""
-    import json
+    normalizes (NFC) and drops white space, so that texts may be cut at blanks and line feeds.
 
+    A unit of letters is one match, and so is a full stop or comma after it: such words are
+    encoded as one text, lower-cased beforehand, and told apart by their ends of words.
+    """
     from tokenizers import Tokenizer
 
-    kind = "<u4" if wide else "<u2"
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    bare = Tokenizer.from_str(json.dumps(json.loads(tokenizer.to_str()) | {"normalizer": None}))
-    bare.encode_special_tokens = True
-    gap = np.array(bare.encode(_GAP, add_special_tokens=False).ids)
+    kind = np.dtype("<u4" if wide else "<u2")
+    spec = json.loads(Tokenizer.from_file(path).to_str())
+
+    @lru_cache(maxsize=3)
+    def tokenizer(name: str):
+        own = {"whole": {}, "bare": {"normalizer": None}}.get(name)
+        if own is None:  # words: blanks are all that parts them
+            bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+            own = {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytes_only]}}
+        made = Tokenizer.from_str(json.dumps(spec | own))
+        made.encode_special_tokens = True
+        return made
+
+    def ids(name: str, text: str) -> np.ndarray:
+        return np.array(tokenizer(name).encode_batch_fast([text], add_special_tokens=False)[0].ids, kind)
+
+    last = np.zeros(1 << 8 * min(kind.itemsize, 3), bool)
+    last[[i for token, i in spec["model"]["vocab"].items() if token.endswith("</w>")]] = True
+    gap, stops = ids("bare", _GAP), {c: ids("bare", c).tobytes() for c in ".,"}
+
+    def parts(found: np.ndarray, ends: np.ndarray, skip: int):
+        raw, a, w = found.tobytes(), 0, kind.itemsize
+        for b in ends.tolist():
+            yield raw[a * w : b * w]
+            a = b + skip
 
     def encode(units: list[str]) -> list[bytes]:
-        done, plain = {}, []
-        rest = []
+        done, words, stopped, mixed, rest = {}, {}, [], [], []
         for u in units:
-            (plain if max(u) < "ɐ" else rest).append(u)  # there, Python lower-cases alike
-        for u, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            done[u] = np.array(e.ids, kind).tobytes()
-        for k in range(0, len(plain), 20_000):
-            part = plain[k : k + 20_000]
-            line = f" {_GAP} ".join(part)
-            found = np.array(bare.encode_batch_fast([unicodedata.normalize("NFC", line).lower()], add_special_tokens=False)[0].ids)
+            if not u.isascii() and (max(u) >= _PLAIN or "İ" in u):
+                rest.append(u)
+            elif u.isalpha():
+                words[u] = u.lower()
+            elif u[-1] in stops and u[:-1].isalpha():
+                words[u[:-1]] = u[:-1].lower()
+                stopped.append(u)
+            else:
+                mixed.append(u)
+        distinct = list(dict.fromkeys(words.values()))
+        plain = {}
+        for k in range(0, len(distinct), 20_000):
+            part = distinct[k : k + 20_000]
+            found = ids("words", " ".join(part))
+            plain.update(zip(part, parts(found, np.flatnonzero(last[found]) + 1, 0)))
+        done.update((u, plain[w]) for u, w in words.items())
+        done.update((u, done[u[:-1]] + stops[u[-1]]) for u in stopped)
+        for k in range(0, len(mixed), 20_000):
+            part = mixed[k : k + 20_000]
+            found = ids("bare", unicodedata.normalize("NFC", f" {_GAP} ".join(part)).lower())
             hits = np.flatnonzero(found == gap[0])
             for j in range(1, len(gap)):
                 hits = hits[hits + j < len(found)]
                 hits = hits[found[hits + j] == gap[j]]
-            a, raw, w = 0, found.astype(kind).tobytes(), np.dtype(kind).itemsize
-            for u, b in zip(part, [*hits.tolist(), len(found)]):
-                done[u], a = raw[a * w : b * w], b + len(gap)
+            done.update(zip(part, parts(found, np.r_[hits, len(found)], len(gap))))
+        for u, e in zip(rest, tokenizer("whole").encode_batch_fast(rest, add_special_tokens=False) if rest else []):
+            done[u] = np.array(e.ids, kind).tobytes()
         return [done[u] for u in units]
 
-    return UnitTable(encode)
+    return UnitTable(encode, 300_000)
 
 
 def write_tokens(
@@ -178,7 +214,7 @@ def write_tokens(
             types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(id_type) if id_type else None, pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=["part", "shard", "before", "ids", "lengths", "n_tokens", "zeros", "planes", "ranks"])
 
-        for block in blocks(batches, chars=4_000_000):
+        for block in blocks(batches, chars=2_000_000):
             found = iter(table.texts([t for _, texts in block for t in texts], cut))
             for batch, texts in block:
                 for name in batch.column(0).to_pylist():
