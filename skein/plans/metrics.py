@@ -205,8 +205,8 @@ def similarity_search_batch(spark, sf):
 
 def question_context(spark, sf):
     v = _vectors(spark, sf)
-    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    near = V.similarity_search_batch(v.where("vec_id % 50 <> 0"), asked, 0.25, 2, "embedding", "vec_id").withColumnRenamed("vec_id", "entry")
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    near = V.similarity_search_batch(v, asked, 0.25, 3, "embedding", "vec_id").withColumnRenamed("vec_id", "entry").where("entry <> query_id")
     return question_context_of(asked.select(F.col("query_id").alias("question")), near)
 
 
@@ -428,9 +428,9 @@ SQL = {
     "ve1_similarity_search": f"with {_MEAN} select vec_id, round(similarity, 6) + 0.0 as similarity from sim where similarity >= 0.1 order by sim.similarity desc, vec_id limit 20",
     "ve2_similarity_search_batch": f"""with {_VEC}, c as (select q.vec_id as query_id, r.vec_id, sum(q.x * r.x) / (sqrt(sum(q.x * q.x)) * sqrt(sum(r.x * r.x))) as similarity from v q join v r on q.i = r.i where q.vec_id % 100 = 0 group by 1, 2)
         select query_id, (row_number() over (partition by query_id order by c.similarity desc, vec_id))::int as rank, vec_id, round(c.similarity, 6) + 0.0 as similarity from c where c.similarity >= 0.1 qualify row_number() over (partition by query_id order by c.similarity desc, vec_id) <= 5""",
-    "ga18_question_context": f"""with {_VEC}, c as (select q.vec_id as question, r.vec_id as entry, sum(q.x * r.x) / (sqrt(sum(q.x * q.x)) * sqrt(sum(r.x * r.x))) as s from v q join v r on q.i = r.i where q.vec_id % 50 = 0 and r.vec_id % 50 <> 0 group by 1, 2),
+    "ga18_question_context": f"""with {_VEC}, c as (select q.vec_id as question, r.vec_id as entry, sum(q.x * r.x) / (sqrt(sum(q.x * q.x)) * sqrt(sum(r.x * r.x))) as s from v q join v r on q.i = r.i where q.vec_id % 100 = 0 and q.vec_id <> r.vec_id group by 1, 2),
         k as (select *, row_number() over (partition by question order by s desc, entry) as rn from c where s >= 0.25), a as (select question, string_agg(entry, ',' order by rn) as entries from k where rn <= 2 group by 1)
-        select vec_id as question, coalesce(entries, '') as entries, case when entries is null then 'graph-only' else 'context-supported' end as status from embeddings left join a on a.question = vec_id where vec_id % 50 = 0""",
+        select vec_id as question, coalesce(entries, '') as entries, case when entries is null then 'graph-only' else 'context-supported' end as status from embeddings left join a on a.question = vec_id where vec_id % 100 = 0""",
     "ve3_concept_vector": f"with {_CENT} select label, i::int as i, round(x, 6) + 0.0 as x from con",
     "ve4_concept_similarity": f"with {_PAIRS} select a, b, round(similarity, 6) + 0.0 as similarity from cs",
     "ve6_section_graph": f"""with {_PAIRS}, b as (select a as x, b as y, similarity from cs union all select b, a, similarity from cs), k as (select * from b where similarity >= -1 qualify row_number() over (partition by x order by similarity desc, y) <= 2)
