@@ -8,6 +8,7 @@ of lengths, is joined back to the pieces by their rank among those of their leng
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -119,43 +120,53 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]
     return [g for groups in room.values() for g in groups]
 
 
-def fillings(largest: int, counts: dict[int, int], capacity: int, waste: int, most: int = 24) -> list[Filling]:
-    """Undominated ways to complete a sequence that holds one piece of the largest length, least
-    waste first, with at most ``waste`` unused. A filling that leaves room for a remaining piece,
-    or for a longer piece in place of one of its own, is dominated."""
-    sizes = sorted((s for s, n in counts.items() if n - (s == largest) > 0), reverse=True)
-    found: list[tuple[int, tuple[int, ...]]] = []
-    smallest = sizes[-1] if sizes else capacity + 1
+def fillings(largest: int, counts: dict[int, int], capacity: int, waste: int, most: int = 4) -> list[Filling]:
+    """Undominated ways to complete a sequence that holds one piece of the largest length, with at
+    most ``waste`` unused: those with the least waste, of them the ones of the fewest and longest
+    pieces. (A filling is dominated where another puts longer pieces in place of some of its own.)
 
-    def grow(chosen: tuple[int, ...], free: int, k: int, budget: list[int]) -> None:
-        if budget[0] <= 0 or len(found) >= 4 * most:
-            return
-        budget[0] -= 1
-        if free < smallest or k >= len(sizes):
-            used = {s: chosen.count(s) for s in chosen}
-            spare = lambda s: counts[s] - (s == largest) - used.get(s, 0)
-            if free <= waste and not any(0 < s <= free and spare(s) > 0 for s in sizes):
-                if not any(t > s and t - s <= free and spare(t) > 0 for s in set(chosen) for t in sizes):
-                    found.append((free, chosen))
+    Bit n of ``reach[k]`` says that k of the remaining lengths can sum to n; going back through
+    these sets from the largest length down finds the fillings.
+    """
+    counts = counts | {largest: counts[largest] - 1}
+    room = capacity - largest
+    sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
+    if not sizes:
+        return [((largest, 1),)] if room <= waste else []
+    reach, full = [1], (1 << room + 1) - 1
+    for _ in range(min(8, room // sizes[-1])):
+        sums = 0
+        for s in sizes:
+            sums |= reach[-1] << s
+        reach.append(sums & full)
+    found: list[tuple[int, ...]] = []
+
+    def back(chosen: tuple[int, ...], left: int, k: int) -> None:
+        if not k:
+            found.append(chosen)
             return
-        while k < len(sizes) and sizes[k] > free:
-            k += 1
-        if k == len(sizes):
-            return grow(chosen, free, k, budget)
-        spare = counts[sizes[k]] - (sizes[k] == largest) - chosen.count(sizes[k])
-        if spare > 0:
-            grow((*chosen, sizes[k]), free - sizes[k], k, budget)
-        grow(chosen, free, k + 1, budget)
-
-    grow((), capacity - largest, 0, [400])
-    out = []
-    for _, chosen in sorted(found)[:most]:
-        whole = (largest, *chosen)
-        out.append(tuple((s, whole.count(s)) for s in sorted(set(whole), reverse=True)))
-    return out
-
-
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000) -> list[tuple[Filling, int]]:
+        top = chosen[-1] if chosen else left
+        for s in sizes[bisect_left(sizes, -min(top, left), key=lambda x: -x) :]:
+            if len(found) == most or s * k < left:
+                return
+            if reach[k - 1] >> left - s & 1 and counts[s] > chosen.count(s):
+                back((*chosen, s), left - s, k - 1)
+
+    smallest = sizes[-1]
+    for target in range(room, max(-1, room - waste - 1), -1):
+        if room - target >= smallest and found:
+            break
+        for k in range(1, len(reach)):
+            if reach[k] >> target & 1:
+                back((), target, k)
+                if len(found) == most:
+                    break
+        if found:
+            break
+    return [tuple((s, w.count(s)) for s in sorted(set(w), reverse=True)) for w in ((largest, *c) for c in found)]
+
+
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 3_000) -> list[tuple[Filling, int]]:
     """[(filling, number of sequences)] that hold all pieces; as few sequences as were found.
 
     Depth-first branch and bound around the largest remaining length: each branch is an
@@ -168,31 +179,29 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000) -
     bound = -(-total // capacity)
     best = best_fit(counts, capacity)
     size = lambda plan: sum(n for _, n in plan)
-    stack = [(dict(counts), [], 0)]
-    while stack and size(best) > bound and nodes > 0:
-        left, plan, wasted = stack.pop()
+    fewest = size(best)
+    stack = [(dict(counts), [], 0, 0)]  # what is left, the plan so far and its length, its waste
+    while stack and fewest > bound and nodes > 0:
+        left, plan, used, wasted = stack.pop()
         nodes -= 1
-        if not left:
-            continue
-        allowed = (size(best) - 1) * capacity - total - wasted
+        allowed = (fewest - 1) * capacity - total - wasted
         if allowed < 0:
             continue
-        if plan and nodes % 16 == 0 or len(plan) % 64 == 63:
-            if size(plan) + size(rest := best_fit(left, capacity)) < size(best):
-                best = plan + rest
-        largest = max(left)
+        if not left or nodes % 50 == 0:
+            rest = best_fit(left, capacity) if left else []
+            if used + size(rest) < fewest:
+                best, fewest = plan + rest, used + size(rest)
+        if not left:
+            continue
         branches = []
-        for filling in fillings(largest, left, capacity, min(allowed, capacity)):
+        for filling in fillings(max(left), left, capacity, allowed):
             waste = capacity - sum(s * k for s, k in filling)
             times = min(left[s] // k for s, k in filling)
             if waste:
                 times = max(1, min(times, allowed // waste))
             after = left | {s: left[s] - k * times for s, k in filling}
-            branches.append(({s: n for s, n in after.items() if n}, [*plan, (filling, times)], wasted + waste * times))
+            branches.append(({s: n for s, n in after.items() if n}, [*plan, (filling, times)], used + times, wasted + waste * times))
         stack += branches[::-1]
-        for after, done, _ in branches:
-            if not after and size(done) < size(best):
-                best = done
     return best
 
 
