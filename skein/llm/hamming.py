@@ -37,28 +37,39 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     asked = queries.where(F.col(code_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(code_col).alias("q")).distinct()
     ranked = known.withColumn("rn", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("rn") <= need)
     entries = written(ranked.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
-    width = min(16, max(8, round(math.log2(max(entries.count(), 2)))))
-    cuts = list(range(0, 64, width))
-    piece = lambda c, lo: F.shiftrightunsigned(c, lo).bitwiseAND(F.lit((1 << min(width, 64 - lo)) - 1))
-    segment = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), piece(F.col("code"), lo).alias("key")) for s, lo in enumerate(cuts)]))
+    # A probe costs as much as some compares: keys are a few bits short of one entry a bucket.
+    m = math.ceil(64 / min(16, max(8, math.log2(max(entries.count(), 2)) - 3)))
+    edges = [64 * i // m for i in range(m + 1)]
+    cuts = [(a, b - a) for a, b in zip(edges, edges[1:])]
+    width = max(bits for _, bits in cuts)
+    piece = lambda c, cut: F.shiftrightunsigned(c, cut[0]).bitwiseAND(F.lit((1 << cut[1]) - 1))
+    segment = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), piece(F.col("code"), cut).alias("key")) for s, cut in enumerate(cuts)]))
     index = written(entries.select("code", F.get("ids", 0).alias("first"), F.size("ids").alias("n"), segment.alias("x")).select("code", "first", "n", "x.*"), "segments")
     open_q = written(asked.select("q").distinct(), "open")
-    best = done = None
+    best = done = probes = reached = None
     order = Window.partitionBy("q").orderBy("distance", "first", "code")
     for r in range(width + 1):
-        flips = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << width) - 1).cast("long")), lambda x: F.bit_count(x) == r)
-        own = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), piece(F.col("q"), lo).alias("own")) for s, lo in enumerate(cuts)]))
-        probes = open_q.select("q", own.alias("x")).select("q", "x.*", F.explode(flips).alias("flip")).select("q", F.col("s").alias("ps"), F.col("own").bitwiseXOR(F.col("flip")).alias("pkey"))
-        apart = [F.bit_count(piece(F.col("q").bitwiseXOR(F.col("code")), lo)) for lo in cuts]
+        if r == 0:
+            own = F.explode(F.array(*[F.struct(F.lit(s).alias("ps"), piece(F.col("q"), cut).alias("own"), F.lit(cut[1]).alias("bits")) for s, cut in enumerate(cuts)]))
+            probes = open_q.select("q", own.alias("x")).select("q", "x.*", F.lit(0).cast("long").alias("flip"))
+        else:  # one more bit, above those that are flipped: each choice of r bits comes up once
+            more = F.filter(F.array(*[F.lit(1 << b).cast("long") for b in range(width)]), lambda x: (x > F.col("flip")) & (x < F.pow(F.lit(2), F.col("bits"))))
+            probes = probes.join(open_q, "q", "left_semi").withColumn("x", F.explode(more)).select("q", "ps", "own", "bits", F.col("flip").bitwiseOR(F.col("x")).alias("flip"))
+        probes = written(probes, "probes")
+        bound = F.lit(64) if best is None else F.coalesce("kth", F.lit(64))  # farther ones cannot enter any more
+        sent = probes if best is None else probes.join(reached, "q", "left")
+        sent = sent.select("q", "ps", F.col("own").bitwiseXOR(F.col("flip")).alias("pkey"), bound.alias("most"))
+        apart = [F.bit_count(piece(F.col("q").bitwiseXOR(F.col("code")), cut)) for cut in cuts]
         first_met = F.lit(True)
         for s, d in enumerate(apart):
             first_met = first_met & F.when(F.col("s") > s, d > r).when(F.col("s") < s, d >= r).otherwise(True)
-        met = probes.join(index, (F.col("ps") == F.col("s")) & (F.col("pkey") == F.col("key")) & first_met).select(
-            "q", "code", "first", "n", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance")
-        )
+        # Probes are many more than their source's size tells, so that neither side may be sent whole.
+        distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+        near = (F.col("ps") == F.col("s")) & (F.col("pkey") == F.col("key")) & (distance <= F.col("most")) & first_met
+        met = sent.join(index.hint("shuffle_hash"), near).select("q", "code", "first", "n", distance.alias("distance"))
         seen = met if best is None else met.unionByName(best.join(open_q, "q", "left_semi"))
         best = written(seen.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= need).drop("rn"), "best")
-        reached = best.withColumn("sum", F.sum("n").over(order)).where(F.col("sum") >= need).groupBy("q").agg(F.min("distance").alias("kth"))
+        reached = written(best.withColumn("sum", F.sum("n").over(order)).where(F.col("sum") >= need).groupBy("q").agg(F.min("distance").alias("kth")), "reached")
         covered = len(cuts) * (r + 1) - 1 if r < width else 64
         finished = reached.where(F.col("kth") <= covered).select("q") if r < width else open_q
         open_now = written(open_q.join(finished, "q", "left_anti"), "open")
