@@ -27,7 +27,7 @@ def interleave(rows: DataFrame, shards: int, stratum_col: str = "source", id_col
     """
     rows = rows.drop("shard", "slot")
     total = rows.count()
-    buckets = max(32, total // BUCKET_ROWS)
+    buckets = max(256, total // BUCKET_ROWS)  # a third of all rows is many buckets, however small the table
     ties = [F.struct(*[F.col(c) for c in rows.columns])] if _orderable(rows) else []
     shuffled = rows.withColumn("_hash", F.xxhash64(F.lit(seed), F.col(id_col)))
     low = F.floor((F.col("_hash") / F.lit(2.0**64) + 0.5) * buckets)
