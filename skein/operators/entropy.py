@@ -79,8 +79,7 @@ def entropy_centrality(edges: DataFrame) -> DataFrame:
     """EN-6. (node, score): Q less Q without the node. Removing v changes only the terms of its own
     edges, which go, and of its neighbours' edges, whose degrees fall."""
     terms = written(edge_terms(edges), "terms")
-    n, s = terms.agg(F.sum("term")).first()[0], None
-    total, n = n or 0.0, strength(edges).count()
+    total, n = terms.agg(F.sum("term")).first()[0] or 0.0, strength(edges).count()
     near = both_ways(edges)
     own = terms.select(F.explode(F.array("src", "dst")).alias("v"), "term").groupBy("v").agg(F.sum("term").alias("own"))
     at_src = near.select(F.col("node").alias("v"), F.col("other").alias("src"), F.col("weight").alias("wi"))
