@@ -45,7 +45,7 @@ def _worker(path: str, pattern: str):
                 done[u], a = whole[a:b], b + 4
         return [done[u] for u in units]
 
-    return regex.compile(pattern).findall, UnitTable(encode)
+    return regex.compile(pattern).findall, UnitTable(encode, 600_000)
 
 
 def token_pieces(
