@@ -8,8 +8,9 @@ of lengths, is joined back to the pieces by their rank among those of their leng
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -120,88 +121,175 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]
     return [g for groups in room.values() for g in groups]
 
 
-def fillings(largest: int, counts: dict[int, int], capacity: int, waste: int, most: int = 4) -> list[Filling]:
+def best_fit_size(counts: dict[int, int], capacity: int) -> int:
+    """The number of sequences of ``best_fit``, without its plan."""
+    room, free, opened = [0] * (capacity + 1), 0, 0  # how many have so much room; bit n of free: some have n
+    for size in sorted(counts, reverse=True):
+        left = counts[size]
+        while left and (fits := free >> size):
+            at = size + (fits & -fits).bit_length() - 1
+            each = at // size
+            n = min(room[at], left // each)
+            for k, m in ((each, n), (left - each * n, 1 if n < room[at] else 0)):
+                if k and m:
+                    room[at] -= m
+                    room[at - k * size] += m
+                    free |= 1 << at - k * size
+                    left -= k * m
+            if not room[at]:
+                free &= ~(1 << at)
+        each = capacity // size
+        for k, m in ((each, left // each), (left % each, 1 if left % each else 0)):
+            if m:
+                room[capacity - k * size] += m
+                free |= 1 << capacity - k * size
+                opened += m
+    return opened
+
+
+def fillings(largest: int, counts: dict[int, int], capacity: int, waste: int) -> Iterator[Filling]:
     """Undominated ways to complete a sequence that holds one piece of the largest length, with at
-    most ``waste`` unused: those with the least waste, of them the ones of the fewest and longest
-    pieces. (A filling is dominated where another puts longer pieces in place of some of its own.)
+    most ``waste`` unused, lazily: by waste, within it those of the longest pieces first.
 
-    Bit n of ``reach[k]`` says that k of the remaining lengths can sum to n; going back through
-    these sets from the largest length down finds the fillings.
+    A filling is dominated where a piece left out would fit in place of some of its own (none,
+    or several that are together no longer) and leave less unused, or as much with fewer pieces;
+    an equally good packing then has the other filling.
+
+    Bit n of ``reach[i]`` says that the lengths from the i-th on can sum to n as often as they are
+    there; of what it lets through, all is found and nothing else is walked.
     """
     counts = counts | {largest: counts[largest] - 1}
     room = capacity - largest
     sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
-    if not sizes:
-        return [((largest, 1),)] if room <= waste else []
-    reach, full = [1], (1 << room + 1) - 1
-    for _ in range(min(8, room // sizes[-1])):
-        sums = 0
-        for s in sizes:
-            sums |= reach[-1] << s
-        reach.append(sums & full)
-    found: list[tuple[int, ...]] = []
-
-    def back(chosen: tuple[int, ...], left: int, k: int) -> None:
-        if not k:
-            found.append(chosen)
+    full, spare = (1 << room + 1) - 1, 0
+    reach = [1] * (len(sizes) + 1)
+    for i in range(len(sizes) - 1, -1, -1):
+        s, sums, k = sizes[i], reach[i + 1], 1
+        spare |= 1 << s
+        n = min(counts[s], room // s)
+        while n:
+            each = min(k, n)
+            sums |= sums << s * each & full
+            n -= each
+            k *= 2
+        reach[i] = sums
+
+    def walk(i: int, left: int, chosen: Filling, sums: int, several: int, spare: int) -> Iterator[Filling]:
+        # sums: of any of the chosen pieces; several: of two or more of them; spare: lengths left out
+        if several & spare or over(sums & ~1) & spare:
+            return  # the spared piece is longer than any still to be chosen
+        if not left:
+            if not over(1) & spare:
+                more = chosen[0][1] if chosen and chosen[0][0] == largest else 0
+                yield ((largest, 1 + more), *chosen[1 if more else 0 :])
             return
-        top = chosen[-1] if chosen else left
-        for s in sizes[bisect_left(sizes, -min(top, left), key=lambda x: -x) :]:
-            if len(found) == most or s * k < left:
-                return
-            if reach[k - 1] >> left - s & 1 and counts[s] > chosen.count(s):
-                back((*chosen, s), left - s, k - 1)
-
-    smallest = sizes[-1]
-    for target in range(room, max(-1, room - waste - 1), -1):
-        if room - target >= smallest and found:
-            break
-        for k in range(1, len(reach)):
-            if reach[k] >> target & 1:
-                back((), target, k)
-                if len(found) == most:
-                    break
-        if found:
-            break
-    return [tuple((s, w.count(s)) for s in sorted(set(w), reverse=True)) for w in ((largest, *c) for c in found)]
-
-
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 3_000) -> list[tuple[Filling, int]]:
+        if over(1 << left) & spare:
+            return  # in place of all that is still to be chosen
+        if spare >> left & 1:
+            if i < len(sizes) and left <= sizes[i]:
+                yield from walk(i, 0, (*chosen, (left, 1)), sums | sums << left, several | (sums & ~1) << left, spare if counts[left] > 1 else spare & ~(1 << left))
+            return
+        while i < len(sizes) and reach[i] >> left & 1:
+            s = sizes[i]
+            i += 1
+            for k in range(min(counts[s], left // s), 0, -1):
+                if reach[i] >> left - s * k & 1:
+                    every, many = sums, several
+                    for _ in range(k):
+                        every, many = every | every << s, many | many << s | (every & ~1) << s
+                    yield from walk(i, left - s * k, (*chosen, (s, k)), every, many, spare & ~(1 << s) if k == counts[s] else spare)
+
+    def over(sums: int) -> int:
+        """The lengths by 1 to ``unused`` above these sums."""
+        n, done = unused, 1
+        out = sums << 1 if n else 0
+        while done < n:
+            step = min(done, n - done)
+            out |= out << step
+            done += step
+        return out
+
+    for unused in range(min(waste, room) + 1):
+        if reach[0] >> room - unused & 1:
+            yield from walk(0, room - unused, (), 1, 0, spare)
+
+
+def times_of(filling: Filling, left: dict[int, int], allowed: int, capacity: int) -> Iterator[int]:
+    """How often to apply a filling: as often as may be, half of that, and so on to once."""
+    n = min(left[s] // k for s, k in filling)
+    if unused := capacity - sum(s * k for s, k in filling):
+        n = min(n, allowed // unused)
+    while n:
+        yield n
+        n //= 2
+
+
+#: Nodes on the path that keep the state of their enumeration; others take it up again by count.
+OPEN = 32
+
+
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000) -> list[tuple[Filling, int]]:
     """[(filling, number of sequences)] that hold all pieces; as few sequences as were found.
 
     Depth-first branch and bound around the largest remaining length: each branch is an
-    undominated filling, applied as often as the counts allow. The best-fit packing of what
-    remains at a node is an incumbent; a branch whose waste so far leaves no way to fewer
-    sequences than the incumbent is pruned. Ends when the bound by volume is met, or after
-    ``nodes`` nodes with the best packing found.
+    undominated filling, applied as often as the counts allow, half as often, and so on to once.
+    The best-fit packing of what remains is an incumbent at every node; a branch whose waste so
+    far leaves no way to fewer sequences than the incumbent is pruned. Ends when the bound by
+    volume is met, when all branches are done, or after ``nodes`` nodes with the best packing found.
     """
     total = sum(s * n for s, n in counts.items())
     bound = -(-total // capacity)
-    best = best_fit(counts, capacity)
-    size = lambda plan: sum(n for _, n in plan)
-    fewest = size(best)
-    stack = [(dict(counts), [], 0, 0)]  # what is left, the plan so far and its length, its waste
-    while stack and fewest > bound and nodes > 0:
-        left, plan, used, wasted = stack.pop()
-        nodes -= 1
-        allowed = (fewest - 1) * capacity - total - wasted
-        if allowed < 0:
+    left = dict(counts)
+    best, plan = best_fit(left, capacity), []
+    fewest = sum(n for _, n in best)
+    used = wasted = 0
+
+    def branches(allowed: int) -> Iterator[tuple[Filling, int]]:
+        for filling in fillings(max(left), left, capacity, allowed) if left else ():
+            for n in times_of(filling, left, allowed, capacity):
+                yield filling, n
+
+    def unused(filling: Filling) -> int:
+        return capacity - sum(s * k for s, k in filling)
+
+    def spared() -> int:
+        return (fewest - 1) * capacity - total - wasted
+
+    # A frame: what it has still to try, how many it has tried, and the waste allowed when it began.
+    stack = [[branches(spared()), 0, spared()]]
+    while stack and fewest > bound:
+        frame = stack[-1]
+        if frame[0] is None:
+            frame[0] = islice(branches(frame[2]), frame[1], None)
+        step = next(frame[0], None)
+        if step is None or spared() < 0:
+            stack.pop()
+            if plan:
+                filling, n = plan.pop()
+                used -= n
+                wasted -= n * unused(filling)
+                for s, k in filling:
+                    left[s] = left.get(s, 0) + n * k
             continue
-        if not left or nodes % 50 == 0:
-            rest = best_fit(left, capacity) if left else []
-            if used + size(rest) < fewest:
-                best, fewest = plan + rest, used + size(rest)
-        if not left:
+        frame[1] += 1
+        filling, n = step
+        if n * unused(filling) > spared():
             continue
-        branches = []
-        for filling in fillings(max(left), left, capacity, allowed):
-            waste = capacity - sum(s * k for s, k in filling)
-            times = min(left[s] // k for s, k in filling)
-            if waste:
-                times = max(1, min(times, allowed // waste))
-            after = left | {s: left[s] - k * times for s, k in filling}
-            branches.append(({s: n for s, n in after.items() if n}, [*plan, (filling, times)], used + times, wasted + waste * times))
-        stack += branches[::-1]
+        if not nodes:
+            break
+        nodes -= 1
+        for s, k in filling:
+            left[s] -= n * k
+            if not left[s]:
+                del left[s]
+        plan.append(step)
+        used += n
+        wasted += n * unused(filling)
+        if (found := used + best_fit_size(left, capacity)) < fewest:
+            best, fewest = plan + best_fit(left, capacity), found
+        if len(stack) >= OPEN:
+            stack[-OPEN][0] = None
+        stack.append([branches(spared()), 0, spared()])
     return best
 
 
