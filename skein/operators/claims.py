@@ -132,17 +132,17 @@ def joint_violations(stances: DataFrame, impossible: DataFrame) -> DataFrame:
     return held.join(size, "set_id").where("n = size").select("holder", "set_id")
 
 
-def subset_levels(witnesses: DataFrame, most: int = 4, budget: int = 1_000_000) -> tuple[list[DataFrame], list[DataFrame], list[int]]:
+def subset_levels(witnesses: DataFrame, most: int = 6) -> tuple[list[DataFrame], list[DataFrame]]:
     """Level by level (from 1): sets of propositions that some witness (witness, proposition)
-    satisfies together, and minimal sets that none does; and the levels left out because their
-    candidates exceed ``budget``.
+    satisfies together, and (from 2) minimal sets that none does. No level is left out: candidates
+    are a written table, however many there are.
 
     A k-set is a candidate only if all its faces are consistent; support is counted over the
     witnesses, each of which extends its own supported sets.
     """
     w = written(witnesses.select("witness", "proposition").distinct(), "witnesses")
     held = w.select("witness", F.array("proposition").alias("set"))
-    consistent, frustrated, skipped = [written(held.select("set").distinct(), "consistent")], [], []
+    consistent, frustrated = [written(held.select("set").distinct(), "consistent")], []
     for k in range(2, most + 1):
         below = consistent[-1]
         left = below.select("set", F.slice("set", 1, k - 2).alias("head"))
@@ -151,20 +151,17 @@ def subset_levels(witnesses: DataFrame, most: int = 4, budget: int = 1_000_000)
         faces = made.select("set", F.explode(F.transform("set", lambda _, i: F.filter("set", lambda x, j: j != i))).alias("face"))
         ok = faces.join(below.select(F.col("set").alias("face")), "face", "left_semi").groupBy("set").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == k).select("set")
         candidates = written(ok, "candidates")
-        if candidates.count() > budget:
-            skipped.append(k)
-            break
         held = held.join(w, "witness").where(F.col("proposition") > F.element_at("set", -1)).select("witness", F.concat("set", F.array("proposition")).alias("set"))
         held = written(held.join(candidates, "set", "left_semi"), "held")
         found = written(held.select("set").distinct(), "consistent")
         frustrated.append(written(candidates.join(found, "set", "left_anti"), "frustrated"))
         consistent.append(found)
-    return consistent, frustrated, skipped
+    return consistent, frustrated
 
 
-def minimal_unsat_sets(witnesses: DataFrame, most: int = 4) -> DataFrame:
-    """CL-12. (arity, members): minimal sets that no witness satisfies."""
-    _, frustrated, _ = subset_levels(witnesses, most)
+def minimal_unsat_sets(witnesses: DataFrame, most: int = 6) -> DataFrame:
+    """CL-12. (arity, members): minimal sets, of 2 to ``most``, that no witness satisfies."""
+    _, frustrated = subset_levels(witnesses, most)
     out = None
     for level in frustrated:
         rows = level.select(F.size("set").alias("arity"), F.array_join("set", ",").alias("members"))
@@ -174,7 +171,7 @@ def minimal_unsat_sets(witnesses: DataFrame, most: int = 4) -> DataFrame:
 
 def consistency_graph(witnesses: DataFrame) -> DataFrame:
     """CL-13. One row: consistent pairs, components they form, filled triangles."""
-    consistent, _, _ = subset_levels(witnesses, 3)
+    consistent, _ = subset_levels(witnesses, 3)
     pairs, triangles = consistent[1], consistent[2]
     edges = pairs.select(F.get("set", 0).alias("src"), F.get("set", 1).alias("dst"))
     parts = connected_components(edges).agg(F.count_distinct("component").alias("components"))

@@ -194,6 +194,11 @@ def minimal_unsat_sets(spark, sf):
     return C.minimal_unsat_sets(_witnesses(spark, sf), 3)
 
 
+def minimal_unsat_sets_whole(spark, sf):
+    """To the arity of the reference, 6; the SQL of cl12 stops at 3."""
+    return C.minimal_unsat_sets(_witnesses(spark, sf))
+
+
 def consistency_graph(spark, sf):
     return C.consistency_graph(_witnesses(spark, sf))
 
@@ -439,7 +444,7 @@ def similarity_floor(spark, sf):
 _NAMES = {
     "io3": run_log_counts, "io4": append_entries, "io5": validate_sequence, "io6": entries_range, "io7": corpus_hash, "io8": conversation_summary, "sh1": coboundary, "sh2": sheaf_laplacian,
     "sh3": dirichlet_energy, "sh4": diffuse_consensus, "sh5": validate_sheaf, "cl1": claim_schema_issues, "cl2": attribution_issues, "cl3": claim_identity, "cl4": claim_incidence, "cl5": clique_projection,
-    "cl6": canonical_predicates, "cl7": alias_suggestions, "cl8": community_of_claim, "cl9": claim_blocks, "cl10": claim_propositions, "cl11": joint_violations, "cl12": minimal_unsat_sets,
+    "cl6": canonical_predicates, "cl7": alias_suggestions, "cl8": community_of_claim, "cl9": claim_blocks, "cl10": claim_propositions, "cl11": joint_violations, "cl12": minimal_unsat_sets, "cl12b": minimal_unsat_sets_whole,
     "cl13": consistency_graph, "cl14": classify_verdict, "cl15": check_log_page, "cl16": check_log_digest, "cl16b": formula_ids, "cl17": novel_symbols, "cl18": rank_explanations, "cl19": formula_lint,
     "cl20": symbol_alias_candidates, "cl21": signature_components, "cl22": extraction_failures, "fi1": admit_findings, "fi2": dedup_findings, "fi3": finding_conflicts, "fi4": resolve_conflict,
     "fi5": recall_findings, "fi6": retire_findings, "fi7": dependency_audit, "fi8": finding_stats, "ev1": filter_noise, "ev2": weigh_evidence, "ev3": grounds_strength, "ev4": scope_demand,
