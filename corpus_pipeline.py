@@ -33,11 +33,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates exactly one row stays: the one with the smallest id, a null
+    id only where the group has no other. Of several rows of that id it is one with the least hash
+    of the text, of equal rows any."""
     small_batches(spark)
-    groups = simhash.near_duplicates(docs).select(F.col("doc_id").alias("_id"), "component_id")
-    stay = groups.where("_id = component_id").select("_id").distinct()
-    return docs.join(stay, docs["doc_id"] == F.col("_id"), "left_semi").select(*COLUMNS)
+    stay = simhash.representatives(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    found = docs.withColumn("_text_hash", simhash.text_hash(F.col("text")))
+    found = found.join(stay, found["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    return found.dropDuplicates(["doc_id", "_text_hash"]).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

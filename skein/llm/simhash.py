@@ -45,17 +45,24 @@ def fingerprint_of(words: list[bytes], shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
     """(id, ``fp`` long): the fingerprint of each whole text as a signed 64-bit integer. A-Z are
-    lower-cased, words are runs without ASCII white space. Null or blank text gives zero."""
+    lower-cased, words are runs without ASCII white space. Null or blank text gives zero. With
+    ``hashed`` also ``text_hash`` long, by which rows of one id are told apart."""
+    names = [id_col, "fp", *["text_hash"] * hashed]
 
     def run(batches):
         for batch in batches:
             fps = [fingerprint_of((t or "").encode().lower().split(), shingle, seed) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64()), *batch.columns[2:]], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    also = [text_hash(F.col(text_col)).alias("text_hash")] * hashed
+    return docs.select(id_col, text_col, *also).mapInArrow(run, f"`{id_col}` {kind}, fp long" + ", text_hash long" * hashed)
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
 def _half(fp: Column, upper: int) -> Column:
@@ -112,10 +119,24 @@ def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3, seed: int
     have fingerprint zero and link like any other. An empty table gives an empty table.
     """
     marked = written(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
+    return marked.join(_named(marked, most, id_col), F.col("fp") == F.col("_fp")).select(id_col, "fp", "component_id")
+
+
+def representatives(docs: DataFrame, most: int = 3, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ``text_hash`` long), one row a component of ``near_duplicates``: its smallest id, null
+    only if all its ids are, and of the rows of that id the least hash of the text."""
+    marked = written(fingerprints(docs, shingle, seed, id_col, text_col, hashed=True), "fingerprints")
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "text_hash")
+    least = marked.groupBy("fp").agg(F.min(key).alias("key"))  # copies meet before the join
+    found = least.join(_named(marked, most, id_col), F.col("fp") == F.col("_fp")).groupBy("root").agg(F.min("key").alias("key"))
+    return found.select(F.col("key.id").alias(id_col), "key.text_hash")
+
+
+def _named(marked: DataFrame, most: int, id_col: str) -> DataFrame:
+    """(``_fp``, ``root``, ``component_id``) of each fingerprint."""
     vertices = written(marked.groupBy("fp").agg(F.min(id_col).alias("first")), "vertices")
     found = written(links(vertices, most), "links")
     member = written(connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "members")
     whole = vertices.join(member, vertices["fp"] == member["node"], "left").select("fp", F.coalesce("component", "fp").alias("root"), "first")
     least = written(whole.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    name = written(whole.join(least, "root").select(F.col("fp").alias("_fp"), "component_id"), "named")
-    return marked.join(name, F.col("fp") == F.col("_fp")).select(id_col, "fp", "component_id")
+    return written(whole.join(least, "root").select(F.col("fp").alias("_fp"), "root", "component_id"), "named")
