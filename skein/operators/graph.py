@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -197,18 +199,26 @@ def _moves(near: DataFrame, labels: DataFrame, k: DataFrame, m2: float, parity:
     return labels.join(best, "node", "left").select("node", F.when(go, F.col("x.to")).otherwise(F.col("community")).alias("community"))
 
 
-def breadth_first(edges: DataFrame, sources: DataFrame, most: int = 50) -> DataFrame:
+#: Levels after which what was found is written as one table, so that plans stay short on long chains.
+LEVELS = 16
+
+
+def breadth_first(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(``source``, ``node``, ``hops``, ``paths``): distance and number of shortest paths from each
-    source (column ``source``), level by level; each level is written out."""
+    source (column ``source``), level by level until none is left; each level is written out. A
+    neighbour of a level lies in it, in the one before or in the next, so it is held against two."""
     near = written(both_ways(edges).select("node", "other").distinct(), "near")
     seen = level = written(sources.select("source", F.col("source").alias("node"), F.lit(0).alias("hops"), F.lit(1.0).alias("paths")), "level")
-    for hop in range(1, most + 1):
+    before = level
+    for hop in count(1):
         step = level.join(near, "node").groupBy("source", F.col("other").alias("node")).agg(F.sum("paths").alias("paths"))
-        level = written(step.join(seen, ["source", "node"], "left_anti").select("source", "node", F.lit(hop).alias("hops"), "paths"), "level")
+        new = step.join(level.unionByName(before), ["source", "node"], "left_anti")
+        before, level = level, written(new.select("source", "node", F.lit(hop).alias("hops"), "paths"), "level")
         if level.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(level)
-    return seen
+        if hop % LEVELS == 0:
+            seen = written(seen, "seen")
 
 
 def betweenness(edges: DataFrame, sources: DataFrame, n_nodes: int) -> DataFrame:
@@ -225,6 +235,8 @@ def betweenness(edges: DataFrame, sources: DataFrame, n_nodes: int) -> DataFrame
         here = reached.where(F.col("hops") == hop).join(share.groupBy("source", "node").agg(F.sum("part").alias("part")), ["source", "node"], "left")
         level = written(here.select("source", "node", "hops", "paths", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("delta")), "delta")
         gathered = gathered.unionByName(level)
+        if hop % LEVELS == 0 and hop:
+            gathered = written(gathered, "gathered")
     total = gathered.where("source <> node").groupBy("node").agg(F.sum("delta").alias("delta"))
     scale = n_nodes / max(1, pivots) / max(1.0, (n_nodes - 1) * (n_nodes - 2))
     nodes = both_ways(edges).select("node").distinct()
@@ -358,15 +370,16 @@ def anomaly_census(links: DataFrame, deltas: DataFrame, cycles: DataFrame, verdi
     return heavy.union(gaps).union(holes).union(conflict).orderBy(F.desc("priority"), "id").limit(most)
 
 
-def reachable_from(edges: DataFrame, start: DataFrame, most: int = 50) -> DataFrame:
-    """GA-21. (start, node): all that depends on a node over directed edges src -> dst; the start
-    itself appears only if it lies on a cycle."""
+def reachable_from(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """GA-21. (start, node): all that depends on a node over directed edges src -> dst, however far;
+    the start itself appears only if it lies on a cycle."""
     edges = written(edges.select("src", "dst").distinct(), "directed")
     seen = frontier = written(start.select("start", F.col("start").alias("at")).join(edges, F.col("at") == F.col("src")).select("start", F.col("dst").alias("node")).distinct(), "frontier")
-    for _ in range(most):
+    for hop in count(1):
         step = frontier.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
         frontier = written(step.join(seen, ["start", "node"], "left_anti"), "frontier")
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
-    return seen
+        if hop % LEVELS == 0:
+            seen = written(seen, "seen")
