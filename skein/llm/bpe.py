@@ -10,15 +10,15 @@ from __future__ import annotations
 
 import base64
 import heapq
-from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from skein.llm.units import UnitTable, blocks, cut_at_blanks, joinable
+from skein.llm.units import Ids, UnitTable, binary, blocks, cut_words, one_word, pick, starts, sums
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -31,8 +31,8 @@ class MergeReplay:
     """Encodes many words at once by the ranks."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.tokens, self.token_ids = pa.array(list(ranks), pa.binary()), np.fromiter(ranks.values(), np.int64, len(ranks))
         # Every way to cut a token in two: left id << 32 | right id, and the id of the whole.
         pairs = {
             ranks[token[:i]] << 32 | ranks[token[i:]]: rank
@@ -44,28 +44,35 @@ class MergeReplay:
         self.merged = np.array([pairs[k] for k in self.pairs.tolist()], np.int64)
         self.get = pairs.get
 
-    def words(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word as little-endian u32. A word that is a token is that token."""
-        known = self.ranks.get
-        out = [None if (r := known(w)) is None else r.to_bytes(4, "little") for w in words]
-        todo = [i for i, ids in enumerate(out) if ids is None]
-        if not todo:
-            return out
+    def words(self, words: pa.Array) -> Ids:
+        """The ids of each word of a binary array. A word that is a token is that token."""
+        token = pc.index_in(words, value_set=self.tokens)
+        whole = token.is_valid().to_numpy(zero_copy_only=False)
+        todo = words.filter(pa.array(~whole))
+        count = np.ones(len(words), np.int64)
+        if not len(todo):
+            return self.token_ids[token.to_numpy(zero_copy_only=False).astype(np.int64)].astype("<u4"), count
         # The symbols of all words, one place each, with -1 around each word: no pair spans two.
-        size = np.array([len(words[i]) for i in todo], np.int64)
+        offsets = np.frombuffer(todo.buffers()[1], np.int32)[todo.offset :][: len(todo) + 1].astype(np.int64)
+        raw = np.frombuffer(todo.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        size = np.diff(offsets)
         start = np.cumsum(np.r_[1, size[:-1] + 1])
         ids = np.full(int(start[-1] + size[-1] + 1), -1, np.int64)
-        within = np.arange(int(size.sum())) + np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size)
-        ids[within] = self.single[np.frombuffer(b"".join(words[i] for i in todo), np.uint8)]
+        ids[np.arange(len(raw)) + np.repeat(start - starts(size), size)] = self.single[raw]
         again = self._replay(ids, start)
-        left = ids >= 0
-        flat, ends = ids[left].astype("<u4").tobytes(), np.cumsum(left)[start + size - 1] * 4
-        a = 0
-        for i, b in zip(todo, ends.tolist()):
-            out[i], a = flat[a:b], b
         for k in again:
-            out[todo[k]] = self._word(words[todo[k]])
-        return out
+            found = self._word(raw[offsets[k] - offsets[0] : offsets[k + 1] - offsets[0]])
+            ids[start[k] : start[k] + size[k]] = -2
+            ids[start[k] : start[k] + len(found)] = found
+        left = ids >= 0
+        seen = np.r_[0, np.cumsum(left)]
+        n = seen[start + size] - seen[start]
+        count[~whole] = n
+        flat = np.empty(int(count.sum()), "<u4")
+        own = np.repeat(whole, count)
+        flat[own] = self.token_ids[token.drop_null().to_numpy(zero_copy_only=False)]
+        flat[~own] = ids[left]
+        return flat, count
 
     def _ranks(self, ids: np.ndarray, after: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The rank of the pair that begins at each place, or -1."""
@@ -130,63 +137,98 @@ class MergeReplay:
                     heapq.heappush(queue, r)
         return again
 
-    def _word(self, word: bytes) -> bytes:
+    def _word(self, word: np.ndarray) -> list[int]:
         """One word, a merge at a time: the least rank, and of that the leftmost."""
-        ids, get = self.single[np.frombuffer(word, np.uint8)].tolist(), self.get
-        while True:
-            ranks = [(r, i) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := get(a << 32 | b)) is not None]
-            if not ranks:
-                return array("I", ids).tobytes()
-            r, i = min(ranks)
-            ids[i : i + 2] = [r]
+        ids, get = self.single[word].tolist(), self.get
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        queue = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := get(a << 32 | b)) is not None]
+        heapq.heapify(queue)
+        while queue:
+            r, i, a, b = heapq.heappop(queue)
+            j = after[i]
+            if ids[i] != a or j == len(ids) or ids[j] != b:
+                continue  # one of them has been merged since
+            ids[i], ids[j], after[i] = r, -1, after[j]
+            if after[j] < len(ids):
+                before[after[j]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < len(ids) and (s := get(ids[x] << 32 | ids[y])) is not None:
+                    heapq.heappush(queue, (s, x, ids[x], ids[y]))
+        return [x for x in ids if x >= 0]
 
 
 @lru_cache(maxsize=2)
-def _worker(path: str, pattern: str):
-    """A worker's replay, split pattern and table of words."""
+def _worker(path: str, pattern: str) -> UnitTable:
+    """A worker's replay behind a table of words."""
     replay, split = MergeReplay(read_ranks(path)), regex.compile(pattern).findall
 
-    gap = b"\xff\xff\xff\xff"  # no id is as large
+    def encode(units: pa.Array) -> Ids:
+        one = one_word(units)
+        parts = list(map(split, units.filter(pa.array(~one)).to_pylist()))
+        place = {w: k for k, w in enumerate(dict.fromkeys(w for p in parts for w in p))}
+        words = pa.concat_arrays([units.filter(pa.array(one)), pa.array(list(place), pa.string())])
+        flat, size = replay.words(words.cast(pa.binary()))
+        # Each unit is a run of words.
+        ones = int(one.sum())
+        count = np.ones(len(units), np.int64)
+        count[~one] = [len(p) for p in parts]
+        word, own = np.empty(int(count.sum()), np.int64), np.repeat(one, count)
+        word[own], word[~own] = np.arange(ones), [ones + place[w] for p in parts for w in p]
+        return pick(flat, size, word), sums(size[word], count)
+
+    return UnitTable(encode, cut_words)
+
+
+class Decoder:
+    """Token ids back to bytes."""
+
+    def __init__(self, path: str):
+        tokens = {rank: token for token, rank in read_ranks(path).items()}
+        self.known = np.zeros(max(tokens) + 2, bool)
+        self.known[list(tokens)] = True
+        each = [tokens.get(i, b"") for i in range(len(self.known))]
+        self.size = np.fromiter(map(len, each), np.int64, len(each))
+        self.flat = np.frombuffer(b"".join(each), np.uint8)
+
+    def bytes(self, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of runs of ``count`` ids, one after the other, and how many each run has."""
+        ids = np.minimum(ids, len(self.known) - 1)
+        if not self.known[ids].all():
+            raise ValueError("an id outside the vocabulary")
+        return pick(self.flat, self.size, ids), sums(self.size[ids], count)
 
-    def encode(units: list[str]) -> list[bytes]:
-        plain, rest = joinable(units)
-        words = split("\n".join(plain))
-        distinct = list({*words, *(w for u in rest for w in split(u))})
-        ids = dict(zip(distinct, replay.words([w.encode() for w in distinct])))
-        alone = {u: b"".join(ids[w] for w in split(u)) for u in rest}
-        ids["\n"] = gap
-        done = dict(zip(plain, b"".join(map(ids.__getitem__, words)).split(gap))) if plain else {}
-        done.update(alone)
-        return [done[u] for u in units]
 
-    return split, UnitTable(encode)
+@lru_cache(maxsize=2)
+def _decoder(path: str) -> Decoder:
+    return Decoder(path)
 
 
-def encode_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ``n_tokens`` long, ``ids`` binary): the ids of each whole text, little-endian u32.
+def encode_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+    """(id, ``n_tokens`` long, ``ids`` binary): the ids of each whole text, little-endian u32. With
+    ``decode`` also ``decoded`` binary: what ``decode_bpe`` gives for the ids, in the same pass.
 
     ``path`` is a rank file that every executor can read, ``pattern`` the split pattern. Null text
     is empty and has no ids; each row is encoded by itself, so repeated rows repeat. Other columns
-    of ``docs`` are left out; an empty table gives an empty table.
+    of ``docs`` are left out; an empty table gives an empty table. A text of any length is one
+    text: time and memory grow with it, memory with the longest.
     """
 
     def run(batches):
-        split, table = _worker(path, pattern)
-        for block in blocks(batches):
-            found = iter(table.texts([t for _, texts in block for t in texts], lambda t: cut_at_blanks(t, split)))
-            for batch, texts in block:
-                ids = [next(found) for _ in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "n_tokens", "ids"]
-                )
+        table = _worker(path, pattern)
+        for block, texts in blocks(batches):
+            flat, count = table.texts(texts)
+            at = 0
+            for batch in block:
+                n = count[at : at + batch.num_rows]
+                at += batch.num_rows
+                own, flat = flat[: n.sum()], flat[n.sum() :]
+                columns = [batch.column(0), pa.array(n), binary(own, n)]
+                if decode:
+                    columns.append(binary(*_decoder(path).bytes(own, n)))
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids", "decoded"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids binary")
-
-
-@lru_cache(maxsize=2)
-def _tokens(path: str) -> dict[int, bytes]:
-    return {rank: token for token, rank in read_ranks(path).items()}
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids binary" + ", decoded binary" * decode)
 
 
 def decode_bpe(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -197,10 +239,13 @@ def decode_bpe(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame
     at = names.index(ids_col)
 
     def run(batches):
-        token = _tokens(path).__getitem__
+        decoder = _decoder(path)
         for batch in batches:
-            decoded = [None if x is None else b"".join(map(token, memoryview(x).cast("I"))) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=[*names, "decoded"])
+            ids = batch.column(at)
+            count = pc.binary_length(ids).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+            raw, n = decoder.bytes(np.frombuffer(b"".join(x.as_buffer() for x in ids if x.is_valid), "<u4"), count)
+            decoded = pc.if_else(ids.is_valid(), binary(raw, n), None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{fields}, decoded binary")

@@ -18,72 +18,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.runtime import written
-from skein.llm.units import UnitTable, blocks, cut_at_blanks, joinable
+from skein.llm.units import Ids, UnitTable, binary, blocks, cut_words, one_word, starts
 from skein.operators.ranking import bucketed_row_number
 
 
 @lru_cache(maxsize=2)
-def _worker(path: str, pattern: str):
-    import regex
+def _worker(path: str) -> UnitTable:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    gap = np.array(tokenizer.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
 
-    def ids(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(units: list[str]) -> list[bytes]:
-        plain, rest = joinable(units)
-        done = dict(zip(rest, ids(rest)))
-        for k in range(0, len(plain), 20_000):
-            part = plain[k : k + 20_000]
-            found = np.frombuffer(ids(["\n".join(part)])[0], "<u4")
-            cuts = np.flatnonzero(found == np.frombuffer(gap, "<u4")[0])
-            whole, a = found.tobytes(), 0
-            for u, b in zip(part, [*(cuts * 4).tolist(), len(whole)]):
-                done[u], a = whole[a:b], b + 4
-        return [done[u] for u in units]
+    gap = ids(["\n"])[0]
 
-    return regex.compile(pattern).findall, UnitTable(encode, 600_000)
+    def encode(units: pa.Array) -> Ids:
+        one = one_word(units)
+        words, rest = units.filter(pa.array(one)).to_pylist(), ids(units.filter(pa.array(~one)).to_pylist())
+        flat, size = [], []
+        for k in range(0, len(words), 20_000):  # as one text, with a line feed, a match of its own, between each two
+            found = ids(["\n".join(words[k : k + 20_000])])[0]
+            part = found == gap[0]
+            ends = np.r_[np.flatnonzero(part), len(found)]
+            size.append(np.diff(np.r_[-1, ends]) - 1)
+            flat.append(found[~part])
+        count = np.empty(len(units), np.int64)
+        count[one], count[~one] = np.concatenate([*size, np.zeros(0, np.int64)]), [len(x) for x in rest]
+        out, own = np.empty(int(count.sum()), "<u4"), np.repeat(one, count)
+        out[own], out[~own] = np.concatenate([*flat, gap[:0]]), np.concatenate([*rest, gap[:0]])
+        return out, count
 
+    return UnitTable(encode, cut_words)
 
-def token_pieces(
-    docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+
+def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ``piece`` int, ``start`` long, ``length`` long, ``ids`` binary): the ids of each whole
     text with ``end_id`` after them, little-endian u32, in pieces of at most ``capacity``.
 
-    ``path`` is a byte-level tokenizer file with the split pattern ``pattern``. Only longer
+    ``path`` is a byte-level tokenizer file whose split pattern is of the ` ?word` kind. Only longer
     documents are cut, into full pieces; the first piece holds what is left over. Null or empty
-    text is the end id alone. Each row is a document of its own, also where ids repeat.
+    text is the end id alone. Each row is a document of its own, also where ids repeat; other
+    columns are left out, so that none can clash; an empty table gives an empty table.
     """
 
     def run(batches):
-        split, table = _worker(path, pattern)
-        end = end_id.to_bytes(4, "little")
-        for block in blocks(batches):
-            found = iter(table.texts([t for _, texts in block for t in texts], lambda t: cut_at_blanks(t, split)))
-            for batch, texts in block:
-                row, piece, start, ids = [], [], [], []
-                for k in range(len(texts)):
-                    whole = next(found) + end
-                    n = len(whole) // 4
-                    cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
-                    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                        row.append(k)
-                        piece.append(i)
-                        start.append(a)
-                        ids.append(whole[4 * a : 4 * b])
+        table = _worker(path)
+        for block, texts in blocks(batches):
+            flat, count = table.texts(texts)
+            at = 0
+            for batch in block:
+                n = count[at : at + batch.num_rows]
+                at += batch.num_rows
+                own, flat = np.insert(flat[: n.sum()], np.cumsum(n), end_id), flat[n.sum() :]
+                n = n + 1
+                pieces = -(-n // capacity)
+                row = np.repeat(np.arange(len(n)), pieces)
+                piece = np.arange(len(row)) - np.repeat(starts(pieces), pieces)
+                first = n - (pieces - 1) * capacity
+                start = np.where(piece == 0, 0, first[row] + (piece - 1) * capacity)
+                length = np.where(piece == 0, first[row], capacity)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(row, pa.int64())),
-                        pa.array(piece, pa.int32()),
-                        pa.array(start, pa.int64()),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array(ids, pa.binary()),
-                    ],
+                    [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), binary(own, length)],
                     names=[id_col, "piece", "start", "length", "ids"],
                 )
 

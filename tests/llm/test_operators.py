@@ -7,10 +7,12 @@ import brute
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import bpe, hamming, interleave, line_dedup, packing, quality, queries, revisit, simhash, sql, toxicity, wavelet
+from skein.llm.units import UnitTable, cut_words
 from skein.operators.storage import shared_path
 
 SF = "/root/testdata/sf0.001"
@@ -65,23 +67,26 @@ def test_units_are_exact():
     r = random.Random(3)
     alphabet = ["a", "b", " ", "\n", "\t", "é", "É", "'s", "'LL", "1", "23", "Σ", "ß", "!", "  ", "\r\n", "　", "漢字", "👍", "ab", "The", "́", "\x85", ".", ",", "...", "ª", "İ", "␀", "½", "ǅ", "\x00", "\x1c"]
     texts = ["".join(r.choices(alphabet, k=r.randint(0, 12))) for _ in range(4000)] + ["a" * 999, "ab" * 500]
-    table = wavelet._worker(P.path("word_bpe_49k.json"), False)
-    got = table.texts(texts, lambda t: t.replace("\n", " ").split(" "))
-    assert [np.frombuffer(x, "<u2").tolist() for x in got] == brute.tokenizer(texts, "word_bpe_49k.json")
-    split, table = packing._worker(P.path("byte_bpe_50k.json"), P.PATTERN)
-    got = table.texts(texts, lambda t: packing.cut_at_blanks(t, split))
-    assert [np.frombuffer(x, "<u4").tolist() for x in got] == brute.tokenizer(texts, "byte_bpe_50k.json")
-    split, table = bpe._worker(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    got = table.texts(texts, lambda t: packing.cut_at_blanks(t, split))
-    assert [np.frombuffer(x, "<u4").tolist() for x in got] == brute.byte_bpe(texts)
+    for table, want in (
+        (wavelet._worker(P.path("word_bpe_49k.json"), False), brute.tokenizer(texts, "word_bpe_49k.json")),
+        (packing._worker(P.path("byte_bpe_50k.json")), brute.tokenizer(texts, "byte_bpe_50k.json")),
+        (bpe._worker(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), brute.byte_bpe(texts)),
+    ):
+        for part in (slice(0, 2000), slice(2000, None), slice(0, 3)):  # anew, with known units, and all known
+            flat, count = table.texts(pa.array(texts[part], pa.string()))
+            assert [x.tolist() for x in np.split(flat, np.cumsum(count)[:-1])] == want[part]
 
 
 def test_unit_table_forgets_without_error():
-    from skein.llm.units import UnitTable
+    def encode(units):
+        raw = [u.encode() for u in units.to_pylist()]
+        return np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw], np.int64)
 
-    table = UnitTable(lambda units: [u.encode() for u in units], 5)
+    table = UnitTable(encode, cut_words, 200)
     for k in range(40):
-        assert table.texts([f"{k} {k + 1} {k % 3}", ""], lambda t: t.split(" ")) == [f"{k}{k + 1}{k % 3}".encode(), b""]
+        flat, count = table.texts(pa.array([f"{k} {k + 1}, {k % 3}.", None, ""]))
+        assert flat.tobytes() == f"{k} {k + 1}, {k % 3}.".encode() and count.tolist() == [len(flat), 0, 0]
+        assert len(table.units) < 25
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -105,7 +110,7 @@ def test_bin_completion_beats_best_fit():
 
 
 def test_packing(spark, docs, odd):
-    pieces = packing.token_pieces(docs, P.path("byte_bpe_50k.json"), P.PATTERN, capacity=64)
+    pieces = packing.token_pieces(docs, P.path("byte_bpe_50k.json"), capacity=64)
     packed = packing.pack(pieces, 64).collect()
     ids = [x + [0] for x in brute.tokenizer(TEXTS, "byte_bpe_50k.json")]
     for i, want in enumerate(ids):
@@ -123,9 +128,9 @@ def test_packing(spark, docs, odd):
             at += length
         assert at <= 64
     assert len(places) == -(-sum(map(len, ids)) // 64)
-    again = packing.pack(packing.token_pieces(odd, P.path("byte_bpe_50k.json"), P.PATTERN))
+    again = packing.pack(packing.token_pieces(odd, P.path("byte_bpe_50k.json")))
     assert again.count() == 9 and again.select("sequence_id", "offset").distinct().count() == 9
-    assert packing.pack(packing.token_pieces(empty(spark), P.path("byte_bpe_50k.json"), P.PATTERN)).count() == 0
+    assert packing.pack(packing.token_pieces(empty(spark), P.path("byte_bpe_50k.json"))).count() == 0
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([(1, 0, 0)], "doc_id long, piece int, length long"))
 
@@ -172,6 +177,9 @@ def test_wavelet_matrix():
         at = np.flatnonzero(ids == t)
         assert m.count(t) == len(at) and m.rank(t, 5000) == (at < 5000).sum()
         assert [m.select(t, k) for k in range(len(at))] == at.tolist() and m.select(t, len(at)) == -1
+        assert m.places(t).tolist() == at.tolist()
+    for t in (512 + int(ids[0]), -1):  # beyond the planes
+        assert m.count(t) == 0 and m.select(t, 0) == -1 and not len(m.places(t))
 
 
 def test_wavelet_files(spark, docs, odd):
@@ -182,7 +190,13 @@ def test_wavelet_files(spark, docs, odd):
     for i, ids in enumerate(brute.tokenizer(TEXTS, "word_bpe_49k.json")):
         assert got[i] == (at, len(ids) + 1, np.array([*ids, 1], "<u4").tobytes())
         at += len(ids) + 1
-    assert dict(wavelet.token_counts(spark, out, [1, 320]).collect())[1] == len(TEXTS)
+    assert len(spark.read.parquet(out).inputFiles()) == spark.read.parquet(out).count()  # a file a shard
+    whole = [i for ids in brute.tokenizer(TEXTS, "word_bpe_49k.json") for i in [*ids, 1]]
+    ask = list({1, whole[7], whole[len(whole) // 2], 65_537})
+    assert dict(wavelet.token_counts(spark, out, ask).collect()) == {t: whole.count(t) for t in ask}
+    assert sorted(map(tuple, wavelet.occurrences(spark, out, ask).collect())) == sorted((t, p) for p, t in enumerate(whole) if t in ask)
+    places = [-1, 0, 7, len(whole) // 2, len(whole) - 1, len(whole)]
+    assert sorted(map(tuple, wavelet.tokens_at(spark, out, places).collect())) == [(p, whole[p]) for p in places[1:-1]]
     for df, n in ((odd, 9), (empty(spark), 0)):
         out = shared_path(spark, "wavelet-test")
         wavelet.write_tokens(df, out, P.path("word_bpe_49k.json"))
