@@ -6,19 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def bucketed_row_number(df: DataFrame, groups: list[str], bucket: Column, order: list, name: str = "row_number") -> DataFrame:
     """``df`` with ``name``: the row's place from 0 within its group, ordered by (bucket, order).
 
     ``bucket`` deals a group's rows over tasks; if it does not decrease along ``order``, the rank
     is the one by ``order`` alone. Only the counts of the buckets are summed along a group. Null
-    group keys form a group. With no ``groups`` the rank is over the whole table.
+    group keys form a group. With no ``groups`` the rank is over the whole table. Columns of
+    ``df`` may have any names; one called ``name`` is replaced.
     """
-    keys = [f"_g{i}" for i in range(len(groups))]
+    kept = [c for c in df.columns if c.lower() != name.lower()]
+    *keys, at, start, size, place = fresh(df, *[f"_g{i}" for i in range(len(groups))], "_bucket", "_start", "_n", "_within")
     null_safe = [F.coalesce(F.concat(F.lit("="), F.col(g).cast("string")), F.lit("")).alias(k) for g, k in zip(groups, keys)]
-    dealt = df.select("*", *null_safe, bucket.alias("_bucket"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    ranked = dealt.withColumn("_within", F.row_number().over(within) - 1)
-    return ranked.join(starts, [*keys, "_bucket"]).select(*df.columns, (F.col("_start") + F.col("_within")).alias(name))
+    dealt = df.select("*", *null_safe, bucket.alias(at))
+    before = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*keys, at).agg(F.count(F.lit(1)).alias(size))
+    starts = counts.select(*keys, at, F.coalesce(F.sum(size).over(before), F.lit(0)).alias(start))
+    within = Window.partitionBy(*keys, at).orderBy(*order)
+    ranked = dealt.withColumn(place, F.row_number().over(within) - 1)
+    return ranked.join(starts, [*keys, at]).select(*[F.col(f"`{c}`") for c in kept], (F.col(start) + F.col(place)).alias(name))
