@@ -1,5 +1,10 @@
 """From raw documents to packed training sequences: quality rules, toxicity, line dedup, SimHash
-near-dedup, best-fit packing. Each stage's result is written and read again as the next one's docs."""
+near-dedup, best-fit packing. Each stage's result is written and read again as the next one's docs.
+
+All stages but the last return the columns of their documents, whatever others than doc_id and
+text there are and whatever they are called; a stage works on one row at a time, on its text, or on
+groups of rows, never on positions. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -8,43 +13,56 @@ from pyspark.sql import functions as F
 
 from skein.llm import line_dedup, quality, queries, simhash, toxicity
 from skein.llm.runtime import small_batches
+from skein.operators.ranking import fresh
 from skein.operators.storage import written
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def _row(docs: DataFrame):
+    """All columns as one value beside which an operator may add its own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a rule of the web policy go. Rows are judged one by one: the text is
-    carried beside the ledger's measurements, so that nothing is joined."""
+    """Documents that fail a rule of the web policy go. Null and empty texts have too few words and
+    go. Rows are judged one by one, so that repeated rows and null ids fare alike: the text is
+    carried beside the ledger's measurements, and nothing is joined."""
     small_batches(spark)
-    return quality.keep(docs, quality.WEB).select(*COLUMNS)
+    return quality.keep(docs, quality.WEB)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts toxic go. It learns from the labelled ones here."""
+    """Documents that the classifier predicts toxic go. It learns from the labelled ones here.
+    Rows are scored one by one by their text alone; null and empty texts are scored by the bias,
+    null ids and repeated rows like any other."""
     small_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*COLUMNS)
+    return toxicity.score(docs.select(_row(docs), "text"), model).where("predicted = 0").select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shared lines go from the texts; n_chars follows."""
-    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    """Shared lines go from the texts, of which the largest id keeps its own; n_chars follows if
+    there is one. Null text becomes empty. Rows that repeat an id are one document in the counts
+    and each keep a row; null ids together are one document below all others."""
+    found = line_dedup.dedup_lines(docs.select("doc_id", "text", _row(docs)))
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates exactly one row stays: the one with the smallest id, a null
     id only where the group has no other. Of several rows of that id it is one with the least hash
-    of the text, of equal rows any."""
+    of the text, of equal rows any. Null and blank texts are one group."""
     small_batches(spark)
-    stay = simhash.representatives(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    found = docs.withColumn("_text_hash", simhash.text_hash(F.col("text")))
-    found = found.join(stay, found["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    return found.dropDuplicates(["doc_id", "_text_hash"]).select(*COLUMNS)
+    mine, id_, hash_ = fresh(docs, "text_hash", "stay_id", "stay_hash")
+    stay = simhash.representatives(docs.select("doc_id", "text")).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
+    found = docs.withColumn(mine, simhash.text_hash(F.col("text")))
+    found = found.join(stay, found["doc_id"].eqNullSafe(F.col(id_)) & (F.col(mine) == F.col(hash_)), "left_semi")
+    return found.dropDuplicates(["doc_id", mine]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all documents in sequences of 2048 tokens."""
+    """The places of all documents in sequences of 2048 tokens. Null and empty texts are the end id
+    alone; each row is a document, also where ids are null or repeat."""
     small_batches(spark)
     return queries.packed(docs)
 
