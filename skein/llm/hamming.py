@@ -12,19 +12,20 @@ from skein.llm.runtime import written
 
 def sign_code(vector: Column) -> Column:
     """The 64-bit code of a vector of at most 64 numbers: bit i is set if number i is above zero.
-    A null vector, and none longer than 64, has no code."""
+    A null vector has no code; one of more numbers is an error."""
     bit = lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
     code = F.aggregate(F.transform(vector, bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    return F.when(F.size(vector) <= 64, code)
+    long = F.raise_error(F.concat(F.lit("a code has 64 bits; this vector has "), F.size(vector).cast("string")))
+    return F.when(F.size(vector) > 64, long.cast("long")).otherwise(code)
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", code_col: str = "code") -> DataFrame:
     """(``query_id``, ``rank`` int from 1, ``neighbour_id``, ``distance`` int): the k rows nearest to each
     query by (distance, id), the row with the query's own id left out.
 
-    Rows and queries need a 64-bit ``code_col``; those without are neither found nor asked. Ids
-    should be unique: a repeated row is found once a repeat, and its repeated query is asked once.
-    Other columns are ignored; an empty side gives an empty result; fewer than k rows give all.
+    Rows and queries need an id and a 64-bit ``code_col``; those without are neither found nor
+    asked. Equal rows are one row, equal queries one query; an id with several codes is a row for
+    each. Other columns are ignored; an empty side gives an empty result; fewer than k rows give all.
 
     Codes are cut into m segments of about log2(rows) bits. Round r looks up, in each segment, all
     keys at r bits from the query's; after it, all codes within m (r + 1) - 1 bits have been seen,
@@ -32,13 +33,14 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     segment where it is met first, so never twice. Copies of a code are one entry with its k + 1
     least ids, and queries with one code are asked once.
     """
-    need = k + 1
-    known = rows.where(F.col(code_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(code_col).alias("code"))
-    asked = queries.where(F.col(code_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(code_col).alias("q")).distinct()
+    known = written(rows.where(F.col(code_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(code_col).alias("code")).distinct(), "known")
+    asked = queries.where(F.col(code_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(code_col).alias("q")).distinct()
+    own_codes = known.join(asked.select(F.col("query_id").alias("id")).distinct(), "id", "left_semi").groupBy("id").count().agg(F.max("count")).first()[0]
+    need = k + (own_codes or 1)  # a query's own rows are left out at the end
     ranked = known.withColumn("rn", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("rn") <= need)
     entries = written(ranked.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
     # A probe costs as much as some compares: keys are a few bits short of one entry a bucket.
-    m = math.ceil(64 / min(16, max(8, math.log2(max(entries.count(), 2)) - 3)))
+    m = math.ceil(64 / min(32, max(8, math.log2(max(entries.count(), 2)) - 3)))
     edges = [64 * i // m for i in range(m + 1)]
     cuts = [(a, b - a) for a, b in zip(edges, edges[1:])]
     width = max(bits for _, bits in cuts)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.runtime import written
 from skein.llm.units import Ids, UnitTable, binary, blocks, cut_words, one_word, starts
-from skein.operators.ranking import bucketed_row_number
+from skein.operators.ranking import bucketed_row_number, fresh
 
 
 @lru_cache(maxsize=2)
@@ -295,7 +295,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, length_col: str = "length", or
     from 0 in each sequence. Columns of these names are replaced.
 
     Lengths must be 1 to ``capacity``; another or a null length is an error. Rows that are equal
-    in ``order`` are packed each by itself. An empty table gives an empty table.
+    in ``order`` are packed each by itself. Other columns may have any names. An empty table gives an empty table.
 
     ``pieces`` are written out once, counted by length, and ranked within their length in
     buckets by a hash, so that a length which many pieces share is dealt out over many tasks.
@@ -313,17 +313,15 @@ def pack(pieces: DataFrame, capacity: int = 2048, length_col: str = "length", or
             ranked[s] += n * k
             at += s * k
         base += n
-    spark = pieces.sparkSession
-    plan = spark.createDataFrame(rows, "_size long, _low long, _high long, _each long, _base long, _at long")
+    rank, size, low, high, each, first, start = fresh(pieces, "_rank", "_size", "_low", "_high", "_each", "_base", "_at")
+    plan = pieces.sparkSession.createDataFrame(rows, ", ".join(f"`{c}` long" for c in (size, low, high, each, first, start)))
     total = sum(counts.values())
-    ranked_pieces = bucketed_row_number(
-        pieces, [length_col], F.pmod(F.xxhash64(*order), F.lit(max(16, total // 100_000))), list(order), "_rank"
-    )
-    place = F.col("_rank") - F.col("_low")
+    ranked_pieces = bucketed_row_number(pieces, [length_col], F.pmod(F.xxhash64(*order), F.lit(max(16, total // 100_000))), list(order), rank)
+    place = F.col(rank) - F.col(low)
     return ranked_pieces.join(
-        F.broadcast(plan), (F.col(length_col) == F.col("_size")) & (F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_high"))
+        F.broadcast(plan), (F.col(length_col) == F.col(size)) & (F.col(rank) >= F.col(low)) & (F.col(rank) < F.col(high))  # bounded by the number of lengths
     ).select(
-        *pieces.columns,
-        (F.col("_base") + F.floor(place / F.col("_each"))).cast("long").alias("sequence_id"),
-        (F.col("_at") + F.pmod(place, F.col("_each")) * F.col(length_col)).cast("long").alias("offset"),
+        *[F.col(f"`{c}`") for c in pieces.columns],
+        (F.col(first) + F.floor(place / F.col(each))).cast("long").alias("sequence_id"),
+        (F.col(start) + F.pmod(place, F.col(each)) * F.col(length_col)).cast("long").alias("offset"),
     )

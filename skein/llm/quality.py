@@ -85,7 +85,8 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
-_PUNCTUATION = {ord(c): None for c in ".,;:!?'\"()-"}
+#: Marks go; white space beyond ASCII parts no words, and is no letter.
+_PUNCTUATION = {ord(c): None for c in ".,;:!?'\"()-"} | {c: "\0" for c in range(0x3001) if chr(c).isspace() and c not in set(BLANKS)}
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

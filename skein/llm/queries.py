@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import bpe, hamming, interleave, line_dedup, packing, quality, revisit, simhash, toxicity, wavelet
-from skein.llm.runtime import small_batches
+from skein.llm.runtime import small_batches, written
 from skein.operators.storage import shared_path
 
 
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -69,14 +68,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.ledger(_table(spark, sf_dir, "documents"))
+    rows = written(quality.ledger(_table(spark, sf_dir, "documents")), "ledger")
     return quality.apply_policy(quality.apply_policy(rows, quality.BASE, "base_kept"), quality.WEB).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_kept")).alias("base_failed"), "kept", "failed"
     )
 
 
 def op5b_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.ablation(quality.ledger(_table(spark, sf_dir, "documents")), [quality.BASE, quality.WEB])
+    return quality.ablation(written(quality.ledger(_table(spark, sf_dir, "documents")), "ledger"), [quality.BASE, quality.WEB])
 
 
 def op6_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

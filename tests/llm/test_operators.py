@@ -130,6 +130,8 @@ def test_packing(spark, docs, odd):
     assert len(places) == -(-sum(map(len, ids)) // 64)
     again = packing.pack(packing.token_pieces(odd, P.path("byte_bpe_50k.json")))
     assert again.count() == 9 and again.select("sequence_id", "offset").distinct().count() == 9
+    clash = spark.createDataFrame([(i, 0, 5 + i % 3, i, i, i, i) for i in range(40)], "doc_id long, piece int, length long, _size int, _rank int, _base int, _bucket int")
+    assert all(r._size == r._rank == r._base == r._bucket == r.doc_id for r in packing.pack(clash, 16).collect())
     assert packing.pack(packing.token_pieces(empty(spark), P.path("byte_bpe_50k.json"))).count() == 0
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([(1, 0, 0)], "doc_id long, piece int, length long"))
@@ -146,6 +148,8 @@ def test_quality_ledger(spark, docs, odd):
     for r in quality.ablation(rows, [quality.WEB]).collect():
         bit, mask = quality.BIT[r.rule], quality.WEB.mask
         assert (r.fails, r.fails_alone, r.kept_without) == (sum(f & bit > 0 for f in failed), sum(f & mask == bit for f in failed), sum(f & mask & ~bit == 0 for f in failed))
+    exotic = " ".join(["a\xa0b\u2003c\x1cd"] * 3 + ["e"])
+    assert quality.measure(exotic)[0] == 4 and quality.measure(exotic)[-1] == 1  # white space beyond ASCII parts no words
     kept = quality.keep(odd.withColumn("n_words", F.lit(1)), quality.BASE)
     assert kept.columns == [*odd.columns, "n_words"] and kept.count() == 7
 
@@ -165,6 +169,11 @@ def test_top_k(spark):
     few = spark.createDataFrame([(1, 5), (2, 5)], "vec_id long, code long")
     assert [(x.query_id, x.neighbour_id) for x in hamming.top_k(few, few, 9).orderBy("query_id").collect()] == [(1, 2), (2, 1)]
     assert hamming.top_k(few.limit(0), few.limit(0)).count() == 0
+    again = spark.createDataFrame([(1, 5), (1, 5), (1, 5), (1, 7), (2, 5), (3, 4), (4, 0), (5, 1 << 60), (None, 5), (6, None)], "vec_id long, code long")
+    got = sorted((x.rank, x.neighbour_id, x.distance) for x in hamming.top_k(again, again.where("code = 5 and vec_id = 1"), 3).collect())
+    assert got == [(1, 2, 0), (2, 3, 1), (3, 4, 2)]
+    with pytest.raises(Exception, match="64 bits"):
+        spark.range(1).select(hamming.sign_code(F.array_repeat(F.lit(1.0), 65))).collect()
 
 
 def test_wavelet_matrix():
@@ -237,8 +246,11 @@ def test_interleave(spark, odd):
     for shards in mix.values():
         n = [shards.get(s, 0) for s in range(24)]
         assert max(n) - min(n) <= 2
-    again = interleave.interleave(odd.withColumn("source", F.lit(None).cast("string")), 4).collect()
+    names = ["_size", "_bucket", "_rank", "_place", "_stratum", "_hash", "_key", "_part", "_shard", "row", "stratum", "hash", "part", "rank", "place", "size", "_n", "_start", "_g0"]
+    clash = odd.withColumn("source", F.lit(None).cast("string")).select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)], F.create_map(F.lit("k"), F.col("n_lines")).alias("m"))
+    again = interleave.interleave(clash, 4).collect()
     assert len(again) == 9 and len({(x.shard, x.slot) for x in again}) == 9
+    assert all(x[c] == k for x in again for k, c in enumerate(names))
     assert interleave.interleave(empty(spark), 24).count() == 0
     one = interleave.interleave(spark.createDataFrame([(1, "a")], "doc_id long, source string"), 24).first()
     assert one.slot == 0
@@ -273,6 +285,43 @@ def test_toxicity(spark, odd):
     assert toxicity.score(df, none).agg(F.max("predicted")).first()[0] == 0
 
 
+def test_toxicity_scores_in_plain_python(spark):
+    """Scores from n-grams counted by hand, and the threshold by trying each."""
+
+    def bucket(gram):
+        h = ord(gram[0])
+        for c in gram[1:]:
+            h = (h * 0x01000193 + ord(c) + 1) % (1 << 32)
+        return h * 0x9E3779B1 % (1 << 32) >> 32 - toxicity.BITS
+
+    texts = [None, "", "Ärger\n\tÜBER  dich", "x", "漢字 漢字👍", "ab" * 4000]
+    for t in texts:
+        plain = " " + " ".join((t or "").lower().split()) + " "
+        assert toxicity.features(t).tolist() == sorted({bucket(plain[i : i + n]) for n in (3, 4, 5) for i in range(len(plain) - n + 1)})
+    r = np.random.default_rng(0)
+    model = toxicity.Model(r.normal(size=1 << toxicity.BITS).astype(np.float32) / 50, 0.3)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in toxicity.score(df, model).collect():
+        z = sum(float(model.weights[b]) for b in set(toxicity.features(texts[x.doc_id]).tolist())) + 0.3
+        assert abs(x.score - 1 / (1 + np.exp(-z))) < 1e-6 and x.predicted == int(z >= 0)
+    for _ in range(20):
+        z, label = np.round(r.normal(size=30), 1), r.integers(0, 2, 30)
+        gain = lambda c: (z[label == 1] >= c).mean() - toxicity.CLEAN_WEIGHT * (z[label == 0] >= c).mean()
+        assert gain(toxicity._threshold(z, label)) >= max(map(gain, z.tolist())) - 1e-9
+
+
+def test_toxicity_held_out(spark):
+    """On labelled rows that are never learnt from. The toxic words of the invented languages other
+    than English are parts of clean words as well."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs.select("doc_id", "text"), labels)
+    rows = toxicity.score(docs.join(labels, "doc_id"), model).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    got = {(x.lang, x.toxic, x.predicted): x["count"] for x in rows.groupBy("lang", "toxic", "predicted").count().collect()}
+    n = lambda toxic, predicted, langs="en fr de es": sum(got.get((x, toxic, predicted), 0) for x in langs.split())
+    assert n(1, 1) >= 0.9 * (n(1, 1) + n(1, 0)) and n(0, 1) <= 0.03 * (n(0, 0) + n(0, 1))
+    assert n(1, 1, "en") >= 0.9 * (n(1, 1, "en") + n(1, 0, "en")) and n(1, 1, "fr de es") >= 0.85 * (n(1, 1, "fr de es") + n(1, 0, "fr de es"))
+
+
 def test_revisits(spark):
     header = {"content-type": "text/html", "server": "a", "etag": '"1"'}
     row = lambda i, url, t, s, tag, date=None, d=None, h=None: (i, url, t, s, tag, date, d, h or {})
