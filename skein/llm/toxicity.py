@@ -16,7 +16,7 @@ from skein.llm.runtime import written
 SIZES = (3, 4, 5)
 BITS = 20
 #: At most so many labelled rows are learnt from, those with the least hash of their id.
-FIT_ROWS = 8_000
+FIT_ROWS = 6_000
 #: A clean document taken for toxic counts as so many missed toxic ones where the threshold is set.
 CLEAN_WEIGHT = 3.0
 #: White space that runs together to one blank.
@@ -63,38 +63,38 @@ def training_rows(labels: DataFrame, id_col: str = "doc_id", label_col: str = "t
 
 
 class _Sample:
-    """Presence of features in rows, as one list of feature numbers a row, and balanced labels."""
-
-    def __init__(self, each: list[np.ndarray], label: np.ndarray, scale: np.ndarray):
-        self.size, self.at = np.array([len(x) for x in each], np.int64), np.concatenate([*each, np.zeros(0, np.int32)])
-        self.label, self.scale = label, scale
-        n_pos = max(1.0, label.sum())
-        self.weight = np.where(label == 1, 0.5 / n_pos, 0.5 / max(1.0, len(label) - n_pos))
-        cuts, room = [0], 0  # parts of some two million entries, so that what is between stays small
-        for k, n in enumerate(self.size.tolist()):
+    """Presence of features in rows: the feature numbers of all rows in one array, and how many
+    each row has. Rows that are not ``used`` have no weight; the classes of the others weigh alike."""
+
+    def __init__(self, at: np.ndarray, size: np.ndarray, label: np.ndarray, scale: np.ndarray):
+        self.at, self.size, self.label, self.scale = at, size, label, scale
+        self.start = np.r_[0, np.cumsum(size)]
+        cuts, room = [0], 0  # parts of some million entries, so that what is between stays small
+        for k, n in enumerate(size.tolist()):
             room += n
-            if room > 2_000_000:
+            if room > 1_000_000:
                 cuts.append(k + 1)
                 room = 0
         self.parts = list(zip(cuts, [*cuts[1:], len(label)]))
-        self.start = np.r_[0, np.cumsum(self.size)]
 
-    def margins(self, w: np.ndarray, b: float) -> np.ndarray:
-        own, z = w * self.scale, np.full(len(self.label), b)
+    def margins(self, v: np.ndarray) -> np.ndarray:
+        """Of each row; the last number of ``v`` is the bias."""
+        own, z = v[:-1] * self.scale, np.full(len(self.label), v[-1])
         for i, j in self.parts:
             sums = np.r_[0.0, np.cumsum(own[self.at[self.start[i] : self.start[j]]])]
-            ends = self.start[i : j + 1] - self.start[i]
-            z[i:j] += np.diff(sums[ends])
+            z[i:j] += np.diff(sums[self.start[i : j + 1] - self.start[i]])
         return z
 
-    def loss(self, v: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
-        """The balanced logistic loss with its gradient; the last number of ``v`` is the bias."""
-        w, z = v[:-1], self.margins(v[:-1], v[-1])
-        error = self.weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - self.label)
+    def loss(self, v: np.ndarray, used: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+        """The balanced logistic loss of the used rows with its gradient."""
+        n_pos, n = max(1.0, self.label[used].sum()), used.sum()
+        weight = np.where(self.label == 1, 0.5 / n_pos, 0.5 / max(1.0, n - n_pos)) * used
+        w, z = v[:-1], self.margins(v)
+        error = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - self.label)
         g = np.zeros(len(w))
         for i, j in self.parts:
             g += np.bincount(self.at[self.start[i] : self.start[j]], weights=np.repeat(error[i:j], self.size[i:j]), minlength=len(w))
-        value = (self.weight * (np.logaddexp(0, z) - self.label * z)).sum() + l2 / 2 * (w @ w)
+        value = (weight * (np.logaddexp(0, z) - self.label * z)).sum() + l2 / 2 * (w @ w)
         return value, np.r_[self.scale * g + l2 * w, error.sum()]
 
 
@@ -178,20 +178,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             at = [held.value[features(t)] for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a[a >= 0].tobytes() for a in at], pa.binary())], names=["label", "trial", "at"])
 
-    table = train.mapInArrow(sparse, "label int, trial boolean, at binary").toArrow()
-    label, trial = table.column("label").to_numpy().astype(float), table.column("trial").to_numpy()
-    each = [np.frombuffer(x.as_buffer(), np.int32) for x in table.column("at")]
-    part = lambda mask: _Sample([each[i] for i in np.flatnonzero(mask)], label[mask], scale)
-    v, cut = np.zeros(len(scale) + 1), 0.0
+    table = written(train.mapInArrow(sparse, "label int, trial boolean, at binary"), "features")
+    room = table.agg(F.sum(F.octet_length("at")), F.count(F.lit(1))).first()
+    at, size = np.empty(room[0] // 4, np.int32), np.empty(room[1], np.int64)
+    label, trial, end = np.empty(room[1]), np.empty(room[1], bool), 0
+    for k, r in enumerate(table.toLocalIterator()):  # a part of the bounded sample at a time
+        label[k], trial[k], size[k] = r["label"], r["trial"], len(r["at"]) // 4
+        at[end : end + size[k]] = np.frombuffer(r["at"], np.int32)
+        end += int(size[k])
+    rows_of, v, cut = _Sample(at, size, label, scale), np.zeros(len(scale) + 1), 0.0
     if 0 < label[~trial].sum() < (~trial).sum() and trial.any():
-        learnt = part(~trial)
-        v = _minimize(lambda x: learnt.loss(x, l2), v, rounds)
-        del learnt
-        tried = part(trial)
-        cut = _threshold(tried.margins(v[:-1], v[-1]), tried.label)
-        del tried
-    whole = part(np.ones(len(label), bool))
-    v = _minimize(lambda x: whole.loss(x, l2), v, rounds)
+        v = _minimize(lambda x: rows_of.loss(x, ~trial, l2), v, rounds)
+        cut = _threshold(rows_of.margins(v)[trial], label[trial])
+    v = _minimize(lambda x: rows_of.loss(x, np.ones(len(label), bool), l2), v, rounds)
     weights = np.zeros(1 << BITS, np.float32)
     weights[buckets] = v[:-1] * scale
     return Model(weights, float(v[-1]) - cut)
