@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 from skein.functions.words import NOISE, OVERLAP_STOP, STOP
 
+#: A word's edge. \\b takes accented letters for parts of words in Java 17 and not in the SQL and
+#: script engines whose results are to be met, so that edges are spelled out over ASCII.
+EDGE = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+
 #: What is no prose, in the order of removal. Fixed values.
 ARTIFACTS = [
     r"```[\s\S]*?```",
     r"`[^`\n]{1,200}`",
-    r"\b(?:https?|file|ftp)://\S+",
+    EDGE[0] + r"(?:https?|file|ftp)://\S+",
     r"(?:\.{0,2}/)?(?:[A-Za-z0-9._-]+/){2,}[A-Za-z0-9._-]+",
-    r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b",
-    r"(?i)\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b",
-    r"(?:\.|->)\s*[a-z][a-zA-Z0-9]*(?![A-Za-z0-9_])",
+    "(?i)" + EDGE[0] + r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}" + EDGE[1],
+    "(?i)" + EDGE[0] + r"[a-z][a-z0-9]*(?:_[a-z0-9]+)+" + EDGE[1],
+    r"(?:\.|->)\s*[a-z][a-zA-Z0-9]*" + EDGE[1],
     r'"[^"\n]{1,80}"\s*:',
     r'"[a-zA-Z][a-zA-Z0-9_-]{0,30}"',
-    r":\s*\d+(?:\.\d+)?(?![A-Za-z0-9_])",
+    r":\s*\d+(?:\.\d+)?" + EDGE[1],
 ]
 #: Hard breaks, then ends of sentences that follow no capital or digit. Fixed values.
 PARAGRAPH = r"\n\s*\n|\n\s*[-*•]\s+|\n\s*\d+[.)]\s+"
@@ -70,7 +74,7 @@ def tokens(text: Column) -> Column:
 
 
 def content_words(text: Column) -> Column:
-    """Distinct words of more than two characters, without 32 common ones."""
+    """Distinct words of more than two characters, without the common ones."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     return F.array_distinct(F.filter(words, lambda w: (F.char_length(w) > 2) & ~w.isin(*OVERLAP_STOP)))
 

@@ -48,22 +48,29 @@ def entropy_closed_form(edges: DataFrame) -> DataFrame:
 def lambda_max(edges: DataFrame, rounds: int = 1000, tolerance: float = 1e-4, every: int = 5) -> tuple[float, int, float]:
     """EN-4. (eigenvalue, rounds, residual) of the normalized Laplacian over n, by power iteration.
     The vector stays in Spark; one row of sums comes to the driver a round; the vector is written
-    out every few rounds."""
+    out every few rounds: a lost executor costs no more than these."""
     terms = written(edge_terms(edges).select("src", "dst", (F.col("weight") / F.sqrt(F.col("di") * F.col("dj"))).alias("weight")), "scaled")
     near = written(both_ways(terms), "near")
     x = near.select("node").distinct().withColumn("x", 1 + F.pmod(F.col("node") * 2654435761, F.lit(1000)) / 1000)
     n = x.count()
-    value, residual = 0.0, math.inf
+    value, residual, kept = 0.0, math.inf, []
     for r in range(1, rounds + 1):
         dot = near.join(x.toDF("other", "xo"), "other").groupBy("node").agg(F.sum(F.col("weight") * F.col("xo")).alias("a"))
         both = x.join(dot, "node").select("node", "x", ((F.col("x") - F.col("a")) / n).alias("y"))
-        both = written(both, "vector") if r % every == 0 else both.persist()
+        if r % every == 0:
+            both = written(both, "vector")
+            while kept:
+                kept.pop().unpersist()
+        else:
+            kept.append(both := both.persist())
         xx, xy, yy = both.agg(F.sum(F.col("x") * F.col("x")), F.sum(F.col("x") * F.col("y")), F.sum(F.col("y") * F.col("y"))).first()
         value = xy / xx
         residual = math.sqrt(max(0.0, yy / xx - value * value)) / max(value, 1e-300)
         if residual < tolerance or not yy:
             break
         x = both.select("node", (F.col("y") / math.sqrt(yy)).alias("x"))
+    for df in kept:
+        df.unpersist()
     return value, r, residual
 
 
@@ -75,23 +82,50 @@ def graph_entropy(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     return q.select("n", "q", F.lit(value).alias("lambda"), h.alias("entropy"), F.lit(r).alias("rounds"), F.lit(residual).alias("residual"), F.lit(residual < 1e-4).alias("converged"))
 
 
+def triangles(edges: DataFrame) -> DataFrame:
+    """(a, b, c, wab, wac, wbc) of every triangle of simple edges, once. Edges point from the end of
+    the lower degree, so that a node has at most sqrt(2 E) of them to pair, however large a hub."""
+    n = both_ways(edges).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    both = edges.join(n.toDF("src", "ns"), "src").join(n.toDF("dst", "nd"), "dst")
+    up = F.struct("ns", "src") < F.struct("nd", "dst")
+    out = written(both.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"), "weight"), "oriented")
+    left, right = out.toDF("a", "b", "wab"), out.toDF("a", "c", "wac")
+    wedges = left.join(right, "a").where("b < c")
+    closing = out.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("c"), F.col("weight").alias("wbc"))
+    return wedges.join(closing, ["b", "c"]).select("a", "b", "c", "wab", "wac", "wbc")
+
+
 def entropy_centrality(edges: DataFrame) -> DataFrame:
-    """EN-6. (node, score): Q less Q without the node. Removing v changes only the terms of its own
-    edges, which go, and of its neighbours' edges, whose degrees fall."""
+    """EN-6. (node, score): Q less Q without the node. Removing v takes its own edges, and lowers the
+    degree of each neighbour u, which scales the terms of u's other edges by d / (d - w).
+
+    With S the sum of a node's w^2 / d(other), that is a sum over the edges of v, once every edge
+    with both ends at v's neighbours, a triangle, is given what the two factors have together
+    beyond their sum.
+    """
     terms = written(edge_terms(edges), "terms")
     total, n = terms.agg(F.sum("term")).first()[0] or 0.0, strength(edges).count()
-    near = both_ways(edges)
-    own = terms.select(F.explode(F.array("src", "dst")).alias("v"), "term").groupBy("v").agg(F.sum("term").alias("own"))
-    at_src = near.select(F.col("node").alias("v"), F.col("other").alias("src"), F.col("weight").alias("wi"))
-    at_dst = near.select(F.col("node").alias("v"), F.col("other").alias("dst"), F.col("weight").alias("wj"))
-    touched = terms.join(at_src, "src").where("v <> dst").select("v", "src", "dst", "wi", F.lit(0.0).alias("wj")).unionByName(terms.join(at_dst, "dst").where("v <> src").select("v", "src", "dst", F.lit(0.0).alias("wi"), "wj"))
-    per = touched.groupBy("v", "src", "dst").agg(F.sum("wi").alias("wi"), F.sum("wj").alias("wj")).join(terms, ["src", "dst"])
-    new = F.col("weight") * F.col("weight") / ((F.col("di") - F.col("wi")) * (F.col("dj") - F.col("wj")))
-    change = per.groupBy("v").agg(F.sum(new - F.col("term")).alias("change"))
-    left = F.lit(total) - F.col("own") + F.coalesce("change", F.lit(0.0))
+    ends = F.array(F.struct(F.col("src").alias("v"), F.col("dst").alias("u"), F.col("di").alias("dv"), F.col("dj").alias("du")), F.struct(F.col("dst").alias("v"), F.col("src").alias("u"), F.col("dj").alias("dv"), F.col("di").alias("du")))
+    near = terms.select("weight", "term", F.explode(ends).alias("e")).select("weight", "term", "e.*")
+    own = near.groupBy("v").agg(F.sum("term").alias("own"), F.first("dv").alias("d"))
+    around = near.groupBy(F.col("v").alias("u")).agg(F.sum(F.col("weight") * F.col("weight") / F.col("du")).alias("s"))
+    left_over = F.col("du") - F.col("weight")
+    grown = F.when(left_over <= 1e-12 * F.col("du"), 0.0).otherwise((F.col("s") - F.col("weight") * F.col("weight") / F.col("dv")) * (1 / left_over - 1 / F.col("du")))
+    change = near.join(around, "u").groupBy("v").agg(F.sum(grown).alias("change"))
+    d = own.select(F.col("v").alias("node"), "d")
+    found = triangles(terms.select("src", "dst", "weight"))
+    for c in "abc":
+        found = found.join(d.toDF(c, f"d{c}"), c)
+    extra = lambda x, wx, y, wy, w: F.col(w) * F.col(w) / (F.col(x) * F.col(y)) * (F.col(x) / (F.col(x) - F.col(wx)) - 1) * (F.col(y) / (F.col(y) - F.col(wy)) - 1)
+    of = F.array(
+        F.struct(F.col("a").alias("v"), extra("db", "wab", "dc", "wac", "wbc").alias("x")), F.struct(F.col("b").alias("v"), extra("da", "wab", "dc", "wbc", "wac").alias("x")),
+        F.struct(F.col("c").alias("v"), extra("da", "wac", "db", "wbc", "wab").alias("x")),
+    )
+    together = found.select(F.explode(of).alias("t")).select("t.*").groupBy("v").agg(F.sum("x").alias("together"))
+    left = F.lit(total) - F.col("own") + F.coalesce("change", F.lit(0.0)) + F.coalesce("together", F.lit(0.0))
     q = 1 - (n + 2 * total) / (n * n)
     without = 1 - (F.lit(n - 1) + 2 * left) / float((n - 1) * (n - 1))
-    return own.join(change, "v", "left").select(F.col("v").alias("node"), (F.lit(q) - without).alias("score"))
+    return own.join(change, "v", "left").join(together, "v", "left").select(F.col("v").alias("node"), (F.lit(q) - without).alias("score"))
 
 
 def second_moment(vectors: DataFrame, group: str, vector: str) -> DataFrame:

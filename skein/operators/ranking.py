@@ -35,3 +35,10 @@ def bucketed_row_number(df: DataFrame, groups: list[str], bucket: Column, order:
     within = Window.partitionBy(*keys, at).orderBy(*order)
     ranked = dealt.withColumn(place, F.row_number().over(within) - 1)
     return ranked.join(starts, [*keys, at]).select(*[F.col(f"`{c}`") for c in kept], (F.col(start) + F.col(place)).alias(name))
+
+
+def falling(df: DataFrame, name: str, buckets: int = 64) -> Column:
+    """A bucket for ranks by a falling number: how many of the table's quantiles are above it."""
+    cuts = df.agg(F.percentile_approx(name, [k / buckets for k in range(1, buckets)])).first()[0] or []
+    cuts = sorted(set(cuts))
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col(name))) if cuts else F.lit(0)

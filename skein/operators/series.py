@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.ranking import bucketed_row_number, falling
+
+
 def along():
     return Window.partitionBy("series").orderBy("iteration")
 
@@ -74,35 +77,27 @@ def early_convergence(rows: DataFrame, n: int = 5, most_variance: float = 0.01,
     return numbered(rows).withColumn("converging", F.coalesce(flag, F.lit(False))).drop("_n")
 
 
-def confirm(state: dict, iteration: int, correlation: float, h: int) -> bool:
-    """One step of TS-8; ``state`` holds the last sign, the candidate's start and recent signs."""
-    sign = (correlation > 0) - (correlation < 0)
-    state["recent"] = [*state.get("recent", []), sign][-3:]
-    if sign and state.get("sign") and sign != state["sign"]:
-        state["start"], state["want"] = iteration, sign
-    if sign:
-        state["sign"] = sign
-    start = state.get("start")
-    if start is None or iteration - start < 3 or h < 2:
-        return False
-    if sum(s == state["want"] for s in state["recent"]) < 0.6 * len(state["recent"]):
-        return False
-    state["start"] = None
-    return True
-
+def confirmed_transition(rows: DataFrame, least: int = 3, share: float = 0.6) -> DataFrame:
+    """TS-8. (series, iteration, ``confirmed``): true once for each sign flip that holds: on the
+    first row at least ``least`` rows later where ``share`` of the last three signs are as after the
+    flip and h is 2 or more, before the next flip.
 
-def confirmed_transition(rows: DataFrame) -> DataFrame:
-    """TS-8. ``confirmed``: once for each sign flip that holds: at least 3 iterations later, 60 % of
-    the last 3 signs as after the flip, and h of 2 or more. A fold; one series is one group."""
-
-    def fold(pdf):
-        state: dict = {}
-        pdf = pdf.sort_values("iteration")
-        pdf["confirmed"] = [confirm(state, i, c, h) for i, c, h in zip(range(len(pdf)), pdf["correlation"], pdf["h"])]
-        return pdf[["series", "iteration", "confirmed"]]
-
-    kinds = dict(rows.dtypes)
-    return rows.select("series", "iteration", "correlation", "h").groupBy("series").applyInPandas(fold, f"series {kinds['series']}, iteration {kinds['iteration']}, confirmed boolean")
+    In closed form: the flips number the stretches of a series, and the first row of a stretch that
+    meets the rule is the one.
+    """
+    sign = F.signum("correlation").cast("int")
+    before = F.last(F.when(sign != 0, sign), True).over(along().rowsBetween(Window.unboundedPreceding, -1))
+    back = along().rowsBetween(Window.unboundedPreceding, 0)
+    n = F.row_number().over(along())
+    marked = rows.select("series", "iteration", "h", sign.alias("sign"), n.alias("n"), F.coalesce((sign != 0) & (sign != before), F.lit(False)).alias("flip"))
+    held = marked.select(
+        "series", "iteration", "h", "n", F.count_if("flip").over(back).alias("stretch"), F.collect_list("sign").over(last_rows(3)).alias("recent"),
+        F.last(F.when(F.col("flip"), F.col("n")), True).over(back).alias("start"), F.last(F.when(F.col("flip"), F.col("sign")), True).over(back).alias("want"),
+    )
+    alike = F.size(F.filter("recent", lambda s: s == F.col("want"))) >= F.lit(share) * F.size("recent")
+    meets = F.coalesce((F.col("n") - F.col("start") >= least) & (F.col("h") >= 2) & alike, F.lit(False))
+    first = F.min(F.when(F.col("meets"), F.col("n"))).over(Window.partitionBy("series", "stretch"))
+    return held.withColumn("meets", meets).select("series", "iteration", F.coalesce(F.col("n") == first, F.lit(False)).alias("confirmed"))
 
 
 def regime_features(rows: DataFrame, n: int = 10) -> DataFrame:
@@ -116,29 +111,23 @@ def regime_features(rows: DataFrame, n: int = 10) -> DataFrame:
 
 
 def regime(rows: DataFrame, persistence: int = 5) -> DataFrame:
-    """TS-9. nascent, stable, critical or transitioning from the features of TS-10: critical above
-    0.5 / 0.8, stable below 0.2 / 0.3 with growth, else transitioning, after ``persistence`` rows of
-    the same class; until then the regime before. A fold; one series is one group."""
-    features = regime_features(rows)
-    kinds = dict(features.dtypes)
-
-    def fold(pdf):
-        pdf = pdf.sort_values("iteration")
-        now, wait, same, out = "nascent", "nascent", 0, []
-        for v, s, g, status in zip(pdf["cdp_variance"], pdf["correlation_std"], pdf["recent_growth"], pdf["status"]):
-            if status != "measured":
-                out.append("nascent")
-                continue
-            kind = "critical" if v > 0.5 and s > 0.8 else "stable" if v < 0.2 and s < 0.3 and g > 0 else "transitioning"
-            same = same + 1 if kind == wait else 1
-            wait = kind
-            if same >= persistence:
-                now = kind
-            out.append(now)
-        pdf["regime"] = out
-        return pdf[["series", "iteration", "regime"]]
-
-    return features.groupBy("series").applyInPandas(fold, f"series {kinds['series']}, iteration {kinds['iteration']}, regime string")
+    """TS-9. (series, iteration, ``regime``): nascent, stable, critical or transitioning from the
+    features of TS-10: critical above 0.5 / 0.8, stable below 0.2 / 0.3 with growth, else
+    transitioning, after ``persistence`` rows of the same class; until then the regime before.
+
+    In closed form: runs of equal classes are numbered, and the regime is the last class that has
+    stood ``persistence`` rows in its run.
+    """
+    v, s, g = F.col("cdp_variance"), F.col("correlation_std"), F.col("recent_growth")
+    kind = F.when((v > 0.5) & (s > 0.8), "critical").when((v < 0.2) & (s < 0.3) & (g > 0), "stable").otherwise("transitioning")
+    measured = F.col("status") == "measured"
+    marked = regime_features(rows).select("series", "iteration", F.when(measured, kind).alias("kind"))
+    back = along().rowsBetween(Window.unboundedPreceding, 0)
+    change = F.when(F.col("kind").eqNullSafe(F.lag("kind").over(along())), 0).otherwise(1)
+    runs = marked.withColumn("change", change).withColumn("run", F.sum("change").over(back))
+    stood = F.row_number().over(Window.partitionBy("series", "run").orderBy("iteration"))
+    settled = runs.withColumn("settled", F.when(stood >= persistence, F.col("kind")))
+    return settled.select("series", "iteration", F.coalesce(F.last("settled", True).over(back), F.lit("nascent")).alias("regime"))
 
 
 def hysteresis_state(rows: DataFrame, value: str, low: float = 2, high: float = 5) -> DataFrame:
@@ -167,9 +156,10 @@ def rapid_change(rows: DataFrame, times: float = 3) -> DataFrame:
 
 
 def topology_reorganized(rows: DataFrame, most: int = 3) -> DataFrame:
-    """TS-15. Iterations in which more than ``most`` nodes moved by over half the ranks."""
-    per = Window.partitionBy("iteration")
-    ranked = rows.withColumn("rank", F.row_number().over(per.orderBy(F.desc("score"), "series"))).withColumn("n", F.count(F.lit(1)).over(per))
+    """TS-15. Iterations in which more than ``most`` nodes moved by over half the ranks. The ranks of
+    an iteration are dealt out by ranges of the score."""
+    placed = bucketed_row_number(rows, ["iteration"], falling(rows, "score"), [F.desc("score"), "series"], "rank")
+    ranked = placed.join(rows.groupBy("iteration").agg(F.count(F.lit(1)).alias("n")), "iteration")
     moved = ranked.withColumn("was", F.lag("rank").over(along())).where(F.abs(F.col("rank") - F.col("was")) > F.col("n") * 0.5)
     return moved.groupBy("iteration").agg(F.count(F.lit(1)).alias("moved")).where(F.col("moved") > most)
 

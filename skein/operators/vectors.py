@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.ranking import bucketed_row_number
+from skein.operators.storage import written
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
@@ -26,17 +29,29 @@ def similarity_search(rows: DataFrame, query: list[float], floor: float, k: int,
     return near.where(F.col("similarity") >= floor).orderBy(F.desc("similarity"), key).limit(k)
 
 
-def similarity_search_batch(rows: DataFrame, queries: DataFrame, floor: float, k: int, vector: str, key: str, blocks: int = 16) -> DataFrame:
+#: Numbers in the query vectors of a block, which is sent to every task: 32 MB.
+BLOCK_NUMBERS = 4_000_000
+
+
+def similarity_search_batch(rows: DataFrame, queries: DataFrame, floor: float, k: int, vector: str, key: str) -> DataFrame:
     """VE-2. (query_id, rank, key, similarity): the best k of each of a table of query vectors.
 
-    A stated query set against all rows: queries (query_id, qv) are dealt over ``blocks`` and each
-    row is compared in every block; only k rows a query leave a task (window group limit).
+    A stated query set against all rows, in blocks: queries (query_id, qv) are ranked and cut into
+    blocks of at most BLOCK_NUMBERS numbers by a count of them, and each block is sent to the rows,
+    which stay where they are; only k rows a query leave a task (window group limit).
     """
-    asked = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    dealt = rows.select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b")).withColumn("_b", F.col("_b").cast("long"))
-    met = dealt.join(asked, "_b").withColumn("similarity", cosine(F.col(vector), F.col("qv"))).where(F.col("similarity") >= floor)
+    asked = written(queries.select("query_id", "qv"), "asked")
+    n, longest = asked.agg(F.count(F.lit(1)), F.max(F.size("qv"))).first()
+    blocks = max(1, -(-n * max(1, longest or 1) // BLOCK_NUMBERS))
+    placed = asked if blocks == 1 else written(bucketed_row_number(asked, [], F.pmod(F.xxhash64("query_id"), F.lit(64 * blocks)), ["query_id"], "place"), "placed")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), key))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "similarity")
+    found = None
+    for b in range(blocks):
+        block = placed if blocks == 1 else placed.where((F.col("place") >= b * n // blocks) & (F.col("place") < (b + 1) * n // blocks))
+        met = rows.select(key, vector).join(F.broadcast(block.select("query_id", "qv")), F.lit(True)).withColumn("similarity", cosine(F.col(vector), F.col("qv"))).where(F.col("similarity") >= floor)
+        best = met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "similarity")
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def centroid(rows: DataFrame, group: str, vector: str, dimension: int | None = None) -> DataFrame:

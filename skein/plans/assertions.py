@@ -153,7 +153,7 @@ def alias_suggestions(spark, sf):
 def community_of_claim(spark, sf):
     toks = _claims(spark, sf).select("id", F.explode(F.array(F.lower("subject"), F.lower("predicate"), "object")).alias("token"))
     comm = table(spark, sf, "customer").select(F.col("c_nationkey").alias("community"), F.explode(F.array(F.lower("c_mktsegment"), F.concat(F.lit("n"), "c_nationkey"))).alias("token"))
-    return C.community_of_claim(toks, comm.where("community < 20"))
+    return C.community_of_claim(toks, comm)
 
 
 def claim_blocks(spark, sf):
@@ -272,7 +272,7 @@ _CAUSES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "none-such"]
 
 
 def extraction_failures(spark, sf):
-    return C.extraction_failures(table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderpriority").alias("cause")), _CAUSES)
+    return C.extraction_failures(table(spark, sf, "orders").select(F.col("o_orderpriority").alias("cause")), _CAUSES)
 
 
 def _findings(spark, sf):
@@ -492,7 +492,7 @@ _SQL = {
         select k.label, coalesce(o.canonical, v.word, m.m, s.s) as canonical, case when o.canonical is not null then 'ontology' when v.word is not null then 'vocabulary' when m.m is not null then 'morphology' else 'shortest' end as method from k left join o on o.label = k.label left join v on v.word = k.label left join m on m.stem = k.stem join s on s.stem = k.stem""",
     "cl7": """with v as (select vec_id, label, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from embeddings), c as (select q.vec_id as label, r.vec_id as other, q.label as bl, r.label as bo, sum(q.x * r.x) / (sqrt(sum(q.x * q.x)) * sqrt(sum(r.x * r.x))) as s from v q join v r on q.i = r.i where q.vec_id % 100 = 0 and q.vec_id <> r.vec_id group by all)
         select label, other, round(s, 6) + 0.0 as similarity, bl <> bo as critical from c where s >= 0.2 qualify row_number() over (partition by label order by round(s, 6) desc, other) = 1""",
-    "cl8": f"with {CLAIMS}, t as (select distinct id, unnest([lower(subject), lower(predicate), object]) as token from cl), m as (select distinct c_nationkey as community, unnest([lower(c_mktsegment), 'n' || c_nationkey]) as token from customer where c_nationkey < 20), n as (select id, community, count(*) as n from t join m using (token) group by all) select id, community, n as shared from n qualify row_number() over (partition by id order by n desc, community) = 1",
+    "cl8": f"with {CLAIMS}, t as (select distinct id, unnest([lower(subject), lower(predicate), object]) as token from cl), m as (select distinct c_nationkey as community, unnest([lower(c_mktsegment), 'n' || c_nationkey]) as token from customer), n as (select id, community, count(*) as n from t join m using (token) group by all) select id, community, n as shared from n qualify row_number() over (partition by id order by n desc, community) = 1",
     "cl9": f"with {CLAIMS} select corpus, scope, holder, array_to_string(list_sort(list_distinct(list(subject || ' ' || predicate || ' ' || polarity))), ';') as propositions, array_to_string(list_sort(list_distinct(list(format('{{:03d}}', segment)))), ',') as segments, count(*) as claims from cl where accepted group by corpus, scope, holder",
     "cl10": f"with {CLAIMS} select id, case when polarity = 'denied' then '-' else '' end || case kind when 'property' then {_NAME('predicate')} || '(' || {_NAME('subject')} || ')' when 'relation' then {_NAME('predicate')} || '(' || {_NAME('subject')} || ',' || {_NAME('object')} || ')' when 'identity' then {_NAME('subject')} || '=' || {_NAME('object')} else 'causes(' || {_NAME('subject')} || ',' || {_NAME('object')} || ')' end as formula from cl",
     "cl11": f"with im as (select * from (values {', '.join(map(str, _IMPOSSIBLE))}) t(set_id, stance)), h as (select distinct o_custkey as holder, o_orderpriority || '/' || o_orderstatus as stance from orders) select holder, set_id from h join im using (stance) group by holder, set_id having count(*) = (select count(*) from im i where i.set_id = im.set_id)",
@@ -513,7 +513,7 @@ _SQL = {
         select x.symbol as a, y.symbol as b, not exists (select 1 from sy p join sy q on p.block = q.block where p.symbol = x.symbol and q.symbol = y.symbol) as critical from k x join k y on x.key = y.key and x.symbol < y.symbol""",
     "cl21": """with o as (select distinct 'b:' || format('{:05d}:{:03d}', conv_id, turn) as b, 's:' || conv_id || ':' || role as s from conversations), bo as (select b as x, s as y from o union select s, b from o),
         re as (with recursive r(n, m) as (select x, x from bo union select r.n, bo.y from r join bo on bo.x = r.m) select n, min(m) as c from r group by n) select substr(n, 3) as block, substr(c, 3) as component from re where starts_with(n, 'b:')""",
-    "cl22": f"select o_orderpriority as cause, count(*) as n from orders where o_orderstatus = 'F' and o_orderpriority in ({', '.join(repr(c) for c in _CAUSES)}) group by 1",
+    "cl22": f"select o_orderpriority as cause, count(*) as n from orders where o_orderpriority in ({', '.join(repr(c) for c in _CAUSES)}) group by 1",
     "fi1": f"with {FIND} select id, case when trim(verdict) = '' then 'missing-verdict' when coalesce(trim(coverage), '') = '' then 'missing-coverage' when method = 'derived' and len(claims) < 1 then 'missing-claims' when method = 'evidential' and receipts < 1 then 'missing-receipts' when scope > grounds then 'scope-above-grounds' end as reason from fi",
     "fi2": f"with {FIND}, f as (select id, sha256(namespace || chr(1) || corpus || chr(1) || outcome || chr(1) || method || chr(1) || verdict || chr(1) || coalesce(coverage, chr(2))) as fingerprint from fi) select min(id) as id, fingerprint from f group by fingerprint",
     "fi3": f"with {FIND} select newer, older, reason, shared from conf",

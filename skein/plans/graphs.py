@@ -99,7 +99,7 @@ def segmentation_artifacts(spark, sf):
 
 def communities(spark, sf):
     edges, _ = _graph(spark, sf)
-    found = G.communities(edges, rounds=6, levels=2)
+    found = G.communities(edges)
     return found.join(G.modularity(edges, found), F.lit(True))  # one row each side of the figure
 
 
@@ -205,8 +205,8 @@ def anomaly_census(spark, sf):
 
 
 def reachable_from(spark, sf):
-    chain = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), F.floor(F.col("l_suppkey") / 2).alias("dst")).distinct()
-    return G.reachable_from(chain, table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("start")))
+    ring = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 97).alias("src"), ((F.col("l_suppkey") * 3 + 1) % 97).alias("dst")).distinct()
+    return G.reachable_from(ring, table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("start")))
 
 
 QUERIES = {
@@ -287,5 +287,5 @@ SQL = {
             union all select 'gap:' || ca || ':' || cb, delta from delta where delta > 0 union all select 'cycles', 10.0 + n_edges - n_nodes + n_components from cyc where n_edges - n_nodes + n_components > 0
             union all select 'verdict:' || o_orderstatus, 100.0 from orders group by o_orderstatus having avg(o_totalprice) > 200000)
         select id, round(priority, 6) as priority from x order by priority desc, id limit 6""",
-    "ga21_reachable_from": """with recursive e as (select distinct l_suppkey as src, l_suppkey // 2 as dst from lineitem), r(start, node) as (select n_nationkey::bigint, dst from nation join e on e.src = n_nationkey union select r.start, e.dst from r join e on e.src = r.node) select * from r""",
+    "ga21_reachable_from": """with recursive e as (select distinct l_suppkey % 97 as src, (l_suppkey * 3 + 1) % 97 as dst from lineitem), r(start, node) as (select n_nationkey::bigint, dst from nation join e on e.src = n_nationkey union select r.start, e.dst from r join e on e.src = r.node) select * from r""",
 }

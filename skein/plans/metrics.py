@@ -397,6 +397,18 @@ SQL = {
     "ts5_linear_slope": f"with {ROWS}, n as (select *, row_number() over (partition by series order by iteration) - 1 as n from r) select series, round(coalesce(regr_slope(vne, n), 0), 6) + 0.0 as slope from n group by series",
     "ts6_metrics_trend": f"with {ROWS}, n as (select *, (row_number() over (partition by series order by iteration) - 1)::double as n from r) select series, iteration, round(avg(vne) over w, 6) + 0.0 as mean, round({_SLOPE}, 6) + 0.0 as slope from n window w as (partition by series order by iteration {_LAST})",
     "ts7_early_convergence": f"with {ROWS}, n as (select *, (row_number() over (partition by series order by iteration) - 1)::double as n from r) select series, iteration, coalesce(count(*) over w >= 5 and var_samp(ee) over w < 2.0 and {_SLOPE} > 0.05, false) as converging from n window w as (partition by series order by iteration {_LAST})",
+    "ts8_confirmed_transition": f"""with {CORR}, a as (select *, iteration % 4 as h, sign(correlation) as sg, row_number() over w as n from c window w as (partition by series order by iteration)),
+        b as (select *, last_value(nullif(sg, 0) ignore nulls) over (partition by series order by iteration rows between unbounded preceding and 1 preceding) as before from a),
+        f as (select *, coalesce(sg <> 0 and sg <> before, false) as flip from b),
+        g as (select *, count(*) filter (where flip) over w as stretch, last_value(case when flip then n end ignore nulls) over w as start_, last_value(case when flip then sg end ignore nulls) over w as want,
+            list(sg) over (partition by series order by iteration rows between 2 preceding and current row) as recent from f window w as (partition by series order by iteration rows unbounded preceding)),
+        m as (select *, coalesce(n - start_ >= 3 and h >= 2 and len(list_filter(recent, lambda s: s = want)) >= 0.6 * len(recent), false) as meets from g)
+        select series, iteration, coalesce(n = min(case when meets then n end) over (partition by series, stretch), false) as confirmed from m""",
+    "ts9_regime": f"""with {CORR}, x as (select series, iteration, count(*) over w as k, var_samp(vne - ee) over w as v, stddev_samp(correlation) over w as s, sum(case when d_vne > 0 then 1 else 0 end) over w as g from c window w as (partition by series order by iteration rows between 9 preceding and current row)),
+        y as (select *, case when k < 10 then null when v > 0.5 and s > 0.8 then 'critical' when v < 0.2 and s < 0.3 and g > 0 then 'stable' else 'transitioning' end as kind from x),
+        z as (select *, case when kind is not distinct from lag(kind) over (partition by series order by iteration) and row_number() over (partition by series order by iteration) > 1 then 0 else 1 end as change from y),
+        rr as (select *, sum(change) over (partition by series order by iteration) as run from z), t as (select *, case when row_number() over (partition by series, run order by iteration) >= 5 then kind end as settled from rr)
+        select series, iteration, coalesce(last_value(settled ignore nulls) over (partition by series order by iteration rows unbounded preceding), 'nascent') as regime from t""",
     "ts10_regime_features": f"""with {CORR} select series, iteration, case when count(*) over w >= 10 then round(var_samp(vne - ee) over w, 6) + 0.0 end as cdp_variance, case when count(*) over w >= 10 then round(stddev_samp(correlation) over w, 6) + 0.0 end as correlation_std,
         (sum(case when d_vne > 0 then 1 else 0 end) over w)::bigint as recent_growth, case when count(*) over w >= 10 then 'measured' else 'insufficient-history' end as status from c window w as (partition by series order by iteration rows between 9 preceding and current row)""",
     "ts11_surprising_edges": f"""with {_VEC}, li as (select distinct l_partkey as src, l_suppkey as dst, l_linenumber as iteration, l_returnflag as origin from lineitem where l_returnflag in ('A', 'R')),

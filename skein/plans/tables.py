@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions.text import ARTIFACTS, EDGE
 from skein.functions.words import NOISE, STOP
 from skein.operators import text
 
@@ -34,11 +35,9 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The same in DuckDB SQL. Fragments end without a comma and follow "with".
 _STRIP = "text"
-for _p in [
-    r"```[\s\S]*?```", r"`[^`\n]{1,200}`", r"\b(?:https?|file|ftp)://\S+", r"(?:\.{0,2}/)?(?:[A-Za-z0-9._-]+/){2,}[A-Za-z0-9._-]+",
-    r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", r"(?i)\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b",
-    r"(?:\.|->)\s*[a-z][a-zA-Z0-9]*\b", r'"[^"\n]{1,80}"\s*:', r'"[a-zA-Z][a-zA-Z0-9_-]{0,30}"', r":\s*\d+(?:\.\d+)?\b", r"\s+",
-]:
+for _p in [*ARTIFACTS, r"\s+"]:
+    for _edge in EDGE:
+        _p = _p.replace(_edge, r"\b")  # RE2 has no look-around, and its \b is the ASCII one
     _STRIP = f"regexp_replace({_STRIP}, '{_p}', ' ', 'g')"
 _TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 

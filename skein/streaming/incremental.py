@@ -14,7 +14,23 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skein.functions.text import segment_key
 from skein.operators.graph import cooccurrence_edges
-from skein.operators.series import confirm
+
+
+def confirm(state: dict, iteration: int, correlation: float, h: int) -> bool:
+    """One step of TS-8; ``state`` holds the last sign, the candidate's start and recent signs."""
+    sign = (correlation > 0) - (correlation < 0)
+    state["recent"] = [*state.get("recent", []), sign][-3:]
+    if sign and state.get("sign") and sign != state["sign"]:
+        state["start"], state["want"] = iteration, sign
+    if sign:
+        state["sign"] = sign
+    start = state.get("start")
+    if start is None or iteration - start < 3 or h < 2:
+        return False
+    if sum(s == state["want"] for s in state["recent"]) < 0.6 * len(state["recent"]):
+        return False
+    state["start"] = None
+    return True
 
 
 def dedup_segments(segments: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Folds of metric series, in batch and as streams; vectors and check logs."""
 
+import random
+
 import json
 
 import numpy as np
@@ -91,3 +93,27 @@ def test_embedding_entropy_and_directions(spark):
     got = np.array([r.direction for r in vectors.concept_subspace(df, "g", "v", 2).orderBy("rank").collect()])
     _, _, vt = np.linalg.svd(x - x.mean(axis=0))
     assert np.abs((got * vt[:2]).sum(axis=1)) == pytest.approx([1, 1])
+
+
+def test_closed_forms_equal_folds(spark):
+    """TS-8 and TS-9 row by row, against the windows."""
+    r = random.Random(11)
+    rows = [(s, i, r.choice([-0.5, 0.0, 0.4, 0.6]), r.randint(0, 4), r.choice([0.0, 0.1, 2.0]) * r.random(), r.randint(0, 1)) for s in range(12) for i in range(60)]
+    df = spark.createDataFrame(rows, "series int, iteration int, correlation double, h int, cdp double, growth int")
+    want = set()
+    for s in range(12):
+        state = {}
+        want |= {(s, i) for _, i, c, h, _, _ in (x for x in rows if x[0] == s) if incremental.confirm(state, i, c, h)}
+    assert want and {(x.series, x.iteration) for x in series.confirmed_transition(df).where("confirmed").collect()} == want
+    features = {(x.series, x.iteration): x for x in series.regime_features(df).collect()}
+    got = {(x.series, x.iteration): x.regime for x in series.regime(df).collect()}
+    for s in range(12):
+        now, wait, same = "nascent", None, 0
+        for i in range(60):
+            x = features[s, i]
+            if x.status == "measured":
+                kind = "critical" if x.cdp_variance > 0.5 and x.correlation_std > 0.8 else "stable" if x.cdp_variance < 0.2 and x.correlation_std < 0.3 and x.recent_growth > 0 else "transitioning"
+                same = same + 1 if kind == wait else 1
+                wait = kind
+                now = kind if same >= 5 else now
+            assert got[s, i] == now
