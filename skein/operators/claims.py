@@ -9,24 +9,52 @@ from skein.operators.components import connected_components
 from skein.operators.storage import written
 
 #: Labels that name nobody. Fixed values.
-PRONOUNS = ["he", "she", "it", "they", "this", "that", "these", "those", "we", "i", "you", "one"]
+PRONOUNS = ["i", "you", "he", "she", "it", "we", "they", "this", "that", "these", "those"]
+
+
+#: Roles of each kind of claim: (kind, role, least, most labels). Fixed values.
+ROLES = [
+    ("distinction", "distinguished", 2, None),
+    ("dissociation", "dissociable", 2, None),
+    ("identity-claim", "identified", 1, 1),
+    ("identity-claim", "identified-with", 1, 1),
+    ("exclusion", "excluder", 1, 1),
+    ("exclusion", "excluded", 1, 1),
+    ("joint-incompatibility", "incompatible", 2, None),
+    ("causal-claim", "cause", 1, 1),
+    ("causal-claim", "effect", 1, 1),
+    ("property-assertion", "subject", 1, 1),
+    ("property-assertion", "property", 1, 1),
+    ("entailment", "antecedent", 1, 1),
+    ("entailment", "consequent", 1, 1),
+]
+POLARITIES = ["asserts", "denies"]
+MODALITIES = ["epistemic", "modal", "functional", "metaphysical"]
+DIFFERENCES = ["in-kind", "in-degree"]
+#: Kinds that must have a polarity.
+SIGNED = ["causal-claim", "property-assertion"]
 
 
 def claim_schema_issues(claims: DataFrame, participants: DataFrame, roles: DataFrame) -> DataFrame:
-    """CL-1. (id, issue): claims (id, kind, polarity, modality) whose participants (id, role, label)
-    do not fit the role table (kind, role, least, most), the first issue by severity; null if none."""
-    n = participants.groupBy("id", "role").agg(F.count_distinct("label").alias("n"))
+    """CL-1. (id, issue): claims (id, kind, polarity, modality, difference) whose participants (id,
+    role, label) do not fit the role table (kind, role, least, most; most null: any number), the
+    first issue in order; null if none. Where one label is wanted, it must stand once."""
+    n = participants.where(F.btrim("label") != "").groupBy("id", "role").agg(F.count_distinct(F.btrim("label")).alias("n"), F.count(F.lit(1)).alias("all"))
     kinds = roles.select("kind").distinct().withColumn("known", F.lit(True))
     wanted = claims.select("id", "kind").join(roles, "kind").join(n, ["id", "role"], "left")
-    wrong = wanted.groupBy("id").agg(F.max(~F.coalesce("n", F.lit(0)).between(F.col("least"), F.col("most"))).alias("cardinality"))
-    extra = n.join(claims.select("id", "kind"), "id").join(roles.select("kind", "role"), ["kind", "role"], "left_anti").select("id").distinct().withColumn("extra", F.lit(True))
+    fits = (F.coalesce("n", F.lit(0)) >= F.col("least")) & (F.col("most").isNull() | (F.coalesce("all", F.lit(0)) <= F.col("most")))
+    wrong = wanted.groupBy("id").agg(F.max(~fits).alias("cardinality"))
+    extra = participants.select("id", "role").distinct().join(claims.select("id", "kind"), "id").join(roles.select("kind", "role"), ["kind", "role"], "left_anti").select("id").distinct().withColumn("extra", F.lit(True))
     both = claims.join(kinds, "kind", "left").join(wrong, "id", "left").join(extra, "id", "left")
+    other = lambda c, known: ~F.coalesce(F.col(c).isin(known), F.lit(True))
     issue = (
         F.when(F.col("known").isNull(), "unknown-kind")
         .when(F.col("extra"), "unexpected-role")
         .when(F.col("cardinality"), "cardinality")
-        .when(~F.coalesce(F.col("polarity").isin("affirmed", "denied"), F.lit(True)), "polarity")
-        .when(~F.coalesce(F.col("modality").isin("actual", "possible", "necessary"), F.lit(True)), "modality")
+        .when(F.col("kind").isin(SIGNED) & ~F.coalesce(F.col("polarity").isin(POLARITIES), F.lit(False)), "polarity")
+        .when((F.col("kind") == "entailment") & other("polarity", POLARITIES), "polarity")
+        .when(other("modality", MODALITIES), "modality")
+        .when(other("difference", DIFFERENCES), "difference-kind")
     )
     return both.select("id", issue.alias("issue"))
 
@@ -34,10 +62,10 @@ def claim_schema_issues(claims: DataFrame, participants: DataFrame, roles: DataF
 def attribution_issues(claims: DataFrame) -> DataFrame:
     """CL-2. (id, issue) of claims (id, scope, holder, subject)."""
     issue = (
-        F.when(F.col("scope").isNull(), "scope-missing")
+        F.when(~F.coalesce(F.col("scope").isin("corpus", "position"), F.lit(False)), "scope-missing")
         .when((F.col("scope") == "position") & F.col("holder").isNull(), "holder-missing")
         .when((F.col("scope") == "corpus") & F.col("holder").isNotNull(), "holder-unexpected")
-        .when(F.lower("subject").isin(PRONOUNS), "pronoun-subject")
+        .when(F.lower(F.btrim("subject")).isin(PRONOUNS), "pronoun-subject")
     )
     return claims.select("id", issue.alias("issue"))
 
@@ -76,17 +104,25 @@ def stem(label: Column) -> Column:
     return F.regexp_replace(F.lower(label), "(ations?|ings?|ed|es|s|ly)$", "")
 
 
+def clause_noun(label: Column) -> Column:
+    """What stands after a verb of making or meaning and an article, as a symbol; else null."""
+    rest = F.regexp_extract(F.regexp_replace(F.lower(F.btrim(label)), r"[_\s]+", "-"), "^(?:makes?|causes?|implies|means)-(?:the|a|an)-(.+)$", 1)
+    symbol = F.regexp_replace(F.regexp_replace(rest, "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.when(symbol != "", symbol)
+
+
 def canonical_predicates(labels: DataFrame, ontology: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """CL-6. (label, canonical, method): by the ontology (label, canonical), else the closed
-    vocabulary (word), else the only word of it with the same stem, else the shortest label with
-    the same stem."""
+    vocabulary (word), else what a clause such as "makes the ..." speaks of, else the only word of
+    the vocabulary with the same stem, else the shortest label with the same stem."""
     words = vocabulary.select(F.col("word").alias("label"), F.col("word").alias("v"))
     by_stem = vocabulary.groupBy(stem(F.col("word")).alias("stem")).agg(F.min("word").alias("m"), F.count(F.lit(1)).alias("k")).where("k = 1").select("stem", "m")
     mine = labels.select("label").distinct().withColumn("stem", stem(F.col("label")))
     short = mine.groupBy("stem").agg(F.min(F.struct(F.char_length("label").alias("n"), "label")).alias("s")).select("stem", F.col("s.label").alias("s"))
     both = mine.join(ontology.select("label", F.col("canonical").alias("o")), "label", "left").join(words, "label", "left").join(by_stem, "stem", "left").join(short, "stem")
-    method = F.when(F.col("o").isNotNull(), "ontology").when(F.col("v").isNotNull(), "vocabulary").when(F.col("m").isNotNull(), "morphology").otherwise("shortest")
-    return both.select("label", F.coalesce("o", "v", "m", "s").alias("canonical"), method.alias("method"))
+    both = both.withColumn("r", clause_noun(F.col("label")))
+    method = F.when(F.col("o").isNotNull(), "ontology").when(F.col("v").isNotNull(), "vocabulary").when(F.col("r").isNotNull(), "repair").when(F.col("m").isNotNull(), "morphology").otherwise("shortest")
+    return both.select("label", F.coalesce("o", "v", "r", "m", "s").alias("canonical"), method.alias("method"))
 
 
 def alias_suggestions(similar: DataFrame, blocks: DataFrame, least: float = 0.86) -> DataFrame:
@@ -111,17 +147,35 @@ def claim_blocks(claims: DataFrame) -> DataFrame:
     return claims.where("accepted").groupBy("corpus", "scope", "holder").agg(F.sort_array(F.collect_set("proposition")).alias("propositions"), F.sort_array(F.collect_set("segment")).alias("segments"), F.count(F.lit(1)).alias("claims"))
 
 
-#: A formula for each kind, of subject, predicate, object.
-FORMULAS = {"property": "%2$s(%1$s)", "relation": "%2$s(%1$s,%3$s)", "identity": "%1$s=%3$s", "causal": "causes(%1$s,%3$s)"}
-
-
-def claim_propositions(claims: DataFrame) -> DataFrame:
-    """CL-10. ``formula`` by the template of the claim's kind, negated where it is denied."""
-    name = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_")
-    made = F.lit(None).cast("string")
-    for kind, form in FORMULAS.items():
-        made = F.when(F.col("kind") == kind, F.format_string(form, name("subject"), name("predicate"), name("object"))).otherwise(made)
-    return claims.withColumn("formula", F.when(F.col("polarity") == "denied", F.concat(F.lit("-"), made)).otherwise(made))
+def claim_propositions(claims: DataFrame, roles: str = "roles") -> DataFrame:
+    """CL-10. ``claims`` (kind, polarity, ``roles`` map of role to labels) with ``propositions``, the
+    formulas of the claim's kind; null where a role that the kind needs is missing or the kind is
+    not known. Take claims without an issue of CL-1 or CL-2."""
+    plain = lambda c: F.lower(F.regexp_replace(c, "[^a-zA-Z0-9]+", "_"))
+    one = lambda role: plain(F.get(F.col(roles)[role], 0))
+    sign = F.when(F.col("polarity") == "denies", "-").otherwise("")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    some = lambda a: text("exists x (", a, "(x))")
+    rule = lambda a, arrow, b: text("all x (", a, "(x) ", arrow, " ", b, "(x))")
+    members = F.array_sort(F.array_distinct(F.col(roles)["incompatible"]))
+    but_last = F.array_join(F.transform(F.slice(members, 1, F.greatest(F.size(members) - 1, F.lit(0))), lambda m: F.concat(plain(m), F.lit("(x)"))), " & ")
+    joint = F.when(F.size(members) >= 2, F.array(text("all x ((", but_last, ") -> -", plain(F.element_at(members, -1)), "(x))")))
+    pair = lambda role, k: plain(F.get(F.col(roles)[role], k))
+    apart = lambda role, i, j: text("exists x (", pair(role, i), "(x) & -", pair(role, j), "(x))")
+    signed = lambda a, b, before: F.array(rule(one(a), "->", text(sign, before, one(b))), some(one(a)))
+    needs_sign = F.col("polarity").isin(POLARITIES)
+    made = (
+        F.when(F.col("kind") == "joint-incompatibility", joint)
+        .when(F.col("kind") == "exclusion", F.array(rule(one("excluder"), "-> -", one("excluded")), some(one("excluder"))))
+        .when(F.col("kind") == "identity-claim", F.array(rule(one("identified"), "<->", one("identified-with")), some(one("identified"))))
+        .when((F.col("kind") == "causal-claim") & needs_sign, signed("cause", "effect", "causes_"))
+        .when((F.col("kind") == "property-assertion") & needs_sign, F.array(text(sign, one("property"), "(entity_", one("subject"), ")")))
+        .when(F.col("kind") == "entailment", signed("antecedent", "consequent", ""))
+        .when(F.col("kind") == "distinction", F.array(apart("distinguished", 0, 1)))
+        .when(F.col("kind") == "dissociation", F.array(apart("dissociable", 0, 1), apart("dissociable", 1, 0)))
+    )
+    tidy = F.transform(made, lambda f: F.replace(f, F.lit("-> - "), F.lit("-> -")))
+    return claims.withColumn("propositions", F.when(~F.exists(tidy, lambda f: f.isNull()), tidy))
 
 
 def joint_violations(stances: DataFrame, impossible: DataFrame) -> DataFrame:
@@ -210,6 +264,23 @@ def formula_ids(log: DataFrame, order: str) -> DataFrame:
     return log.select(order, F.explode("formulas").alias("formula")).groupBy("formula").agg(F.min(order).alias("first"))
 
 
+def check_log_signals(log: DataFrame, most: int = 200) -> DataFrame:
+    """CL-16. (place, seq, kind, verdict, formula_ids): entries (seq, kind, verdict, note, formulas)
+    that are not plain consistent checks, contradictions first, then undetermined, vacuous, core and
+    internal ones, by seq; at most ``most``, the digest's stated limit. Formulas are numbered by
+    their first use among these."""
+    vacuous = F.startswith(F.coalesce("note", F.lit("")), F.lit("VACUOUS"))
+    rank = F.when(F.col("verdict") == "contradictory", 0).when(F.col("verdict") == "undetermined", 1).when(vacuous, 2).when(F.col("kind") == "core", 3).when(F.col("kind") == "internal", 4).otherwise(5)
+    signal = (F.col("verdict") != "consistent") | F.col("kind").isin("core", "internal") | vacuous
+    kept = log.where(signal).withColumn("rank", rank).orderBy("rank", "seq").limit(most)
+    placed = written(kept.select((F.row_number().over(Window.orderBy("rank", "seq")) - 1).alias("place"), "seq", "kind", "verdict", "formulas"), "signals")  # `most` rows
+    used = placed.select("place", F.posexplode("formulas").alias("pos", "formula"))
+    first = used.groupBy("formula").agg(F.min(F.struct("place", "pos")).alias("at"))
+    ids = first.select("formula", (F.row_number().over(Window.orderBy("at")) - 1).alias("id"))
+    lists = used.join(ids, "formula").groupBy("place").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("formula_ids"))
+    return placed.join(lists, "place", "left").select("place", "seq", "kind", "verdict", F.coalesce("formula_ids", F.array().cast("array<int>")).alias("formula_ids"))
+
+
 def symbols(formula: Column) -> Column:
     """Array of (symbol, number of arguments) in a formula."""
     calls = F.regexp_extract_all(formula, F.lit(r"([A-Za-z_][A-Za-z0-9_]*\([^()]*\))"), F.lit(1))
@@ -237,25 +308,60 @@ def rank_explanations(checks: DataFrame) -> DataFrame:
     return s.select("hypothesis", "status", "depth", "score", place.alias("place"))
 
 
+def subjects(formula: Column) -> Column:
+    """Symbols that a formula speaks of: those before its arrow, without quantifiers."""
+    head = F.regexp_replace(F.regexp_replace(formula, "->.*$", ""), "(?<![A-Za-z0-9_])(all|exists)\\s+[a-zA-Z_][A-Za-z0-9_]*", " ")
+    return F.regexp_extract_all(head, F.lit("(?<![A-Za-z0-9_])([a-z_][A-Za-z0-9_]*)\\s*\\("), F.lit(1))
+
+
 def formula_lint(formulas: DataFrame) -> DataFrame:
-    """CL-19. (issue, block, symbol): symbols of several arities inside a block or across blocks,
-    and negative names beside their base."""
+    """CL-19. (issue, block, symbol) of formulas (block, formula): symbols of several arities inside
+    a block, or across blocks only; no negation in any formula; negative names beside a symbol that
+    their base begins with or that begins with it; blocks with a witness of their own whose
+    subjects no other block has. Two names that begin alike meet through the prefixes of each."""
     s = block_symbols(formulas)
     inside = s.groupBy("block", "symbol").agg(F.count_distinct("arity").alias("n")).where("n > 1").select(F.lit("arity-in-block").alias("issue"), "block", "symbol")
-    across = s.groupBy("symbol").agg(F.count_distinct("arity").alias("n")).where("n > 1").select(F.lit("arity-across-blocks").alias("issue"), F.lit(None).cast("string").alias("block"), "symbol")
-    base = s.select("block", F.col("symbol").alias("base")).distinct()
-    negative = s.where(F.col("symbol").rlike("^(not|non|no)_")).select("block", "symbol", F.regexp_replace("symbol", "^(not|non|no)_", "").alias("base")).distinct()
-    return inside.unionByName(across).unionByName(negative.join(base, ["block", "base"]).select(F.lit("negative-name").alias("issue"), "block", "symbol"))
+    across = s.groupBy("symbol").agg(F.count_distinct("arity").alias("n")).where("n > 1").join(inside.select("symbol").distinct(), "symbol", "left_anti")
+    across = across.select(F.lit("arity-across-blocks").alias("issue"), F.lit(None).cast("string").alias("block"), "symbol")
+    bare = formulas.agg(F.count_if(F.col("formula").rlike("~|-(?!>)")).alias("n"), F.count(F.lit(1)).alias("all")).where("n = 0 and all > 0")
+    bare = bare.select(F.lit("negation-free").alias("issue"), F.lit(None).cast("string").alias("block"), F.lit(None).cast("string").alias("symbol"))
+    names = s.select("symbol").distinct()
+    negative = names.where(F.col("symbol").rlike("^(not|non|no)_.")).select("symbol", F.regexp_replace("symbol", "^(not|non|no)_", "").alias("base"))
+    prefixes = lambda c: F.transform(F.sequence(F.lit(1), F.char_length(c)), lambda n: F.substring(c, F.lit(1), n))
+    longer = names.select(F.col("symbol").alias("other"), F.explode(prefixes(F.col("symbol"))).alias("base"))
+    shorter = negative.select("symbol", F.explode(prefixes(F.col("base"))).alias("other")).join(names.toDF("other"), "other", "left_semi")
+    alike = negative.join(longer, "base").select("symbol", "other").unionByName(shorter.select("symbol", "other")).where("symbol <> other")
+    pseudo = alike.select(F.lit("negative-name").alias("issue"), F.lit(None).cast("string").alias("block"), "symbol").distinct()
+    mine = formulas.select("block", F.explode(subjects(F.col("formula"))).alias("symbol")).distinct()
+    shared = mine.groupBy("symbol").agg(F.count(F.lit(1)).alias("blocks"))
+    private = mine.join(shared, "symbol").groupBy("block").agg(F.max("blocks").alias("most")).where("most = 1")
+    witness = formulas.where(F.col("formula").rlike("(?<![A-Za-z0-9_])exists(?![A-Za-z0-9_])")).select("block").distinct()
+    several = mine.agg(F.count_distinct("block").alias("n")).where("n > 1")
+    orphan = private.join(witness, "block", "left_semi").join(several, F.lit(True)).select(F.lit("private-witness").alias("issue"), "block", F.lit(None).cast("string").alias("symbol"))  # one row
+    return inside.unionByName(across).unionByName(bare).unionByName(pseudo).unionByName(orphan)
+
+
+#: Nouns that add nothing to the name before them. Fixed values.
+GENERIC = ["state", "type", "kind", "entity", "object", "concept", "property", "process", "claim"]
+
+
+def singular(part: Column) -> Column:
+    ies = part.endswith("ies") & (F.char_length(part) > 4)
+    s = part.endswith("s") & ~part.endswith("ss") & (F.char_length(part) > 3)
+    return F.when(ies, F.concat(F.substring(part, F.lit(1), F.char_length(part) - 3), F.lit("y"))).when(s, F.substring(part, F.lit(1), F.char_length(part) - 1)).otherwise(part)
 
 
 def symbol_alias_candidates(occurrences: DataFrame, least: int = 5) -> DataFrame:
     """CL-20. (a, b, critical): symbols (symbol, block) of ``least`` letters or more that are equal
-    once their parts are made singular; critical if they never share a block. An equi-join on the
-    normal form."""
-    names = occurrences.select("symbol").distinct().where(F.char_length("symbol") >= least)
-    key = F.array_join(F.transform(F.split(F.lower("symbol"), "_"), lambda p: F.regexp_replace(p, "s$", "")), "_")
-    keyed = names.withColumn("key", key)
-    pairs = keyed.select(F.col("symbol").alias("a"), "key").join(keyed.select(F.col("symbol").alias("b"), "key"), "key").where("a < b").select("a", "b")
+    once their parts are made singular, or of which one is the other with generic nouns after it;
+    critical if they never share a block. Equi-joins on the normal form and on the first part."""
+    parts = F.transform(F.split("symbol", "_"), singular)
+    keyed = occurrences.select("symbol").distinct().where(F.char_length("symbol") >= least).select("symbol", parts.alias("parts"))
+    same = keyed.select("symbol", F.array_join("parts", "_").alias("key"))
+    one = keyed.where(F.size("parts") == 1).select("symbol", F.get("parts", 0).alias("key"))
+    more = keyed.where((F.size("parts") > 1) & F.forall(F.slice("parts", 2, F.size("parts")), lambda p: p.isin(GENERIC))).select("symbol", F.get("parts", 0).alias("key"))
+    met = same.toDF("x", "key").join(same.toDF("y", "key"), "key").where("x < y").unionByName(one.toDF("x", "key").join(more.toDF("y", "key"), "key"))
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     x, y = occurrences.select(F.col("symbol").alias("a"), "block").distinct(), occurrences.select(F.col("symbol").alias("b"), "block").distinct()
     shared = pairs.join(x, "a").join(y, ["b", "block"]).select("a", "b").distinct().withColumn("shared", F.lit(True))
     return pairs.join(shared, ["a", "b"], "left").select("a", "b", F.col("shared").isNull().alias("critical"))

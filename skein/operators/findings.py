@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import PREFERENCE
+from skein.operators.storage import written
 from skein.operators.vectors import cosine
 
 
@@ -179,23 +180,53 @@ def ranking_value(rows: DataFrame, cycle: str, k: int) -> DataFrame:
     return sums.withColumn("cost_per_hit", F.when(gain > 0, F.col("cost") / gain)).withColumn("reasons", F.array_join(reasons, ",")).withColumn("decision", F.when(F.size(reasons) == 0, "retain").otherwise("retire"))
 
 
-def extraction_scorecard(found: DataFrame, must: DataFrame, must_not: DataFrame, key: str) -> DataFrame:
-    """QE-2. Per run: recall of what must be found, number of what must not be but is."""
-    runs = found.select(key).distinct()
+def extraction_scorecard(found: DataFrame, must: DataFrame, must_not: DataFrame, key: str, processed: DataFrame) -> DataFrame:
+    """QE-2. Per run of ``processed`` (key, segments): recall of what must be found, number of what
+    must not be but is, accepted claims a segment, and whether the run has none at all."""
     f = found.select(key, "claim").distinct()
     hit = f.join(must, "claim", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("found"))
     bad = f.join(must_not, "claim", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("violations"))
     n = must.select("claim").distinct().count()
-    both = runs.join(hit, key, "left").join(bad, key, "left")
-    return both.select(key, (F.coalesce("found", F.lit(0)) / F.lit(max(1, n))).alias("recall"), F.coalesce("violations", F.lit(0)).alias("violations"))
+    both = processed.join(hit, key, "left").join(bad, key, "left").join(f.groupBy(key).agg(F.count(F.lit(1)).alias("accepted")), key, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return both.select(
+        key, (zero("found") / F.lit(max(1, n))).alias("recall"), zero("violations").alias("violations"),
+        F.try_divide(zero("accepted").cast("double"), F.col("segments")).alias("coverage"), F.col("accepted").isNull().alias("vacuous"),
+    )
+
 
+def run_agreement(outcomes: DataFrame, unmappable: DataFrame, runs: DataFrame, least: float = 0.9) -> DataFrame:
+    """QE-3. Per corpus: segments, the share on which all runs agree in full, the segments on which
+    they differ in kinds, roles, scopes, polarities, number of claims and in being unmappable; runs,
+    latency in all and in the mean, cost (null unless every run has one), truncated and failed runs;
+    and whether more sampling is advised.
 
-def run_agreement(rows: DataFrame) -> DataFrame:
-    """QE-3. Per corpus: segments whose claims are the same in all runs, of those seen in more than
-    one. ``rows``: corpus, segment, run, claim."""
-    per = rows.groupBy("corpus", "segment", "run").agg(F.array_join(F.sort_array(F.collect_set("claim")), "|").alias("claims"))
-    seg = per.groupBy("corpus", "segment").agg(F.count(F.lit(1)).alias("runs"), F.count_distinct("claims").alias("kinds")).where("runs > 1")
-    return seg.groupBy("corpus").agg(F.count(F.lit(1)).alias("segments"), F.avg((F.col("kinds") == 1).cast("double")).alias("agreement"))
+    ``outcomes``: corpus, segment, run, claim, kind, roles (text), scope, polarity of accepted
+    claims; ``unmappable``: corpus, segment, run; ``runs``: corpus, run, latency, cost, truncated,
+    failed. A run without a segment has no claims there. Equal means that the least and the greatest
+    form are one, and none is missing unless all are empty.
+    """
+    keys = ["corpus", "segment", "run"]
+    forms = {"agreement": "claim", "kinds": "kind", "roles": "roles", "scopes": "scope", "polarities": "polarity"}
+    text = lambda c: F.array_join(F.array_sort(F.collect_list(F.coalesce(F.col(c), F.lit("null")))), "|")
+    per = outcomes.groupBy(keys).agg(*[text(c).alias(k) for k, c in forms.items()], F.count(F.lit(1)).alias("claims"))
+    per = per.join(unmappable.select(*keys, F.lit(True).alias("lost")).distinct(), keys, "full")
+    runs_of = runs.groupBy("corpus").agg(F.count(F.lit(1)).alias("runs"))
+    one = lambda c, none: (F.min(F.coalesce(c, none)) == F.max(F.coalesce(c, none))) & ((F.count(F.lit(1)) == F.first("runs")) | (F.max(F.coalesce(c, none)) == none))
+    same = per.join(runs_of, "corpus").groupBy("corpus", "segment").agg(
+        *[one(c, F.lit("")).alias(c) for c in forms], one("claims", F.lit(0)).alias("number"), one("lost", F.lit(False)).alias("mapping")
+    )
+    counted = same.groupBy("corpus").agg(
+        F.count(F.lit(1)).alias("segments"), F.avg(F.col("agreement").cast("double")).alias("agreement"),
+        *[F.count_if(~F.col(c)).alias(f"differ_{c}") for c in ("kinds", "roles", "scopes", "polarities", "number", "mapping")],
+    )
+    cost = F.when(F.count("cost") == F.count(F.lit(1)), F.sum("cost"))
+    total = runs.groupBy("corpus").agg(
+        F.count(F.lit(1)).alias("runs"), F.sum("latency").alias("total_latency"), F.avg("latency").alias("mean_latency"), cost.alias("total_cost"),
+        F.count_if("truncated").alias("truncated_runs"), F.count_if("failed").alias("failed_runs"),
+    )
+    advice = F.coalesce(F.col("agreement") < least, F.lit(True)) & (F.col("failed_runs") == 0)
+    return total.join(counted, "corpus", "left").withColumn("sample_more", advice)
 
 
 def tie_breaker_value(rows: DataFrame, group: str) -> DataFrame:
@@ -217,15 +248,31 @@ def spearman(rows: DataFrame, x: str, y: str, group: str, key: str) -> DataFrame
 
 def verdict_scorecard(known: DataFrame, found: DataFrame) -> DataFrame:
     """QE-6. (set_id, best, verdict) for each known set (set_id, stance): reproduced by a found set
-    of the same stances, else review for a partial match, else missed. Overlaps are counted over an
-    equi-join on the stance."""
-    size_k = known.groupBy("set_id").agg(F.count(F.lit(1)).alias("nk"))
-    size_f = found.groupBy("found_id").agg(F.count(F.lit(1)).alias("nf"))
-    overlap = known.join(found, "stance").groupBy("set_id", "found_id").agg(F.count(F.lit(1)).alias("n")).join(size_f, "found_id").join(size_k, "set_id")
-    exact = (F.col("n") == F.col("nk")) & (F.col("n") == F.col("nf"))
-    best = overlap.groupBy("set_id").agg(F.min(F.struct((~exact).alias("part"), (-F.col("n")).alias("n"), "found_id")).alias("b"))
+    of the same stances, else review for a partial match, else missed. Equal sets meet as one, and
+    overlaps are counted over an equi-join on the stance."""
+    whole = lambda df, key: df.groupBy(key).agg(F.array_sort(F.collect_set("stance")).alias("stances"))
+    k, f = written(whole(known, "set_id"), "known"), whole(found, "found_id").groupBy("stances").agg(F.min("found_id").alias("found_id"))
+    distinct = k.select("stances").distinct()
+    each = lambda df, *c: df.select(*c, F.explode("stances").alias("stance"))
+    n = each(distinct, "stances").join(each(f, F.col("stances").alias("of"), "found_id"), "stance").groupBy("stances", "of", "found_id").agg(F.count(F.lit(1)).alias("n"))
+    exact = F.col("stances") == F.col("of")
+    best = n.groupBy("stances").agg(F.min(F.struct((~exact).alias("part"), (-F.col("n")).alias("n"), "found_id")).alias("b"))
     verdict = F.when(F.col("b").isNull(), "missed").when(~F.col("b.part"), "reproduced").otherwise("review")
-    return size_k.join(best, "set_id", "left").select("set_id", F.col("b.found_id").alias("best"), verdict.alias("verdict"))
+    return k.join(best, "stances", "left").select("set_id", F.col("b.found_id").alias("best"), verdict.alias("verdict"))
+
+
+def verdict_totals(scored: DataFrame, found: DataFrame, must_not: DataFrame, names: DataFrame, inverted: list[str]) -> DataFrame:
+    """QE-6. Per corpus of scored sets (corpus, set_id, verdict): sets, reproduced ones, violations
+    (names of must_not (corpus, name) among the found names (corpus, name)), surplus of found sets
+    (corpus, found_id) over known ones, and whether it passes: all reproduced, no violation, and in
+    an ``inverted`` corpus no surplus."""
+    plain = F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "_")
+    bad = must_not.select("corpus", plain.alias("name")).join(names.select("corpus", plain.alias("name")).distinct(), ["corpus", "name"], "left_semi").groupBy("corpus").agg(F.count(F.lit(1)).alias("violations"))
+    more = found.groupBy("corpus").agg(F.count_distinct("found_id").alias("found"))
+    s = scored.groupBy("corpus").agg(F.count(F.lit(1)).alias("sets"), F.count_if(F.col("verdict") == "reproduced").alias("reproduced")).join(bad, "corpus", "left").join(more, "corpus", "left")
+    surplus = F.greatest(F.lit(0), F.coalesce("found", F.lit(0)) - F.col("sets"))
+    s = s.select("corpus", "sets", "reproduced", F.coalesce("violations", F.lit(0)).alias("violations"), surplus.alias("surplus"))
+    return s.withColumn("pass", (F.col("reproduced") == F.col("sets")) & (F.col("violations") == 0) & (~F.col("corpus").isin(inverted) | (F.col("surplus") == 0)))
 
 
 def similarity_floor(cues: DataFrame) -> DataFrame:

@@ -68,11 +68,14 @@ def merge_short(parts: DataFrame, keys: list[str], order: str, text: str, least:
 
 
 def split_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 32, heading: str = "## ") -> DataFrame:
-    """TX-9. Sections that begin at a heading line; what stands before the first joins it."""
+    """TX-9. Sections that begin at a heading line; what stands before the first joins it, unless it
+    has a heading of a higher level (of two marks or more) of its own."""
     marked = F.regexp_replace(F.concat(F.lit("\n"), F.col(text_col)), f"\n(?={heading})", "\u0001")
     raw = docs.select(id_col, F.posexplode(F.split(marked, "\u0001", -1)).alias("place", "part")).withColumn("part", T.trim_space(F.col("part"))).where("part <> ''")
     first = F.min(F.when(F.col("part").startswith(heading), F.col("place"))).over(Window.partitionBy(id_col))
-    joined = raw.withColumn("place", F.greatest("place", F.coalesce(first, F.lit(0)))).groupBy(id_col, "place").agg(F.array_sort(F.collect_list(F.struct(F.col("part").startswith(heading).alias("h"), "part"))).alias("a"))
+    level = len(heading) - len(heading.lstrip("#"))
+    own = F.col("part").rlike(f"(?m)^#{{2,{level - 1}}}[ \\t]+\\S") if level > 2 else F.lit(False)
+    joined = raw.withColumn("place", F.when(own & ~F.col("part").startswith(heading), F.col("place")).otherwise(F.greatest("place", F.coalesce(first, F.lit(0))))).groupBy(id_col, "place").agg(F.array_sort(F.collect_list(F.struct(F.col("part").startswith(heading).alias("h"), "part"))).alias("a"))
     parts = joined.select(id_col, "place", F.array_join(F.transform("a", lambda x: x["part"]), "\n\n").alias("part"))
     return merge_short(parts, [id_col], "place", "part", least)
 

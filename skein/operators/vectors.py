@@ -117,9 +117,14 @@ def route_query(items: DataFrame, sections: DataFrame, query: list[float], group
     return sections.select(group).join(best, group, "left").select(group, F.coalesce("score", F.lit(-1.0)).alias("score"))
 
 
-def staged_query(items: DataFrame, query: list[float], group: str, vector: str, key: str) -> DataFrame:
-    """VE-8. The best item of the best section. Both steps are one ordering by the item's score."""
-    return similarity_search(items, query, -1.0, 1, vector, key).select(group, key, "similarity")
+def staged_query(items: DataFrame, query: list[float], group: str, vector: str, key: str, content: str, sources: DataFrame) -> DataFrame:
+    """VE-8. The best item of the best section and what it stands for: the text of an entry, or all
+    source entries (summary, seq, content) of a summary, joined by a blank line. Both steps of the
+    route are one ordering by the item's score."""
+    best = similarity_search(items, query, -1.0, 1, vector, key)
+    under = sources.select(F.col("summary").alias(key), "seq", F.col("content").alias("source")).join(best.select(key), key, "left_semi")  # one summary
+    texts = under.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "source"))), lambda x: x["source"]), "\n\n").alias("sources"))
+    return best.join(texts, key, "left").select(group, key, "similarity", F.coalesce("sources", F.col(content)).alias("context"))
 
 
 def root_summaries(summaries: DataFrame) -> DataFrame:

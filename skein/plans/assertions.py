@@ -92,19 +92,33 @@ def _claims(spark, sf):
     pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.pmod(k, F.lit(len(v))) + 1).cast("int"))
     scope = F.when(k % 97 == 0, None).when(k % 3 == 0, "corpus").otherwise("position")
     return o.select(
-        k.alias("id"), F.col("o_orderstatus").alias("corpus"), pick("property", "relation", "identity", "causal").alias("kind"), scope.alias("scope"),
+        k.alias("id"), F.col("o_orderstatus").alias("corpus"), pick("property-assertion", "entailment", "identity-claim", "causal-claim", "exclusion", "joint-incompatibility", "distinction", "dissociation").alias("kind"), scope.alias("scope"),
         F.when(k % 3 != 0, F.col("c_mktsegment")).when(k % 41 == 0, F.lit("HOUSEHOLD")).alias("holder"), F.when(k % 53 == 0, "They").otherwise(F.col("c_mktsegment")).alias("subject"),
-        F.col("o_orderpriority").alias("predicate"), F.concat(F.lit("n"), "c_nationkey").alias("object"), pick("affirmed", "affirmed", "denied", "affirmed", "unsure").alias("polarity"),
-        pick("actual", "possible", "maybe").alias("modality"), F.pmod(k, F.lit(200)).alias("segment"), (k % 7 != 0).alias("accepted"),
+        F.col("o_orderpriority").alias("predicate"), F.concat(F.lit("n"), "c_nationkey").alias("object"), pick("asserts", "asserts", "denies", "asserts", "unsure").alias("polarity"), F.when(k % 19 == 0, "other").when(k % 2 == 0, "in-kind").alias("difference"),
+        pick("epistemic", "modal", "maybe").alias("modality"), F.pmod(k, F.lit(200)).alias("segment"), (k % 7 != 0).alias("accepted"),
     )
 
 
-CLAIMS = """cl as (select o_orderkey as id, o_orderstatus as corpus, (['property', 'relation', 'identity', 'causal'])[o_orderkey % 4 + 1] as kind,
+CLAIMS = """cl as (select o_orderkey as id, o_orderstatus as corpus, (['property-assertion', 'entailment', 'identity-claim', 'causal-claim', 'exclusion', 'joint-incompatibility', 'distinction', 'dissociation'])[o_orderkey % 8 + 1] as kind,
     case when o_orderkey % 97 = 0 then null when o_orderkey % 3 = 0 then 'corpus' else 'position' end as scope,
     case when o_orderkey % 3 <> 0 then c_mktsegment when o_orderkey % 41 = 0 then 'HOUSEHOLD' end as holder, case when o_orderkey % 53 = 0 then 'They' else c_mktsegment end as subject,
-    o_orderpriority as predicate, 'n' || c_nationkey as object, (['affirmed', 'affirmed', 'denied', 'affirmed', 'unsure'])[o_orderkey % 5 + 1] as polarity,
-    (['actual', 'possible', 'maybe'])[o_orderkey % 3 + 1] as modality, o_orderkey % 200 as segment, o_orderkey % 7 <> 0 as accepted from orders join customer on c_custkey = o_custkey)"""
-_ROLES = [("property", "subject", 1, 1), ("property", "predicate", 1, 1), ("relation", "subject", 1, 1), ("relation", "predicate", 1, 1), ("relation", "object", 1, 2), ("causal", "subject", 1, 1), ("causal", "object", 2, 3)]
+    o_orderpriority as predicate, 'n' || c_nationkey as object, (['asserts', 'asserts', 'denies', 'asserts', 'unsure'])[o_orderkey % 5 + 1] as polarity, case when o_orderkey % 19 = 0 then 'other' when o_orderkey % 2 = 0 then 'in-kind' end as difference,
+    (['epistemic', 'modal', 'maybe'])[o_orderkey % 3 + 1] as modality, o_orderkey % 200 as segment, o_orderkey % 7 <> 0 as accepted from orders join customer on c_custkey = o_custkey)"""
+#: Which of subject, predicate and object stand in which role of a kind.
+_HELD = {
+    "distinction": {"distinguished": ["subject", "object"]}, "dissociation": {"dissociable": ["subject", "object"]}, "identity-claim": {"identified": ["subject"], "identified-with": ["object"]},
+    "exclusion": {"excluder": ["subject"], "excluded": ["object"]}, "joint-incompatibility": {"incompatible": ["subject", "predicate", "object"]}, "causal-claim": {"cause": ["subject"], "effect": ["object"]},
+    "property-assertion": {"subject": ["subject"], "property": ["predicate"]}, "entailment": {"antecedent": ["subject"], "consequent": ["object"]},
+}
+_TYPED = "ty as (" + " union all ".join(f"select id, kind, '{r}' as role, unnest([{', '.join(c)}]) as label from cl where kind = '{k}'" for k, roles in _HELD.items() for r, c in roles.items()) + ")"
+
+
+def _typed(c):
+    """Roles as the kind of a claim wants them."""
+    made = F.lit(None).cast("map<string,array<string>>")
+    for kind, roles in _HELD.items():
+        made = F.when(F.col("kind") == kind, F.create_map(*[x for r, names in roles.items() for x in (F.lit(r), F.array(*names))])).otherwise(made)
+    return c.withColumn("roles", made)
 
 
 def _with_roles(c):
@@ -113,8 +127,10 @@ def _with_roles(c):
 
 def claim_schema_issues(spark, sf):
     c = _claims(spark, sf)
-    parts = C.claim_incidence(_with_roles(c)).select("id", "role", "label").where("not (role = 'object' and id % 4 = 0 and id % 8 <> 0)")
-    return C.claim_schema_issues(c, parts, spark.createDataFrame(_ROLES, "kind string, role string, least int, most int"))
+    parts = C.claim_incidence(_typed(c)).select("id", "role", "label")
+    # Some claims lack the labels of objects, some name a role that is not theirs.
+    parts = parts.where("not (label like 'n%' and id % 23 = 0)").union(c.where("id % 29 = 0").select("id", F.lit("witness"), "object"))
+    return C.claim_schema_issues(c, parts, spark.createDataFrame(C.ROLES, "kind string, role string, least int, most int"))
 
 
 def attribution_issues(spark, sf):
@@ -135,7 +151,7 @@ def clique_projection(spark, sf):
 
 
 def canonical_predicates(spark, sf):
-    labels = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("label")).union(table(spark, sf, "part").select(F.concat(F.substring_index("p_name", " ", -1), F.lit("s"))))
+    labels = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("label")).union(table(spark, sf, "part").select(F.concat(F.substring_index("p_name", " ", -1), F.lit("s")))).union(table(spark, sf, "part").where("p_size = 9").select(F.concat(F.lit("Makes the "), "p_name")))
     onto = spark.createDataFrame([("ring", "band"), ("bolts", "bolt")], "label string, canonical string")
     words = table(spark, sf, "part").where("p_size = 7").select(F.substring_index("p_name", " ", -1).alias("word")).distinct()
     return C.canonical_predicates(labels, onto, words)
@@ -162,7 +178,7 @@ def claim_blocks(spark, sf):
 
 
 def claim_propositions(spark, sf):
-    return C.claim_propositions(_claims(spark, sf)).select("id", "formula")
+    return C.claim_propositions(_typed(_claims(spark, sf))).select("id", F.array_join("propositions", "; ").alias("formulas"))
 
 
 def _stances(spark, sf):
@@ -214,24 +230,28 @@ def _log(spark, sf):
     """A check-log entry a part."""
     p = table(spark, sf, "part")
     noun, adjective = F.substring_index("p_name", " ", -1), F.substring_index("p_name", " ", 1)
-    formula = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("not_"), noun, F.lit("("), adjective, F.lit(")"))).when(F.col("p_size") % 2 == 0, F.concat(noun, F.lit("("), adjective, F.lit(","), F.lower("p_type"), F.lit(")"))).otherwise(F.concat(noun, F.lit("s("), adjective, F.lit(")")))
-    return p.select(F.col("p_partkey").alias("seq"), F.lower("p_type").alias("kind"), F.when(F.col("p_size") > 40, "sat").when(F.col("p_size") > 5, "unsat").otherwise("timeout").alias("verdict"), F.array("p_brand", "p_type").alias("blocks"), F.array(formula, F.concat(adjective, F.lit("("), noun, F.lit(")"))).alias("formulas"))
+    formula = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("not_"), noun, F.lit("("), adjective, F.lit(")"))).when(F.col("p_size") % 11 == 0, F.concat(F.lit("exists x ("), noun, F.lit("_types(x))"))).when(F.col("p_size") % 2 == 0, F.concat(noun, F.lit("("), adjective, F.lit(","), F.lower("p_type"), F.lit(")"))).otherwise(F.concat(noun, F.lit("s("), adjective, F.lit(")")))
+    return p.select(F.col("p_partkey").alias("seq"), F.when(F.col("p_size") % 7 == 0, "core").when(F.col("p_size") % 7 == 1, "internal").otherwise(F.lower("p_type")).alias("kind"), F.when(F.col("p_size") > 30, "consistent").when(F.col("p_size") > 25, "contradictory").when(F.col("p_size") > 22, "undetermined").otherwise("consistent").alias("verdict"), F.when(F.col("p_size") % 9 == 0, "VACUOUS: no model").alias("note"), F.array("p_brand", "p_type").alias("blocks"), F.array(formula, F.concat(adjective, F.lit("("), noun, F.lit(")"))).alias("formulas"))
 
 
-LOG = """lg as (select p_partkey as seq, lower(p_type) as kind, case when p_size > 40 then 'sat' when p_size > 5 then 'unsat' else 'timeout' end as verdict, p_brand, p_type, split_part(p_name, ' ', -1) as noun, split_part(p_name, ' ', 1) as adj, p_size from part),
-lf as (select seq, p_brand as block, unnest([case when p_size % 5 = 0 then 'not_' || noun || '(' || adj || ')' when p_size % 2 = 0 then noun || '(' || adj || ',' || lower(p_type) || ')' else noun || 's(' || adj || ')' end, adj || '(' || noun || ')']) as formula from lg join part on p_partkey = seq),
-sy as (select distinct block, split_part(formula, '(', 1) as symbol, len(string_split(formula, ',')) as arity from lf)"""
+LOG = """lg as (select p_partkey as seq, case when p_size % 7 = 0 then 'core' when p_size % 7 = 1 then 'internal' else lower(p_type) end as kind, case when p_size > 30 then 'consistent' when p_size > 25 then 'contradictory' when p_size > 22 then 'undetermined' else 'consistent' end as verdict, case when p_size % 9 = 0 then 'VACUOUS: no model' end as note, p_brand, p_type, split_part(p_name, ' ', -1) as noun, split_part(p_name, ' ', 1) as adj, p_size from part),
+lf as (select seq, p_brand as block, unnest([case when p_size % 5 = 0 then 'not_' || noun || '(' || adj || ')' when p_size % 11 = 0 then 'exists x (' || noun || '_types(x))' when p_size % 2 = 0 then noun || '(' || adj || ',' || lower(p_type) || ')' else noun || 's(' || adj || ')' end, adj || '(' || noun || ')']) as formula from lg join part on p_partkey = seq),
+sy as (select distinct block, regexp_extract(formula, '([A-Za-z_][A-Za-z0-9_]*)\\([^()]*\\)', 1) as symbol, len(string_split(formula, ',')) as arity from lf)"""
 LOG = LOG.replace("from lg join part on p_partkey = seq", "from lg")
 
 
 def check_log_page(spark, sf):
-    return C.check_log_page(_log(spark, sf), None, "unsat", ["BRAND#3"], 5, 25).select("seq", "kind", "verdict")
+    return C.check_log_page(_log(spark, sf), None, "consistent", ["BRAND#3"], 5, 25).select("seq", "kind", "verdict")
 
 
 def check_log_digest(spark, sf):
     return C.check_log_digest(_log(spark, sf))
 
 
+def check_log_signals(spark, sf):
+    return C.check_log_signals(_log(spark, sf), 50).select("place", "seq", "kind", "verdict", F.array_join("formula_ids", ",").alias("formula_ids"))
+
+
 def formula_ids(spark, sf):
     return C.formula_ids(_log(spark, sf), "seq")
 
@@ -406,13 +426,22 @@ def ranking_value(spark, sf):
 def extraction_scorecard(spark, sf):
     found = table(spark, sf, "orders").select(F.col("o_custkey").alias("run"), F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("claim"))
     must = spark.createDataFrame([("1-URGENT/F",), ("2-HIGH/O",), ("5-LOW/P",)], "claim string")
-    return D.extraction_scorecard(found, must, spark.createDataFrame([("3-MEDIUM/P",)], "claim string"), "run").select("run", r6("recall").alias("recall"), "violations")
+    runs = table(spark, sf, "customer").select(F.col("c_custkey").alias("run"), (F.col("c_nationkey") + 1).alias("segments"))
+    return D.extraction_scorecard(found, must, spark.createDataFrame([("3-MEDIUM/P",)], "claim string"), "run", runs).select("run", r6("recall").alias("recall"), "violations", r6("coverage").alias("coverage"), "vacuous")
 
 
 def run_agreement(spark, sf):
     li = table(spark, sf, "lineitem")
-    rows = li.select(F.col("l_linestatus").alias("corpus"), F.col("l_orderkey").alias("segment"), F.pmod("l_linenumber", F.lit(3)).alias("run"), F.col("l_returnflag").alias("claim"))
-    return D.run_agreement(rows).select("corpus", "segments", r6("agreement").alias("agreement"))
+    key = [F.col("l_linestatus").alias("corpus"), F.col("l_orderkey").alias("segment"), (F.col("l_linenumber") % 3).alias("run")]
+    roles = (F.col("l_suppkey") % 4).cast("string")
+    outcomes = li.where("l_partkey % 10 <> 0").select(
+        *key, F.concat_ws(":", "l_returnflag", roles).alias("claim"), F.col("l_returnflag").alias("kind"), roles.alias("roles"),
+        F.when(F.col("l_quantity") > 25, "corpus").otherwise("position").alias("scope"), F.when(F.col("l_tax") > 0.02, "asserts").alias("polarity"),
+    )
+    runs = li.select(*key).select("corpus", "run").distinct().select(
+        "corpus", "run", (100 * (F.col("run") + 1)).alias("latency"), F.when(F.col("corpus") == "F", F.col("run") / 4).alias("cost"), (F.col("run") == 1).alias("truncated"), ((F.col("corpus") == "O") & (F.col("run") == 2)).alias("failed")
+    )
+    return D.run_agreement(outcomes, li.where("l_partkey % 10 = 0").select(*key), runs).withColumn("agreement", r6("agreement"))
 
 
 def tie_breaker_value(spark, sf):
@@ -432,6 +461,17 @@ def verdict_scorecard(spark, sf):
     return D.verdict_scorecard(*both).withColumn("best", F.col("best").cast("string"))
 
 
+def verdict_totals(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_linestatus", "l_returnflag", "l_orderkey", F.concat_ws(":", "l_orderkey", "l_suppkey").alias("stance"))
+    known = li.select("l_linestatus", F.concat_ws("-", "l_linestatus", "l_orderkey").alias("set_id"), "stance").distinct()
+    found = li.where("l_returnflag <> 'A'").select("l_linestatus", F.concat_ws("-", "l_linestatus", "l_orderkey").alias("found_id"), "stance").distinct()
+    scored = D.verdict_scorecard(known.drop("l_linestatus"), found.drop("l_linestatus")).withColumn("corpus", F.substring_index("set_id", "-", 1))
+    part = table(spark, sf, "part")
+    names = part.select(F.element_at(F.array(F.lit("F"), F.lit("O")), (F.col("p_partkey") % 2 + 1).cast("int")).alias("corpus"), F.col("p_name").alias("name"))
+    bad = part.where("p_size = 3").select(F.lit("O").alias("corpus"), F.regexp_replace(F.upper("p_name"), " ", "-").alias("name")).distinct()
+    return D.verdict_totals(scored, found.select(F.col("l_linestatus").alias("corpus"), "found_id"), bad, names, ["F"])
+
+
 def similarity_floor(spark, sf):
     v = table(spark, sf, "embeddings")
     q = F.array(*[F.lit(1.0 if i % 2 else -0.5) for i in range(64)])
@@ -445,10 +485,10 @@ _NAMES = {
     "io3": run_log_counts, "io4": append_entries, "io5": validate_sequence, "io6": entries_range, "io7": corpus_hash, "io8": conversation_summary, "sh1": coboundary, "sh2": sheaf_laplacian,
     "sh3": dirichlet_energy, "sh4": diffuse_consensus, "sh5": validate_sheaf, "cl1": claim_schema_issues, "cl2": attribution_issues, "cl3": claim_identity, "cl4": claim_incidence, "cl5": clique_projection,
     "cl6": canonical_predicates, "cl7": alias_suggestions, "cl8": community_of_claim, "cl9": claim_blocks, "cl10": claim_propositions, "cl11": joint_violations, "cl12": minimal_unsat_sets, "cl12b": minimal_unsat_sets_whole,
-    "cl13": consistency_graph, "cl14": classify_verdict, "cl15": check_log_page, "cl16": check_log_digest, "cl16b": formula_ids, "cl17": novel_symbols, "cl18": rank_explanations, "cl19": formula_lint,
+    "cl13": consistency_graph, "cl14": classify_verdict, "cl15": check_log_page, "cl16": check_log_digest, "cl16b": formula_ids, "cl16c": check_log_signals, "cl17": novel_symbols, "cl18": rank_explanations, "cl19": formula_lint,
     "cl20": symbol_alias_candidates, "cl21": signature_components, "cl22": extraction_failures, "fi1": admit_findings, "fi2": dedup_findings, "fi3": finding_conflicts, "fi4": resolve_conflict,
     "fi5": recall_findings, "fi6": retire_findings, "fi7": dependency_audit, "fi8": finding_stats, "ev1": filter_noise, "ev2": weigh_evidence, "ev3": grounds_strength, "ev4": scope_demand,
-    "ev5": calibrate_claim, "qe1": ranking_value, "qe2": extraction_scorecard, "qe3": run_agreement, "qe4": tie_breaker_value, "qe5": spearman, "qe6": verdict_scorecard, "qe7": similarity_floor,
+    "ev5": calibrate_claim, "qe1": ranking_value, "qe2": extraction_scorecard, "qe3": run_agreement, "qe4": tie_breaker_value, "qe5": spearman, "qe6": verdict_scorecard, "qe6b": verdict_totals, "qe7": similarity_floor,
 }
 QUERIES = {f"{k}_{f.__name__}": f for k, f in _NAMES.items()}
 
@@ -479,38 +519,55 @@ _SQL = {
     "sh4": f"with {_LAP}, x0 as (select distinct col, length(col)::double as x from b)" + "".join(f", x{k} as (select x.col, x.x - 1e-5 * coalesce(l.lx, 0) as x from x{k - 1} x left join (select c1, sum(value * o.x) as lx from lap join x{k - 1} o on o.col = c2 group by c1) l on l.c1 = x.col)" for k in (1, 2, 3)) + " select col as vertex, round(x, 6) + 0.0 as x from x3",
     "sh5": f"""with {RES}, vx as (select 's' || s_suppkey as vertex, 1 as dim from supplier where s_acctbal > 0 union all select 'n' || n_nationkey, n_nationkey % 2 from nation),
         m as (select edge, case when value = -1.0 then 'source' else 'target' end as side, col as vertex, case when dim is null then 'unknown-vertex' when dim <= 0 then 'shape-mismatch' end as issue from b left join vx on vx.vertex = b.col) select distinct * from m where issue is not null""",
-    "cl1": f"""with {CLAIMS}, {_INC}, pa as (select * from inc where not (role = 'object' and id % 4 = 0 and id % 8 <> 0)), ro as (select * from (values {", ".join(map(str, _ROLES))}) t(kind, role, least_, most_)),
-        n as (select id, role, count(distinct label) as n from pa group by all), wr as (select cl.id, bool_or(coalesce(n.n, 0) < least_ or coalesce(n.n, 0) > most_) as bad from cl join ro on ro.kind = cl.kind left join n on n.id = cl.id and n.role = ro.role group by cl.id),
+    "cl1": f"""with {CLAIMS}, {_TYPED}, pa as (select id, role, label from ty where not (label like 'n%' and id % 23 = 0) union all select id, 'witness', object from cl where id % 29 = 0),
+        ro as (select * from (values {", ".join(f"('{k}', '{r}', {a}, {'null::int' if b is None else b})" for k, r, a, b in C.ROLES)}) t(kind, role, least_, most_)),
+        n as (select id, role, count(distinct label) as n, count(*) as k from pa group by all), wr as (select cl.id, bool_or(coalesce(n.n, 0) < least_ or coalesce(n.k, 0) > coalesce(most_, 1000)) as bad from cl join ro on ro.kind = cl.kind left join n on n.id = cl.id and n.role = ro.role group by cl.id),
         ex as (select distinct n.id from n join cl using (id) where not exists (select 1 from ro where ro.kind = cl.kind and ro.role = n.role))
-        select cl.id, case when cl.kind not in (select kind from ro) then 'unknown-kind' when cl.id in (select id from ex) then 'unexpected-role' when wr.bad then 'cardinality' when polarity not in ('affirmed', 'denied') then 'polarity' when modality not in ('actual', 'possible', 'necessary') then 'modality' end as issue from cl left join wr using (id)""",
+        select cl.id, case when cl.id in (select id from ex) then 'unexpected-role' when wr.bad then 'cardinality' when kind in ('causal-claim', 'property-assertion', 'entailment') and polarity not in ('asserts', 'denies') then 'polarity'
+            when modality not in ('epistemic', 'modal', 'functional', 'metaphysical') then 'modality' when difference not in ('in-kind', 'in-degree') then 'difference-kind' end as issue from cl left join wr using (id)""",
     "cl2": f"with {CLAIMS} select id, case when scope is null then 'scope-missing' when scope = 'position' and holder is null then 'holder-missing' when scope = 'corpus' and holder is not null then 'holder-unexpected' when lower(subject) in ({', '.join(repr(p) for p in C.PRONOUNS)}) then 'pronoun-subject' end as issue from cl",
     "cl3": f"with {CLAIMS}, {_CANON} select id, canonical, sha256(canonical) as claim_key, sha256(segment || chr(1) || canonical) as occurrence_id from ca",
     "cl4": f"with {CLAIMS}, {_INC} select id, role, ordinal::int as ordinal, label, sha256(lower(label)) as node_id from inc",
     "cl5": f"with {CLAIMS}, {_INC}, d as (select distinct id, label from inc) select x.label as a, y.label as b, count(*) as n from d x join d y on x.id = y.id and x.label < y.label group by all",
-    "cl6": f"""with l as (select distinct unnest(string_split(p_name, ' ')) as label from part union select split_part(p_name, ' ', -1) || 's' from part), o as (select * from (values ('ring', 'band'), ('bolts', 'bolt')) t(label, canonical)), v as (select distinct split_part(p_name, ' ', -1) as word from part where p_size = 7),
+    "cl6": f"""with l as (select distinct unnest(string_split(p_name, ' ')) as label from part union select split_part(p_name, ' ', -1) || 's' from part union select 'Makes the ' || p_name from part where p_size = 9), o as (select * from (values ('ring', 'band'), ('bolts', 'bolt')) t(label, canonical)), v as (select distinct split_part(p_name, ' ', -1) as word from part where p_size = 7),
         m as (select {_STEM.format("word")} as stem, min(word) as m from v group by 1 having count(*) = 1), k as (select label, {_STEM.format("label")} as stem from l), s as (select stem, arg_min(label, (length(label), label)) as s from k group by stem)
-        select k.label, coalesce(o.canonical, v.word, m.m, s.s) as canonical, case when o.canonical is not null then 'ontology' when v.word is not null then 'vocabulary' when m.m is not null then 'morphology' else 'shortest' end as method from k left join o on o.label = k.label left join v on v.word = k.label left join m on m.stem = k.stem join s on s.stem = k.stem""",
+        select k.label, coalesce(o.canonical, v.word, nullif(regexp_replace(regexp_extract(regexp_replace(lower(trim(k.label)), '[_\\s]+', '-', 'g'), '^(?:makes?|causes?|implies|means)-(?:the|a|an)-(.+)$', 1), '[^a-z0-9]+', '_', 'g'), ''), m.m, s.s) as canonical, case when o.canonical is not null then 'ontology' when v.word is not null then 'vocabulary' when starts_with(k.label, 'Makes the ') then 'repair' when m.m is not null then 'morphology' else 'shortest' end as method from k left join o on o.label = k.label left join v on v.word = k.label left join m on m.stem = k.stem join s on s.stem = k.stem""",
     "cl7": """with v as (select vec_id, label, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from embeddings), c as (select q.vec_id as label, r.vec_id as other, q.label as bl, r.label as bo, sum(q.x * r.x) / (sqrt(sum(q.x * q.x)) * sqrt(sum(r.x * r.x))) as s from v q join v r on q.i = r.i where q.vec_id % 100 = 0 and q.vec_id <> r.vec_id group by all)
         select label, other, round(s, 6) + 0.0 as similarity, bl <> bo as critical from c where s >= 0.2 qualify row_number() over (partition by label order by round(s, 6) desc, other) = 1""",
     "cl8": f"with {CLAIMS}, t as (select distinct id, unnest([lower(subject), lower(predicate), object]) as token from cl), m as (select distinct c_nationkey as community, unnest([lower(c_mktsegment), 'n' || c_nationkey]) as token from customer), n as (select id, community, count(*) as n from t join m using (token) group by all) select id, community, n as shared from n qualify row_number() over (partition by id order by n desc, community) = 1",
     "cl9": f"with {CLAIMS} select corpus, scope, holder, array_to_string(list_sort(list_distinct(list(subject || ' ' || predicate || ' ' || polarity))), ';') as propositions, array_to_string(list_sort(list_distinct(list(format('{{:03d}}', segment)))), ',') as segments, count(*) as claims from cl where accepted group by corpus, scope, holder",
-    "cl10": f"with {CLAIMS} select id, case when polarity = 'denied' then '-' else '' end || case kind when 'property' then {_NAME('predicate')} || '(' || {_NAME('subject')} || ')' when 'relation' then {_NAME('predicate')} || '(' || {_NAME('subject')} || ',' || {_NAME('object')} || ')' when 'identity' then {_NAME('subject')} || '=' || {_NAME('object')} else 'causes(' || {_NAME('subject')} || ',' || {_NAME('object')} || ')' end as formula from cl",
+    "cl10": f"""with {CLAIMS}, p as (select *, {_NAME('subject')} as a, {_NAME('predicate')} as p, {_NAME('object')} as b, case when polarity = 'denies' then '-' else '' end as sg, polarity in ('asserts', 'denies') as signed, list_sort(list_distinct([subject, predicate, object])) as m from cl)
+        select id, case kind when 'property-assertion' then case when signed then sg || p || '(entity_' || a || ')' end
+            when 'entailment' then 'all x (' || a || '(x) -> ' || sg || b || '(x)); exists x (' || a || '(x))' when 'identity-claim' then 'all x (' || a || '(x) <-> ' || b || '(x)); exists x (' || a || '(x))'
+            when 'causal-claim' then case when signed then 'all x (' || a || '(x) -> ' || sg || 'causes_' || b || '(x)); exists x (' || a || '(x))' end
+            when 'exclusion' then 'all x (' || a || '(x) -> -' || b || '(x)); exists x (' || a || '(x))'
+            when 'joint-incompatibility' then 'all x ((' || array_to_string(list_transform(m[1:len(m) - 1], lambda y: {_NAME('y')} || '(x)'), ' & ') || ') -> -' || {_NAME('m[len(m)]')} || '(x))'
+            when 'distinction' then 'exists x (' || a || '(x) & -' || b || '(x))' else 'exists x (' || a || '(x) & -' || b || '(x)); exists x (' || b || '(x) & -' || a || '(x))' end as formulas from p""",
     "cl11": f"with im as (select * from (values {', '.join(map(str, _IMPOSSIBLE))}) t(set_id, stance)), h as (select distinct o_custkey as holder, o_orderpriority || '/' || o_orderstatus as stance from orders) select holder, set_id from h join im using (stance) group by holder, set_id having count(*) = (select count(*) from im i where i.set_id = im.set_id)",
     "cl12": f"with {WITNESS} select 2::int as arity, a || ',' || b as members from f2 union all select 3, a || ',' || b || ',' || c from f3",
     "cl13": f"with {WITNESS}, bo as (select a, b from s2 union select b, a from s2), re as (with recursive r(n, m) as (select a, a from bo union select r.n, bo.b from r join bo on bo.a = r.m) select n, min(m) as c from r group by n) select (select count(*) from s2) as pairs, (select count(*) from s3) as triangles, count(distinct c) as components from re",
     "cl14": """with s as (select l_orderkey as set_id, bool_or(l_suppkey % 3 = 0) as corpus, count(distinct case when l_suppkey % 3 <> 0 then s_nationkey end) as holders from lineitem join supplier on s_suppkey = l_suppkey group by 1)
         select set_id, case when corpus and holders = 0 then 'corpus-contradiction' when not corpus and holders = 1 then 'position-contradiction' else 'positions-incompatible' end as verdict from s""",
-    "cl15": f"with {LOG} select seq, kind, verdict from lg where verdict = 'unsat' and (lower(p_brand) = 'brand#3' or lower(p_type) = 'brand#3') order by seq limit 25 offset 5",
+    "cl15": f"with {LOG} select seq, kind, verdict from lg where verdict = 'consistent' and (lower(p_brand) = 'brand#3' or lower(p_type) = 'brand#3') order by seq limit 25 offset 5",
     "cl16": f"with {LOG} select kind, verdict, count(*) as n, ({_LEVEL})::int as level from lg group by cube (kind, verdict)",
     "cl16b": f"with {LOG} select formula, min(seq) as first from lf group by formula",
+    "cl16c": f"""with {LOG}, k as (select *, case when verdict = 'contradictory' then 0 when verdict = 'undetermined' then 1 when note is not null then 2 when kind = 'core' then 3 when kind = 'internal' then 4 else 5 end as rk from lg where verdict <> 'consistent' or kind in ('core', 'internal') or note is not null),
+        p as (select *, row_number() over (order by rk, seq) - 1 as place from k qualify place < 50), u as (select place, pos, formula from (select p.place, lf.formula, row_number() over (partition by p.place order by starts_with(lf.formula, p.adj || '(' || p.noun)) - 1 as pos from p join lf on lf.seq = p.seq)),
+        f as (select formula, row_number() over (order by min(place * 10 + pos)) - 1 as id from u group by formula)
+        select p.place::int as place, p.seq, p.kind, p.verdict, string_agg(f.id, ',' order by u.pos) as formula_ids from p join u on u.place = p.place join f on f.formula = u.formula group by all""",
     "cl17": f"with {LOG} select distinct symbol from sy where symbol not in (select split_part(p_name, ' ', -1) from part where p_size < 5)",
     "cl18": """with s as (select l_suppkey as hypothesis, bool_and(l_suppkey % 5 <> 0) as coherent, avg((l_returnflag = 'A')::int) as depth, max(l_suppkey % 4) as novel from lineitem group by 1),
         t as (select *, case when not coherent then 'refuted' when depth >= 1 then 'explains' when depth > 0 then 'partial' else 'idle' end as status, depth - 0.35 * novel as score from s)
         select hypothesis, status, round(depth, 9) as depth, round(score, 9) as score, (row_number() over (partition by status order by round(t.score, 9) desc, novel, hypothesis))::int as place from t""",
-    "cl19": f"""with {LOG} select 'arity-in-block' as issue, block, symbol from sy group by block, symbol having count(distinct arity) > 1 union all select 'arity-across-blocks', null, symbol from sy group by symbol having count(distinct arity) > 1
-        union all select distinct 'negative-name', x.block, x.symbol from sy x join sy y on x.block = y.block and regexp_replace(x.symbol, '^(not|non|no)_', '') = y.symbol where regexp_matches(x.symbol, '^(not|non|no)_')""",
-    "cl20": f"""with {LOG}, k as (select distinct symbol, array_to_string(list_transform(string_split(lower(symbol), '_'), lambda p: regexp_replace(p, 's$', '')), '_') as key from sy where length(symbol) >= 4)
-        select x.symbol as a, y.symbol as b, not exists (select 1 from sy p join sy q on p.block = q.block where p.symbol = x.symbol and q.symbol = y.symbol) as critical from k x join k y on x.key = y.key and x.symbol < y.symbol""",
+    "cl19": f"""with {LOG}, i as (select block, symbol from sy group by block, symbol having count(distinct arity) > 1), nm as (select distinct symbol from sy), ng as (select symbol, regexp_replace(symbol, '^(not|non|no)_', '') as base from nm where regexp_matches(symbol, '^(not|non|no)_.')),
+        sj as (select distinct block, unnest(regexp_extract_all(regexp_replace(regexp_replace(formula, '->.*$', ''), '\\b(all|exists)\\s+[a-zA-Z_][A-Za-z0-9_]*', ' ', 'g'), '\\b([a-z_][A-Za-z0-9_]*)\\s*\\(', 1)) as symbol from lf)
+        select 'arity-in-block' as issue, block, symbol from i union all select 'arity-across-blocks', null, symbol from sy where symbol not in (select symbol from i) group by symbol having count(distinct arity) > 1
+        union all select 'negation-free', null, null from lf having count(*) > 0 and count(*) filter (where regexp_matches(formula, '~|-[^>]|-$')) = 0
+        union all select distinct 'negative-name', null, ng.symbol from ng join nm on nm.symbol <> ng.symbol and (starts_with(nm.symbol, ng.base) or starts_with(ng.base, nm.symbol))
+        union all select 'private-witness', block, null from sj where block in (select block from lf where regexp_matches(formula, '\\bexists\\b')) and (select count(distinct block) from sj) > 1 group by block having bool_and(not exists (select 1 from sj o where o.symbol = sj.symbol and o.block <> sj.block))""",
+    "cl20": f"""with {LOG}, k as (select symbol, list_transform(string_split(symbol, '_'), lambda p: case when p like '%ies' and length(p) > 4 then p[:-4] || 'y' when p like '%s' and p not like '%ss' and length(p) > 3 then p[:-2] else p end) as ps from (select distinct symbol from sy) where length(symbol) >= 4),
+        pr as (select least(x.symbol, y.symbol) as a, greatest(x.symbol, y.symbol) as b from k x join k y on x.symbol <> y.symbol where x.ps = y.ps or len(x.ps) = 1 and len(y.ps) > 1 and y.ps[1] = x.ps[1] and len(list_filter(y.ps[2:], lambda p: p not in ({', '.join(repr(g) for g in C.GENERIC)}))) = 0)
+        select distinct a, b, not exists (select 1 from sy p join sy q on p.block = q.block where p.symbol = a and q.symbol = b) as critical from pr""",
     "cl21": """with o as (select distinct 'b:' || format('{:05d}:{:03d}', conv_id, turn) as b, 's:' || conv_id || ':' || role as s from conversations), bo as (select b as x, s as y from o union select s, b from o),
         re as (with recursive r(n, m) as (select x, x from bo union select r.n, bo.y from r join bo on bo.x = r.m) select n, min(m) as c from r group by n) select substr(n, 3) as block, substr(c, 3) as component from re where starts_with(n, 'b:')""",
     "cl22": f"select o_orderpriority as cause, count(*) as n from orders where o_orderpriority in ({', '.join(repr(c) for c in _CAUSES)}) group by 1",
@@ -539,14 +596,27 @@ _SQL = {
         s as (select cycle, count(*) filter (where h and rb <= 10) as base_hits, count(*) filter (where h and rc <= 10) as combined_hits, coalesce(1 / min(rb) filter (where h), 0) as base_rr, coalesce(1 / min(rc) filter (where h), 0) as combined_rr, count(*) filter (where rc <= 10 and rp <= 10) / count(*) filter (where rc <= 10 or rp <= 10) as stability, sum(cost) as cost from r group by cycle),
         t as (select *, array_to_string(list_filter([case when combined_hits <= base_hits then 'no-extra-hits' end, case when combined_rr < base_rr then 'lower-rank' end, case when stability < 0.5 then 'unstable' end], lambda x: x is not null), ',') as reasons from s)
         select cycle, base_hits, combined_hits, round(base_rr, 6) as base_rr, round(combined_rr, 6) as combined_rr, round(stability, 6) as stability, case when combined_hits > base_hits then round(cost / (combined_hits - base_hits), 6) end as cost_per_hit, reasons, case when reasons = '' then 'retain' else 'retire' end as decision from t""",
-    "qe2": "with f as (select distinct o_custkey as run, o_orderpriority || '/' || o_orderstatus as claim from orders) select run, round(count(*) filter (where claim in ('1-URGENT/F', '2-HIGH/O', '5-LOW/P')) / 3, 6) as recall, count(*) filter (where claim = '3-MEDIUM/P') as violations from f group by run",
-    "qe3": """with p as (select l_linestatus as corpus, l_orderkey as segment, l_linenumber % 3 as run, string_agg(distinct l_returnflag, '|' order by l_returnflag) as claims from lineitem group by all), s as (select corpus, segment, count(*) as runs, count(distinct claims) as kinds from p group by all having count(*) > 1)
-        select corpus, count(*) as segments, round(avg((kinds = 1)::int), 6) as agreement from s group by corpus""",
+    "qe2": """with f as (select distinct o_custkey as run, o_orderpriority || '/' || o_orderstatus as claim from orders) select c_custkey as run, round(count(*) filter (where claim in ('1-URGENT/F', '2-HIGH/O', '5-LOW/P')) / 3, 6) as recall, count(*) filter (where claim = '3-MEDIUM/P') as violations,
+        round(count(claim) / (c_nationkey + 1), 6) as coverage, count(claim) = 0 as vacuous from customer left join f on run = c_custkey group by c_custkey, c_nationkey""",
+    "qe3": """with o as (select l_linestatus as corpus, l_orderkey as segment, l_linenumber % 3 as run, l_returnflag || ':' || l_shipmode_ as claim, l_returnflag as kind, l_shipmode_ as roles, case when l_quantity > 25 then 'corpus' else 'position' end as scope, case when l_tax > 0.02 then 'asserts' end as polarity from (select *, (l_suppkey % 4)::varchar as l_shipmode_ from lineitem) where l_partkey % 10 <> 0),
+        u as (select distinct l_linestatus as corpus, l_orderkey as segment, l_linenumber % 3 as run from lineitem where l_partkey % 10 = 0), rn as (select corpus, run, 100 * (run + 1) as latency, case when corpus = 'F' then run / 4 end as cost, run = 1 as truncated, corpus = 'O' and run = 2 as failed from (values ('F'), ('O')) c(corpus), (values (0), (1), (2)) r(run)),
+        g as (select corpus, segment, run, string_agg(claim, '|' order by claim) as a, string_agg(kind, '|' order by kind) as k, string_agg(roles, '|' order by roles) as r, string_agg(scope, '|' order by scope) as s, string_agg(coalesce(polarity, 'null'), '|' order by coalesce(polarity, 'null')) as p, count(*) as n from o group by all),
+        h as (select corpus, segment, run from g union select * from u), e as (select h.corpus, h.segment, r.run, coalesce(a, '') as a, coalesce(k, '') as k, coalesce(g.r, '') as r, coalesce(s, '') as s, coalesce(p, '') as p, coalesce(n, 0) as n, u.run is not null as lost
+            from (select distinct corpus, segment from h) h join rn r on r.corpus = h.corpus left join g on g.corpus = h.corpus and g.segment = h.segment and g.run = r.run left join u on u.corpus = h.corpus and u.segment = h.segment and u.run = r.run),
+        q as (select corpus, segment, count(distinct a) = 1 as a, count(distinct k) = 1 as k, count(distinct r) = 1 as r, count(distinct s) = 1 as s, count(distinct p) = 1 as p, count(distinct n) = 1 as n, count(distinct lost) = 1 as l from e group by all),
+        c as (select corpus, count(*) as segments, round(avg(a::int), 6) as agreement, count(*) filter (where not k) as differ_kinds, count(*) filter (where not r) as differ_roles, count(*) filter (where not s) as differ_scopes, count(*) filter (where not p) as differ_polarities, count(*) filter (where not n) as differ_number, count(*) filter (where not l) as differ_mapping from q group by corpus),
+        t as (select corpus, count(*) as runs, sum(latency)::bigint as total_latency, avg(latency) as mean_latency, case when count(cost) = count(*) then sum(cost) end as total_cost, count(*) filter (where truncated) as truncated_runs, count(*) filter (where failed) as failed_runs from rn group by corpus)
+        select t.*, c.* exclude (corpus), agreement < 0.9 and failed_runs = 0 as sample_more from t join c using (corpus)""",
     "qe4": """with r as (select l_orderkey, l_returnflag = 'R' as valid, row_number() over (partition by l_orderkey order by floor(l_quantity / 10), l_partkey * 100 + l_linenumber) as p, row_number() over (partition by l_orderkey order by floor(l_quantity / 10), ([1.0, 0.7, 0.3])[l_suppkey % 3 + 1] desc, l_partkey * 100 + l_linenumber) as w from lineitem)
         select l_orderkey, coalesce(min(p) filter (where valid), -1)::int as plain, coalesce(min(w) filter (where valid), -1)::int as weighted from r group by 1""",
     "qe5": "with r as (select p_brand, row_number() over (partition by p_brand order by p_size, p_partkey)::double as x, row_number() over (partition by p_brand order by p_retailprice, p_partkey)::double as y from part) select p_brand, round(corr(x, y), 6) + 0.0 as rho from r group by p_brand",
     "qe6": """with k as (select distinct l_orderkey as set_id, l_suppkey as st from lineitem where l_linestatus = 'F'), f as (select distinct l_orderkey as found_id, l_suppkey as st from lineitem where l_returnflag <> 'A'), nk as (select set_id, count(*) as nk from k group by 1), nf as (select found_id, count(*) as nf from f group by 1),
         o as (select set_id, count(*) as n from k join f on f.found_id = k.set_id and f.st = k.st group by 1) select nk.set_id, case when n is not null then nk.set_id::varchar end as best, case when n is null then 'missed' when n = nk and n = nf then 'reproduced' else 'review' end as verdict from nk left join o using (set_id) left join nf on nf.found_id = nk.set_id""",
+    "qe6b": """with k as (select distinct l_linestatus as c, l_orderkey as o, l_suppkey as st from lineitem), f as (select distinct l_linestatus as c, l_orderkey as o, l_suppkey as st from lineitem where l_returnflag <> 'A'), nk as (select c, o, count(*) as nk from k group by all), nf as (select c, o, count(*) as nf from f group by all),
+        v as (select nk.c, nk.o, exists (select 1 from nf where nf.o = nk.o and nf.nf = nk.nk and (select count(*) from k x join f y on x.c = nk.c and y.c = nf.c and x.o = nk.o and y.o = nk.o and x.st = y.st) = nk.nk) as hit from nk),
+        nm as (select distinct case when p_partkey % 2 = 0 then 'F' else 'O' end as c, replace(lower(p_name), ' ', '_') as n from part), b as (select c, count(*) as violations from (select distinct 'O' as c, replace(lower(p_name), ' ', '_') as n from part where p_size = 3) x semi join nm on nm.c = x.c and nm.n = x.n group by c),
+        s as (select v.c as corpus, count(*) as sets, count(*) filter (where hit) as reproduced, coalesce(max(violations), 0) as violations, greatest(0, coalesce((select count(distinct o) from nf where nf.c = v.c), 0) - count(*)) as surplus from v left join b on b.c = v.c group by v.c)
+        select *, reproduced = sets and violations = 0 and (corpus <> 'F' or surplus = 0) as pass from s""",
     "qe7": f"with {_QV}, c as (select label, max(s) as best from sm group by label), g as (select min(best) filter (where label >= 5) as a, max(best) filter (where label < 5) as b from c) select round(a, 6) as lowest_hit, round(b, 6) as highest_miss, round(a - b, 6) + 0.0 as gap, case when a > b then round((a + b) / 2, 6) end as floor from g",
 }
 SQL = {f"{k}_{_NAMES[k].__name__}": v for k, v in _SQL.items()}

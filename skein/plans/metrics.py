@@ -236,7 +236,9 @@ def route_query(spark, sf):
 
 
 def staged_query(spark, sf):
-    return V.staged_query(_vectors(spark, sf), _query(spark, sf), "label", "embedding", "vec_id").select("label", "vec_id", r6("similarity").alias("similarity"))
+    names = _vectors(spark, sf).withColumn("name", F.concat(F.lit("entry "), F.col("vec_id").cast("string")))
+    sources = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 500).alias("summary"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.concat_ws("/", "l_returnflag", "l_linenumber").alias("content"))
+    return V.staged_query(names, _query(spark, sf), "label", "embedding", "vec_id", "name", sources).select("label", "vec_id", r6("similarity").alias("similarity"), "context")
 
 
 def _summaries(spark, sf):
@@ -448,7 +450,8 @@ SQL = {
     "ve6_section_graph": f"""with {_PAIRS}, b as (select a as x, b as y, similarity from cs union all select b, a, similarity from cs), k as (select * from b where similarity >= -1 qualify row_number() over (partition by x order by similarity desc, y) <= 2)
         select distinct least(x, y) as a, greatest(x, y) as b, round(similarity, 6) + 0.0 as similarity from k""",
     "ve7_route_query": f"with {_MEAN}, m as (select label, max(similarity) as s from sim group by label) select r.label::int as label, round(coalesce(s, -1.0), 6) + 0.0 as score from range(12) r(label) left join m on m.label = r.label",
-    "ve8_staged_query": f"with {_MEAN} select label, vec_id, round(similarity, 6) + 0.0 as similarity from sim order by sim.similarity desc, vec_id limit 1",
+    "ve8_staged_query": f"""with {_MEAN}, b as (select * from sim order by similarity desc, vec_id limit 1), x as (select string_agg(l_returnflag || '/' || l_linenumber, chr(10) || chr(10) order by l_orderkey * 10 + l_linenumber) as c from lineitem where l_orderkey % 500 = (select vec_id from b))
+        select label, vec_id, round(similarity, 6) + 0.0 as similarity, coalesce((select c from x), 'entry ' || vec_id) as context from b""",
     "ve9_root_summaries": f"with {_SUMS} select id from s where id not in (select unnest(children) from s)",
     "ve10_expand_summary": f"with {_SUMS} select conv_id::varchar as id, case when turn = 0 then 0 when turn % 2 = 0 then 1 else 2 end as step, turn as place, md5(content) as content_md5 from s",
     "ve11_compaction_due": """with d as (select source as grp, doc_id as id, ceil(length(text) / 4)::bigint as tokens, lang = 'en' as settled from documents),
