@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.entropy import embedding_entropy, purity_entropy
+from skein.operators.ranking import bucketed_row_number, falling
+from skein.operators.storage import written
 from skein.operators.vectors import centroid, cosine
 
 
@@ -89,9 +91,11 @@ def evolve_salience(edges: DataFrame, alpha: float, floor: float = 0.05) -> Data
     return grown.withColumn("salience", F.greatest(F.lit(floor), F.col("z1") / mean))
 
 
-def salience_ranking(edges: DataFrame, n: int) -> DataFrame:
-    """PE-5. The n most salient edges, ties by key."""
-    return edges.orderBy(F.desc("salience"), "src", "dst").limit(n)
+def salience_ranking(edges: DataFrame) -> DataFrame:
+    """PE-5. All edges with their ``place`` from 0, by falling salience, then src and dst. Places are
+    dealt out by ranges of the salience."""
+    edges = written(edges, "salience")
+    return bucketed_row_number(edges, [], falling(edges, "salience"), [F.desc("salience"), "src", "dst"], "place")
 
 
 def explore_exploit(decomposition: DataFrame) -> DataFrame:

@@ -341,7 +341,7 @@ def evolve_salience(spark, sf):
 
 
 def salience_ranking(spark, sf):
-    return A.salience_ranking(A.evolve_salience(_fitness(spark, sf), 0.1).withColumn("salience", F.round("salience", 6)), 50).select("src", "dst", "salience")
+    return A.salience_ranking(A.evolve_salience(_fitness(spark, sf), 0.1).withColumn("salience", F.round("salience", 6))).select("place", "src", "dst", "salience")
 
 
 def explore_exploit(spark, sf):
@@ -450,7 +450,7 @@ SQL = {
     "ve6_section_graph": f"""with {_PAIRS}, b as (select a as x, b as y, similarity from cs union all select b, a, similarity from cs), k as (select * from b where similarity >= -1 qualify row_number() over (partition by x order by similarity desc, y) <= 2)
         select distinct least(x, y) as a, greatest(x, y) as b, round(similarity, 6) + 0.0 as similarity from k""",
     "ve7_route_query": f"with {_MEAN}, m as (select label, max(similarity) as s from sim group by label) select r.label::int as label, round(coalesce(s, -1.0), 6) + 0.0 as score from range(12) r(label) left join m on m.label = r.label",
-    "ve8_staged_query": f"""with {_MEAN}, b as (select * from sim order by similarity desc, vec_id limit 1), x as (select string_agg(l_returnflag || '/' || l_linenumber, chr(10) || chr(10) order by l_orderkey * 10 + l_linenumber) as c from lineitem where l_orderkey % 500 = (select vec_id from b))
+    "ve8_staged_query": f"""with {_MEAN}, b as (select * from sim order by similarity desc, vec_id limit 1), x as (select string_agg(l_returnflag || '/' || l_linenumber, chr(10) || chr(10) order by l_orderkey * 10 + l_linenumber, l_returnflag || '/' || l_linenumber) as c from lineitem where l_orderkey % 500 = (select vec_id from b))
         select label, vec_id, round(similarity, 6) + 0.0 as similarity, coalesce((select c from x), 'entry ' || vec_id) as context from b""",
     "ve9_root_summaries": f"with {_SUMS} select id from s where id not in (select unnest(children) from s)",
     "ve10_expand_summary": f"with {_SUMS} select conv_id::varchar as id, case when turn = 0 then 0 when turn % 2 = 0 then 1 else 2 end as step, turn as place, md5(content) as content_md5 from s",
@@ -471,7 +471,7 @@ SQL = {
     "pe2_learning_rate": "select event_id, round(0.1 * case event_id % 4 when 0 then 2.0 when 1 then 0.3 else 1.0 end, 6)::double as rate from events",
     "pe3_price_decomposition": f"with {FIT}, p as (select covar_pop(w, z) as c, avg(w * (z1 - z)) as t, avg(w) as w from o) select round(c / w, 6) + 0.0 as selection, round(t / w, 6) + 0.0 as transmission, round((c + t) / w, 6) + 0.0 as change from p",
     "pe4_evolve_salience": f"with {FIT} select src, dst, round(greatest(0.05, z1 / (select avg(z1) from o)), 6) + 0.0 as salience from o",
-    "pe5_salience_ranking": f"with {FIT}, s as (select src, dst, round(greatest(0.05, z1 / (select avg(z1) from o)), 6) + 0.0 as salience from o) select * from s order by salience desc, src, dst limit 50",
+    "pe5_salience_ranking": f"with {FIT}, s as (select src, dst, round(greatest(0.05, z1 / (select avg(z1) from o)), 6) + 0.0 as salience from o) select row_number() over (order by salience desc, src, dst) - 1 as place, * from s",
     "pe6_explore_exploit": f"with {FIT}, p as (select abs(covar_pop(w, z)) as c, abs(avg(w * (z1 - z))) as t from o) select round(t / (c + t), 6) + 0.0 as explore from p",
     "pe7_gini": "with r as (select l_extendedprice as x, row_number() over (order by l_extendedprice) as i, count(*) over () as n from lineitem) select round(2 * sum(i * x) / (max(n) * sum(x)) - (max(n) + 1) / max(n), 6) + 0.0 as gini from r",
 }
