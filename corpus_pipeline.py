@@ -18,8 +18,14 @@ from skein.operators.storage import written
 
 
 def _row(docs: DataFrame):
-    """All columns as one value beside which an operator may add its own."""
-    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    """All columns but the text as one value, beside which an operator may add its own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+
+
+def _columns(docs: DataFrame, **new):
+    """The columns of ``docs`` again, from the row, the text and new ones."""
+    own = {"text": F.col("text")} | new
+    return [own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +42,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     null ids and repeated rows like any other."""
     small_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs.select(_row(docs), "text"), model).where("predicted = 0").select("row.*")
+    return toxicity.score(docs.select(_row(docs), "text"), model).where("predicted = 0").select(_columns(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +50,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     there is one. Null text becomes empty. Rows that repeat an id are one document in the counts
     and each keep a row; null ids together are one document below all others."""
     found = line_dedup.dedup_lines(docs.select("doc_id", "text", _row(docs)))
-    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
-    return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return found.select(_columns(docs, n_chars=F.char_length("text").cast("long")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
