@@ -17,6 +17,8 @@ FIXED_HEADERS = [
 ]
 #: Rows that a bucket of time should hold over all URLs.
 BUCKET_ROWS = 20_000
+#: Quantiles of the time at most, between which buckets are cut; more buckets are equal parts of these.
+QUANTILES = 256
 
 
 def canonical_url(url: Column) -> Column:
@@ -40,6 +42,24 @@ def merge_headers(stored: Column, newer: Column) -> Column:
     return F.map_concat(rest, free)
 
 
+def _bucket(captures: DataFrame) -> Column:
+    """A bucket that does not decrease with ``fetched_at``: its place among the quantiles of all
+    captures' times, then, where QUANTILES are too few, equal parts of the time between two."""
+    time = F.col("fetched_at").cast("long")
+    low, high, n, cuts = captures.agg(
+        F.min(time), F.max(time), F.count(time), F.percentile_approx(time, [k / QUANTILES for k in range(1, QUANTILES)])
+    ).first()
+    wanted = min(QUANTILES, n // BUCKET_ROWS)
+    if wanted < 2:
+        return F.struct(F.lit(0).alias("quantile"), F.lit(0).cast("long").alias("part"))
+    starts = sorted({low, *[cuts[QUANTILES * k // wanted - 1] for k in range(1, wanted)]})
+    parts = max(1, n // (BUCKET_ROWS * len(starts)))
+    widths = [max(1, (b - a) // parts) for a, b in zip(starts, [*starts[1:], high + 1])]
+    at = F.size(F.filter(F.array(*map(F.lit, starts)), lambda s: s <= time)) - 1
+    of = lambda values: F.get(F.array(*[F.lit(v).cast("long") for v in values]), at)
+    return F.struct(at.alias("quantile"), F.floor((time - of(starts)) / of(widths)).alias("part"))
+
+
 def resolve_revisits(captures: DataFrame) -> DataFrame:
     """One row a revisit: (``record_id``, ``url_key``, ``fetched_at``, ``outcome``, ``refers_to``,
     ``digest``, ``headers`` map).
@@ -54,17 +74,16 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     merged headers. A null URL or time is unmatched; repeated rows are resolved one by one; other
     columns are ignored; an empty table gives an empty table.
 
-    A URL may hold most of the captures. So time is cut into buckets of about BUCKET_ROWS
-    captures over all URLs; within (URL, bucket) the latest response is carried forward by a
-    window, and only one row a (URL, bucket) is carried along the whole URL.
+    A URL may hold most of the captures. So time is cut at its quantiles into buckets of about
+    BUCKET_ROWS captures over all URLs, however unevenly captures lie in time; within (URL,
+    bucket) the latest response is carried forward by a window, and only one row a (URL, bucket)
+    is carried along the whole URL.
     """
     rows = captures.where(F.col("status").isin(200, 304)).select(
         "record_id", canonical_url(F.col("url")).alias("url_key"), F.col("fetched_at").cast("long").alias("fetched_at"), "status",
         F.struct("record_id", "etag", "last_modified", "digest", "headers").alias("own"),
     )
-    low, high, n = captures.agg(F.min("fetched_at").cast("long"), F.max("fetched_at").cast("long"), F.count(F.lit(1))).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) // max(1, n // BUCKET_ROWS))
-    keyed = rows.where("url_key is not null and fetched_at is not null").withColumn("bucket", F.floor((F.col("fetched_at") - F.lit(low or 0)) / width))
+    keyed = rows.where("url_key is not null and fetched_at is not null").withColumn("bucket", _bucket(captures))
     answer = F.when(F.col("status") == 200, F.col("own"))
     place = F.when(F.col("status") == 200, F.struct("fetched_at", "record_id"))
     latest = keyed.where("status = 200").groupBy("url_key", "bucket").agg(F.max_by("own", F.struct("fetched_at", "record_id")).alias("last"))

@@ -342,14 +342,22 @@ def test_revisits(spark):
     assert revisit.resolve_revisits(df.union(df)).count() == 14 and revisit.resolve_revisits(df.limit(0)).count() == 0
 
 
-def test_hot_url_over_many_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("quantiles", [256, 8])
+@pytest.mark.parametrize("time", [lambda i: i // 3, lambda i: (i // 3) ** 4 - 10**9, lambda i: 5 if i % 2 else i // 90 * 10**12])
+def test_hot_url_over_many_buckets(spark, monkeypatch, time, quantiles):
+    """Also where times are bunched, equal, below zero or far out."""
     monkeypatch.setattr(revisit, "BUCKET_ROWS", 10)
+    monkeypatch.setattr(revisit, "QUANTILES", quantiles)
     r = random.Random(4)
-    rows = [(f"{i:04d}", "http://hot.org/", i // 3, r.choice([200, 304, 304]), "t", None, f"d{i}", {}) for i in range(600)]
+    rows = [(f"{i:04d}", "http://hot.org/", time(i), r.choice([200, 304, 304]), "t", None, f"d{i}", {}) for i in range(600)]
     df = spark.createDataFrame(rows, "record_id string, url string, fetched_at long, status int, etag string, last_modified string, digest string, headers map<string,string>")
     full = [(x[2], x[0]) for x in rows if x[3] == 200]
     want = {x[0]: max(((t, i) for t, i in full if t < x[2]), default=(0, None))[1] for x in rows if x[3] == 304}
     assert {x.record_id: x.refers_to for x in revisit.resolve_revisits(df).collect()} == want
+    buckets = df.groupBy(revisit._bucket(df).alias("b")).agg(F.min("fetched_at").alias("low"), F.max("fetched_at").alias("high"), F.count("*").alias("n")).orderBy("b").collect()
+    assert all(a.high < b.low for a, b in zip(buckets, buckets[1:]))
+    if quantiles == 256:  # larger ones hold equal times alone
+        assert all(b.n <= 40 or b.low == b.high for b in buckets)
 
 
 @pytest.mark.parametrize("name", sorted(sql.oracle_sql()))
