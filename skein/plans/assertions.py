@@ -8,11 +8,39 @@ from skein.functions.text import PREFERENCE
 from skein.operators import claims as C
 from skein.operators import findings as D
 from skein.operators import sheaf as H
+from skein.operators.storage import shared_path
 from skein.plans.tables import r6, table
 from skein.sources import entries as N
 from skein.sources import run_log as L
 
 
+def read_run_log(spark, sf):
+    """Turns as check entries: those of the assistant in log events, others inside a tool's output;
+    every fifth turn lacks its verdict and is left out."""
+    turn = table(spark, sf, "conversations")
+    verdict = F.when(F.col("turn") % 5 != 4, F.when(F.char_length("text") % 2 == 0, "sat").otherwise("unsat"))
+    blocks = F.array(F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    entry = F.array(F.struct(F.col("role").alias("kind"), blocks.alias("blocks"), F.array(F.sha2("text", 256)).alias("formulas"), verdict.alias("verdict"), F.col("text").alias("note")))
+    logged = F.col("role") == "assistant"
+    events = turn.select(
+        F.when(logged, "logic_check_log").otherwise("tool").alias("type"),
+        F.when(logged, entry).alias("checkLog"), F.when(~logged, F.to_json(F.struct(entry.alias("checkLog")))).alias("output"),
+    )
+    path = shared_path(spark, "run_log")
+    events.write.json(path)
+    at = lambda i: F.col("blocks")[i].cast("long")
+    return L.read_run_log(spark, path).select("kind", at(0).alias("conv_id"), at(1).alias("turn"), F.col("formulas")[0].alias("formula"), "verdict", F.sha2("note", 256).alias("note"))
+
+
+def write_run_log(spark, sf):
+    """Turns written as events, a folder a role, and counted from the files."""
+    path = shared_path(spark, "run_events")
+    L.write_run_log(table(spark, sf, "conversations").select(F.col("role").alias("type"), "conv_id", "turn", "text"), path)
+    found = spark.read.schema("conv_id long, turn long, text string, ts string, type string").json(path)
+    stamped = F.count(F.when(F.col("ts").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:.]{12}Z$"), 1))
+    return found.groupBy("type", "conv_id").agg(F.count(F.lit(1)).alias("events"), F.sum(F.char_length("text")).alias("chars"), F.max("turn").alias("last_turn"), stamped.alias("stamped"))
+
+
 def run_log_counts(spark, sf):
     return L.run_log_counts(table(spark, sf, "conversations"), "role", "text")
 
@@ -482,7 +510,7 @@ def similarity_floor(spark, sf):
 
 
 _NAMES = {
-    "io3": run_log_counts, "io4": append_entries, "io5": validate_sequence, "io6": entries_range, "io7": corpus_hash, "io8": conversation_summary, "sh1": coboundary, "sh2": sheaf_laplacian,
+    "io1": read_run_log, "io2": write_run_log, "io3": run_log_counts, "io4": append_entries, "io5": validate_sequence, "io6": entries_range, "io7": corpus_hash, "io8": conversation_summary, "sh1": coboundary, "sh2": sheaf_laplacian,
     "sh3": dirichlet_energy, "sh4": diffuse_consensus, "sh5": validate_sheaf, "cl1": claim_schema_issues, "cl2": attribution_issues, "cl3": claim_identity, "cl4": claim_incidence, "cl5": clique_projection,
     "cl6": canonical_predicates, "cl7": alias_suggestions, "cl8": community_of_claim, "cl9": claim_blocks, "cl10": claim_propositions, "cl11": joint_violations, "cl12": minimal_unsat_sets, "cl12b": minimal_unsat_sets_whole,
     "cl13": consistency_graph, "cl14": classify_verdict, "cl15": check_log_page, "cl16": check_log_digest, "cl16b": formula_ids, "cl16c": check_log_signals, "cl17": novel_symbols, "cl18": rank_explanations, "cl19": formula_lint,
@@ -506,6 +534,8 @@ _QV = "qv as (select i, case when i % 2 = 1 then 1.0 else -0.5 end as y from ran
 _LEVEL = "case grouping(kind) when 1 then 2 else 0 end + grouping(verdict)"
 
 _SQL = {
+    "io1": "select role as kind, conv_id, turn, sha256(text) as formula, case when length(text) % 2 = 0 then 'sat' else 'unsat' end as verdict, sha256(text) as note from conversations where turn % 5 <> 4",
+    "io2": "select role as type, conv_id, count(*) as events, sum(length(text))::bigint as chars, max(turn) as last_turn, count(*) as stamped from conversations group by role, conv_id",
     "io3": "select role, count(*) as events, sum(ceil(length(text) / 4))::bigint as tokens from conversations group by role",
     "io4": f"with {_ENT} select * from en",
     "io5": "with k as (select l_orderkey as k, l_linenumber::bigint - 1 as seq, row_number() over (partition by l_orderkey order by l_linenumber) - 1 as expected from lineitem) select * from k where seq <> expected",
