@@ -58,11 +58,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     id only where the group has no other. Of several rows of that id it is one with the least hash
     of the text, of equal rows any. Null and blank texts are one group."""
     small_batches(spark)
-    mine, id_, hash_ = fresh(docs, "text_hash", "stay_id", "stay_hash")
-    stay = simhash.representatives(docs.select("doc_id", "text")).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
-    found = docs.withColumn(mine, simhash.text_hash(F.col("text")))
-    found = found.join(stay, found["doc_id"].eqNullSafe(F.col(id_)) & (F.col(mine) == F.col(hash_)), "left_semi")
-    return found.dropDuplicates(["doc_id", mine]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, hash_ = fresh(docs, "stay_id", "stay_hash")
+    named = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    stay = simhash.representatives(docs.select("doc_id", "text")).select(named.alias(key), F.col("text_hash").alias(hash_))
+    # Both the join and the choice among equal rows go by these two columns: the texts are dealt once.
+    found = docs.withColumn(key, named).withColumn(hash_, simhash.text_hash(F.col("text")))
+    found = found.join(stay, [key, hash_], "left_semi").dropDuplicates([key, hash_])
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
