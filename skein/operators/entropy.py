@@ -48,11 +48,13 @@ def entropy_closed_form(edges: DataFrame) -> DataFrame:
 def lambda_max(edges: DataFrame, rounds: int = 1000, tolerance: float = 1e-4, every: int = 5) -> tuple[float, int, float]:
     """EN-4. (eigenvalue, rounds, residual) of the normalized Laplacian over n, by power iteration.
     The vector stays in Spark; one row of sums comes to the driver a round; the vector is written
-    out every few rounds: a lost executor costs no more than these."""
+    out every few rounds: a lost executor costs no more than these. Without edges all three are 0."""
     terms = written(edge_terms(edges).select("src", "dst", (F.col("weight") / F.sqrt(F.col("di") * F.col("dj"))).alias("weight")), "scaled")
     near = written(both_ways(terms), "near")
     x = near.select("node").distinct().withColumn("x", 1 + F.pmod(F.col("node") * 2654435761, F.lit(1000)) / 1000)
     n = x.count()
+    if not n:
+        return 0.0, 0, 0.0
     value, residual, kept = 0.0, math.inf, []
     for r in range(1, rounds + 1):
         dot = near.join(x.toDF("other", "xo"), "other").groupBy("node").agg(F.sum(F.col("weight") * F.col("xo")).alias("a"))
