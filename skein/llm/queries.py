@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, hamming, interleave, line_dedup, packing, quality, revisit, simhash, toxicity, wavelet
+from skein.llm import bpe, hamming, hyperminhash, importance, interleave, line_dedup, packing, quality, revisit, simhash, toxicity, wavelet, whitening
 from skein.llm.runtime import small_batches, written
 from skein.operators.storage import shared_path
 
@@ -109,9 +109,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_line_dedup, op2_warc_revisits, op3_byte_bpe, op4_best_fit_packing, op5_quality_rules, op5b_rule_ablation, op6_hamming_topk,
-        op7_wavelet_tokens, op8_simhash_near_dedup, op9_stratified_shards, op10_toxicity,
+        op7_wavelet_tokens, op8_simhash_near_dedup, op9_stratified_shards, op10_toxicity, op11_hyperminhash_near_dedup, op12_embedding_whitening,
+        op13_importance_resampling,
     ]
     return {f.__name__: f for f in named}

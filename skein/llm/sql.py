@@ -49,6 +49,46 @@ select query_id, (row_number() over (partition by query_id order by distance, ne
 from p qualify row_number() over (partition by query_id order by distance, neighbour_id) <= 10
 """
 
+#: CRC-32 of a blob's hex digits, byte by byte with a table of its own rule.
+_CRC = """list_reduce(list_prepend(4294967295, list_transform(range(1, length({0}) + 1, 2), lambda i: ('0x' || substr({0}, i, 2))::bigint)),
+        lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))"""
+RESAMPLE = f"""
+with recursive bits as (select i, i as v, 0 as step from range(256) t(i)
+    union all select i, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, step + 1 from bits where step < 8),
+crc_table as (select list(v order by i) as tab from bits where step = 8),
+texts as (select 'd' as part, doc_id, text from documents union all select 't', null, text from benchmark),
+ws as (select part, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') as words from texts),
+f as (select part, doc_id, unnest(words) as w from ws),
+h as (select w, hex(encode(w)) as x from (select distinct w from f)),
+b as (select w, xor({_CRC.format("x")}, 4294967295) % 10000 as bucket from h, crc_table),
+n as (select bucket, count(*) filter (where part = 'd') as s, count(*) filter (where part = 't') as t from f join b using (w) group by bucket),
+g as (select bucket, floor(1000 * ln((t + 1)::double * ((sum(s) over ()) + 10000)::double / ((s + 1)::double * ((sum(t) over ()) + 10000)::double)))::bigint as gain from n),
+weights as (select doc_id, sum(gain)::bigint as weight from f join b using (w) join g using (bucket) where part = 'd' group by doc_id),
+scored as (select doc_id, len(words) as n_features, coalesce(weight, 0) as weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score
+    from ws left join weights using (doc_id) where part = 'd'),
+drawn as (select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as total from scored where n_features >= 20)
+select doc_id, n_features::bigint as n_features, weight, score, case when place <= 10 * total // 100 then place end as rank
+from scored left join drawn using (doc_id)
+"""
+
+NEAR_SETS = """
+with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, list_sort(list_distinct(case when len(w) < 2 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end)) as shingles from t),
+v as (select min(doc_id) as v, shingles, len(shingles) as n from s where len(shingles) > 0 group by shingles),
+e as (select v, n, unnest(shingles) as shingle from v),
+ranked as (select v, n, shingle, row_number() over (partition by v order by f, shingle) as place from e join (select shingle, count(*) as f from e group by shingle) using (shingle)),
+prefix as (select v, n, shingle from ranked where place <= n - (80 * n + 99) // 100 + 1),
+pairs as (select distinct a.v as a, b.v as b from prefix a join prefix b on a.shingle = b.shingle and a.v < b.v and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+links as (select a, b from pairs join v x on x.v = a join v y on y.v = b
+    where 100 * len(list_intersect(x.shingles, y.shingles)) >= 80 * (x.n + y.n - len(list_intersect(x.shingles, y.shingles)))),
+sides as (select a, b from links union select b, a from links),
+reach as (select v as a, v as b from v union select reach.a, sides.b from reach join sides on reach.b = sides.a),
+least_ as (select a, min(b) as component_id from reach group by a)
+select s.doc_id, len(s.shingles) as n_shingles, coalesce(component_id, s.doc_id) as component_id, s.doc_id = coalesce(component_id, s.doc_id) as kept
+from s left join v on s.shingles = v.shingles left join least_ on v.v = least_.a
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP, "op2_warc_revisits": REVISITS, "op6_hamming_topk": TOP_K}
+    return {"op1_line_dedup": LINE_DEDUP, "op2_warc_revisits": REVISITS, "op6_hamming_topk": TOP_K, "op11_hyperminhash_near_dedup": NEAR_SETS, "op13_importance_resampling": RESAMPLE}
