@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from skein.llm.runtime import by_place, schema_of
 from skein.llm.units import Ids, UnitTable, binary, blocks, cut_words, one_word, pick, starts, sums
 
 
@@ -247,5 +248,4 @@ def decode_bpe(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame
             decoded = pc.if_else(ids.is_valid(), binary(raw, n), None)
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*names, "decoded"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{fields}, decoded binary")
+    return by_place(encoded).mapInArrow(run, schema_of(encoded.schema.fields, "decoded binary"))

@@ -29,7 +29,9 @@ VALUE = 64 - 7
 MISS = 1e-8
 #: Bits of the filter that keeps texts without candidates from being shuffled (2 MB).
 FILTER_BITS = 24
-#: A part of a large bucket has about so many sets, or hashes in its sets, at most.
+#: Buckets of more sets are put together where they share sets.
+LARGE = 16
+#: A part of a large group has about so many sets, or hashes in its sets, at most.
 PART_SETS, PART_HASHES = 1024, 1 << 20
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -197,34 +199,43 @@ def block_links(regs: np.ndarray, hashes: list[np.ndarray], component: np.ndarra
 
 
 def _compared(met: DataFrame, vertices: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(``a``, ``b``) linked sets of different components that meet in a bucket. A large bucket is
-    cut in parts and every two parts are a block of their own, so that no bucket is one task's and
-    no pairs are made but links."""
-    sized = met.join(vertices.select("v", "n", "regs"), "v")
-    parts = sized.groupBy("band", "key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / PART_SETS, F.sum("n") / PART_HASHES)).cast("int").alias("parts"))
-    dealt = sized.join(written(parts, "parts"), ["band", "key"]).join(sets, "v").withColumn("own", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
+    """(``a``, ``b``) linked sets of different components that meet in a bucket.
+
+    Large buckets that share sets, as the bands of one group of near copies do, are one group, so
+    that each of its sets travels once and not once a band; a small bucket is a group by itself. A
+    large group is cut in parts and every two parts are a block of their own, so that no group is
+    one task's and no pairs are made but links."""
+    size = met.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("head"))
+    sized = written(met.join(written(size, "sizes"), ["band", "key"]), "sized")
+    large = F.col("n") > LARGE
+    group = connected_components(sized.where(large).select(F.col("head").alias("src"), F.col("v").alias("dst")))
+    alone = sized.where(~large).select(F.concat("key", F.encode(F.col("band").cast("string"), "UTF-8")).alias("group"), "v", "component")
+    joined = sized.where(large).select("v", "component").distinct().join(group.toDF("v", "group"), "v").select("group", "v", "component")
+    grouped = written(alone.unionByName(joined).join(vertices.select("v", "n", "regs"), "v"), "grouped")
+    parts = grouped.groupBy("group").agg(F.ceil(F.greatest(F.count(F.lit(1)) / PART_SETS, F.sum("n") / PART_HASHES)).cast("int").alias("parts"))
+    dealt = grouped.join(written(parts, "parts"), "group").join(sets, "v").withColumn("own", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "component", "regs", "hashes")
-    blocks = dealt.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+    dealt = dealt.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "component", "regs", "hashes")
+    blocks = dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
 
     def run(batches):
         def links(rows: pa.Table) -> pa.RecordBatch:
-            i, j = rows.column(2)[0].as_py(), rows.column(3)[0].as_py()
-            names, components = rows.column(5).to_pylist(), rows.column(6).to_pylist()
+            i, j = rows.column(1)[0].as_py(), rows.column(2)[0].as_py()
+            names, components = rows.column(4).to_pylist(), rows.column(5).to_pylist()
             number = {c: k for k, c in enumerate(set(components))}
-            regs = np.frombuffer(b"".join(rows.column(7).to_pylist()), "<u2").reshape(-1, REGISTERS)
-            lists = rows.column(8).combine_chunks()
+            regs = np.frombuffer(b"".join(rows.column(6).to_pylist()), "<u2").reshape(-1, REGISTERS)
+            lists = rows.column(7).combine_chunks()
             flat, ends = lists.flatten().to_numpy(), np.cumsum(np.diff(lists.offsets.to_numpy()))
-            side = None if i == j else rows.column(4).to_numpy() == i
+            side = None if i == j else rows.column(3).to_numpy() == i
             one, two = block_links(regs, np.split(flat, ends[:-1]), np.array([number[c] for c in components]), side, percent)
             return pa.RecordBatch.from_pydict({"a": pa.array([names[k] for k in one], pa.binary()), "b": pa.array([names[k] for k in two], pa.binary())})
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
             cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1])]
             for start, end in zip(cuts, [*cuts[1:], len(keys)]):
-                if held and tuple(held[0].column(k)[0].as_py() for k in range(4)) != keys[start]:
+                if held and tuple(held[0].column(k)[0].as_py() for k in range(3)) != keys[start]:
                     yield links(pa.Table.from_batches(held))
                     held = []
                 held.append(batch.slice(start, end - start))

@@ -52,7 +52,7 @@ def dedup_lines(
         .groupBy("_id", "_text")
         .agg(F.sort_array(F.collect_set("_pos")).alias("_drop"))
     )
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_rid"), F.xxhash64(text).alias("_rtext"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_rid"), F.xxhash64(text).alias("_rtext"))
     joined = rows.join(drops, (F.col("_rtext") == F.col("_text")) & F.col("_rid").eqNullSafe(F.col("_id")), "left")
     whole = F.coalesce(F.col(f"_row.`{text_col}`"), F.lit(""))
     cut = joined.select("_row", whole.alias("_whole"), F.split(whole, "\n", -1).alias("_lines"), F.coalesce("_drop", F.array().cast("array<int>")).alias("_drop"))

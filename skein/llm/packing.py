@@ -8,6 +8,7 @@ of lengths, is joined back to the pieces by their rank among those of their leng
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.runtime import written
+from skein.llm.runtime import schema_of, written
 from skein.llm.units import Ids, UnitTable, binary, blocks, cut_words, one_word, starts
 from skein.operators.ranking import bucketed_row_number, fresh
 
@@ -84,8 +85,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
                     names=[id_col, "piece", "start", "length", "ids"],
                 )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(run, schema_of([docs.schema[id_col]], "piece int, start long, length long, ids binary"))
 
 
 #: A filling: ((length, how many), ...) in descending order of length.
@@ -223,21 +223,72 @@ def times_of(filling: Filling, left: dict[int, int], allowed: int, capacity: int
 
 #: Nodes on the path that keep the state of their enumeration; others take it up again by count.
 OPEN = 32
+#: Branches that the searches of one packing look at, some seconds in the driver.
+NODES = 10_000
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000) -> list[tuple[Filling, int]]:
+def least_sequences(counts: dict[int, int], capacity: int) -> int:
+    """A proved lower bound. Pieces longer than half a sequence lie apart, and in what they leave
+    free only pieces no longer than that fit: for every length r, the free room of up to r beyond
+    all pieces of up to r stays unused. The volume and that waste have to fit."""
+    volume = sum(s * n for s, n in counts.items())
+    free = forced = 0
+    for r in range(capacity // 2):
+        free += r * (counts.get(capacity - r, 0) - counts.get(r, 0))
+        forced = max(forced, free)
+    return -(-(volume + forced) // capacity)
+
+
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int | None = NODES) -> list[tuple[Filling, int]]:
     """[(filling, number of sequences)] that hold all pieces; as few sequences as were found.
 
+    Best-fit decreasing is the first incumbent. As long as it has more sequences than the proved
+    bound, its emptiest sequences are opened and their pieces packed anew by ``complete`` into one
+    sequence less, at first as few of them as have a sequence's room unused together, then twice
+    as many, and so on to all: few pieces have few fillings, and a gain there is a gain of the
+    whole. The last search is that over all pieces, which proves that there is no better packing
+    if it ends by itself. ``nodes`` bounds the branches of all searches together; None does not.
+    """
+    best = best_fit(counts, capacity)
+    bound, left = least_sequences(counts, capacity), [nodes]
+    size = 0
+    while (fewest := sum(n for _, n in best)) > bound and left[0] != 0:
+        opened, rest, spare = [], [], 0
+        for filling, n in sorted(best, key=lambda g: sum(s * k for s, k in g[0])):
+            unused = capacity - sum(s * k for s, k in filling)
+            take = min(n, max(size - sum(m for _, m in opened), -(-(capacity - spare) // max(1, unused)) if spare < capacity else 0))
+            if take > 0:
+                opened.append((filling, take))
+                spare += take * unused
+            if take < n:
+                rest.append((filling, n - max(take, 0)))
+        some: dict[int, int] = {}
+        for filling, n in opened:
+            for s, k in filling:
+                some[s] = some.get(s, 0) + n * k
+        before = sum(n for _, n in opened)
+        found = complete(some, capacity, opened, max(least_sequences(some, capacity), before - (fewest - bound)), left)
+        if sum(n for _, n in found) < before:
+            best, size = rest + found, 0
+        elif before == fewest:
+            break
+        else:
+            size = 2 * before
+    return best
+
+
+def complete(counts: dict[int, int], capacity: int, best: list[tuple[Filling, int]], bound: int, nodes: list[int | None]) -> list[tuple[Filling, int]]:
+    """A packing of these pieces with fewer sequences than ``best``, or ``best``.
+
     Depth-first branch and bound around the largest remaining length: each branch is an
     undominated filling, applied as often as the counts allow, half as often, and so on to once.
     The best-fit packing of what remains is an incumbent at every node; a branch whose waste so
-    far leaves no way to fewer sequences than the incumbent is pruned. Ends when the bound by
-    volume is met, when all branches are done, or after ``nodes`` nodes with the best packing found.
+    far leaves no way to fewer sequences than the incumbent is pruned. Ends at ``bound``, when all
+    branches are done, or when as many as ``nodes[0]`` have been looked at, which is counted down.
     """
     total = sum(s * n for s, n in counts.items())
-    bound = -(-total // capacity)
     left = dict(counts)
-    best, plan = best_fit(left, capacity), []
+    plan: list[tuple[Filling, int]] = []
     fewest = sum(n for _, n in best)
     used = wasted = 0
 
@@ -270,11 +321,12 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000) -
             continue
         frame[1] += 1
         filling, n = step
+        if nodes[0] is not None:
+            if not nodes[0]:
+                break
+            nodes[0] -= 1
         if n * unused(filling) > spared():
             continue
-        if not nodes:
-            break
-        nodes -= 1
         for s, k in filling:
             left[s] -= n * k
             if not left[s]:
@@ -290,13 +342,17 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000) -
     return best
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, length_col: str = "length", order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, length_col: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), nodes: int | None = NODES) -> DataFrame:
     """``pieces`` with ``sequence_id`` long and ``offset`` long: where each piece lies, gapless
     from 0 in each sequence. Columns of these names are replaced.
 
     Lengths must be 1 to ``capacity``; another or a null length is an error. Rows that are equal
     in ``order`` are packed each by itself. Other columns may have any names. An empty table gives an empty table.
 
+    As few sequences as ``bin_completion`` finds within ``nodes`` branches; None searches until it
+    is proved that there are no fewer, which may take any time. What is not proved is logged as
+    the gap between the sequences and the lower bound.
+
     ``pieces`` are written out once, counted by length, and ranked within their length in
     buckets by a hash, so that a length which many pieces share is dealt out over many tasks.
     """
@@ -306,7 +362,11 @@ def pack(pieces: DataFrame, capacity: int = 2048, length_col: str = "length", or
         raise ValueError(f"lengths outside 1..{capacity}: {sorted(map(str, bad))[:5]}")
     rows, base = [], 0
     ranked = dict.fromkeys(counts, 0)
-    for filling, n in bin_completion(counts, capacity):
+    plan_ = bin_completion(counts, capacity, nodes)
+    used, bound = sum(n for _, n in plan_), least_sequences(counts, capacity)
+    if used > bound:
+        logging.getLogger(__name__).warning("%d sequences, proved to need %d at least", used, bound)
+    for filling, n in plan_:
         at = 0
         for s, k in filling:
             rows.append((s, ranked[s], ranked[s] + n * k, k, base, at))

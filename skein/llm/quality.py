@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.runtime import schema_of
+
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
 #: ASCII white space, which parts words.
@@ -116,9 +118,8 @@ def _measured(docs: DataFrame, text_col: str, drop_text: bool = False) -> DataFr
                 [*(batch.column(i) for i in held), *(pa.array(r, pa.int64()) for r in rows)], names=[*(batch.schema.names[i] for i in held), *names]
             )
 
-    fields = "".join(f"`{docs.schema[i].name}` {docs.schema[i].dataType.simpleString()}, " for i in held)
     bits = sum((F.when(F.expr(rule), F.lit(BIT[name])).otherwise(0) for name, rule in RULES.items()), F.lit(0))
-    return docs.mapInArrow(run, f"{fields}{MEASURES}").withColumn("failed", bits.cast("long"))
+    return docs.mapInArrow(run, schema_of([docs.schema[i] for i in held], MEASURES)).withColumn("failed", bits.cast("long"))
 
 
 def apply_policy(ledger_rows: DataFrame, policy: Policy, name: str = "kept") -> DataFrame:

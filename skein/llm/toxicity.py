@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.runtime import written
+from skein.llm.runtime import by_place, schema_of, written
 
 #: n-gram lengths in characters, and hash buckets (2 to the power).
 SIZES = (3, 4, 5)
@@ -209,5 +209,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             scores = [held.value.score(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*names, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return by_place(docs).mapInArrow(run, schema_of(docs.schema.fields, "score double")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

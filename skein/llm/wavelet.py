@@ -12,7 +12,9 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from skein.llm.runtime import schema_of
 from skein.llm.units import Ids, UnitTable, binary, blocks, cut_at_white, gather, starts
 
 #: Tokens after which a shard is closed; a document is never split. A shard is a file: take more of
@@ -223,22 +225,21 @@ def write_tokens(
     bits, kind = max(1, (vocabulary - 1).bit_length()), docs.schema[id_col].dataType.simpleString()
     wide = bits > 16
     ordered = docs.select(id_col, text_col).repartitionByRange(id_col).sortWithinPartitions(id_col, text_col)
-    id_type = pa.int64() if kind == "bigint" else None
 
     def run(batches):
         table, part = _worker(path, wide), TaskContext.get().partitionId()
         width = np.uint32 if wide else np.uint16
-        end, shard, before, size, names, lengths, held = np.array([end_id], width), 0, 0, 0, [], [], []
+        end, shard, before, size, names, lengths, held, id_type = np.array([end_id], width), 0, 0, 0, [], [], [], None
 
         def close():
             m = WaveletMatrix.build(np.concatenate(held), bits)
             row = [part, shard, before, names, lengths, m.n, m.zeros, [p.tobytes() for p in m.planes], [r.tobytes() for r in m.ranks]]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(id_type) if id_type else None, pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary())]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=["part", "shard", "before", "ids", "lengths", "n_tokens", "zeros", "planes", "ranks"])
 
         for block, texts in blocks(batches):
             flat, count = table.texts(texts)
-            at = 0
+            at, id_type = 0, block[0].column(0).type
             for name, n in zip((x for b in block for x in b.column(0).to_pylist()), count.tolist()):
                 held += [flat[at : at + n], end]
                 at += n
@@ -277,7 +278,7 @@ def read_tokens(spark: SparkSession, out: str, id_col: str = "doc_id") -> DataFr
     """(id, ``start`` long, ``n_tokens`` long, ``ids`` binary as little-endian u32), read back from
     the files alone: ``start`` counts the ids of all documents before this one."""
     files = _shards(spark, out)
-    kind = files.schema["ids"].dataType.elementType.simpleString()
+    kind = files.schema["ids"].dataType.elementType
 
     def run(batches):
         for batch in batches:
@@ -288,7 +289,7 @@ def read_tokens(spark: SparkSession, out: str, id_col: str = "doc_id") -> DataFr
                     [names[k].values, pa.array(starts(n) + before + base), pa.array(n), binary(m.read().astype("<u4"), n)], names=[id_col, "start", "n_tokens", "ids"]
                 )
 
-    return files.select("before", "base", "ids", "lengths", *_MATRIX).mapInArrow(run, f"`{id_col}` {kind}, start long, n_tokens long, ids binary")
+    return files.select("before", "base", "ids", "lengths", *_MATRIX).mapInArrow(run, schema_of([T.StructField(id_col, kind)], "start long, n_tokens long, ids binary"))
 
 
 def token_counts(spark: SparkSession, out: str, tokens: list[int]) -> DataFrame:

@@ -72,3 +72,30 @@ def test_best_fit_size_is_that_of_its_plan():
         capacity = r.choice([10, 60, 2048])
         counts = {s: r.randint(1, 20) for s in r.sample(range(1, capacity + 1), r.randint(1, 10))}
         assert packing.best_fit_size(counts, capacity) == sum(n for _, n in packing.best_fit(counts, capacity))
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_the_lower_bound_is_one(seed):
+    """Never above the fewest, and above the volume where long pieces leave room that nothing fits."""
+    r = random.Random(seed)
+    capacity = 20
+    counts = {s: r.randint(1, 2) for s in r.sample(range(3, 20), 5)}
+    found = sum(n for _, n in packing.bin_completion(counts, capacity, None))
+    assert -(-sum(s * n for s, n in counts.items()) // capacity) <= packing.least_sequences(counts, capacity) <= found
+    assert packing.least_sequences({19: 40, 5: 4}, capacity) == 41
+
+
+def test_few_branches_end_the_search():
+    """Many pieces, so that there is no end by itself: what is found holds all and is no worse."""
+    r = random.Random(4)
+    counts = {}
+    for _ in range(3000):
+        s = min(2048, int(r.lognormvariate(6.3, 0.9)) + 1)
+        counts[s] = counts.get(s, 0) + 1
+    plan = packing.bin_completion(counts, 2048, 500)
+    used = {}
+    for filling, n in plan:
+        assert sum(s * k for s, k in filling) <= 2048
+        for s, k in filling:
+            used[s] = used.get(s, 0) + n * k
+    assert used == counts and packing.least_sequences(counts, 2048) <= sum(n for _, n in plan) <= sum(n for _, n in packing.best_fit(counts, 2048))
