@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.stem import morphology_sql, symbol_sql
 from skein.operators.components import connected_components
 from skein.operators.storage import written
 
@@ -99,11 +100,6 @@ def clique_projection(incidence: DataFrame) -> DataFrame:
     return labels.select(F.explode(pairs).alias("p")).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def stem(label: Column) -> Column:
-    """The label without common endings, for grouping forms of a word."""
-    return F.regexp_replace(F.lower(label), "(ations?|ings?|ed|es|s|ly)$", "")
-
-
 def clause_noun(label: Column) -> Column:
     """What stands after a verb of making or meaning and an article, as a symbol; else null."""
     rest = F.regexp_extract(F.regexp_replace(F.lower(F.btrim(label)), r"[_\s]+", "-"), "^(?:makes?|causes?|implies|means)-(?:the|a|an)-(.+)$", 1)
@@ -112,17 +108,28 @@ def clause_noun(label: Column) -> Column:
 
 
 def canonical_predicates(labels: DataFrame, ontology: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """CL-6. (label, canonical, method): by the ontology (label, canonical), else the closed
-    vocabulary (word), else what a clause such as "makes the ..." speaks of, else the only word of
-    the vocabulary with the same stem, else the shortest label with the same stem."""
-    words = vocabulary.select(F.col("word").alias("label"), F.col("word").alias("v"))
-    by_stem = vocabulary.groupBy(stem(F.col("word")).alias("stem")).agg(F.min("word").alias("m"), F.count(F.lit(1)).alias("k")).where("k = 1").select("stem", "m")
-    mine = labels.select("label").distinct().withColumn("stem", stem(F.col("label")))
-    short = mine.groupBy("stem").agg(F.min(F.struct(F.char_length("label").alias("n"), "label")).alias("s")).select("stem", F.col("s.label").alias("s"))
-    both = mine.join(ontology.select("label", F.col("canonical").alias("o")), "label", "left").join(words, "label", "left").join(by_stem, "stem", "left").join(short, "stem")
-    both = both.withColumn("r", clause_noun(F.col("label")))
-    method = F.when(F.col("o").isNotNull(), "ontology").when(F.col("v").isNotNull(), "vocabulary").when(F.col("r").isNotNull(), "repair").when(F.col("m").isNotNull(), "morphology").otherwise("shortest")
-    return both.select("label", F.coalesce("o", "v", "r", "m", "s").alias("canonical"), method.alias("method"))
+    """CL-6. (label, canonical, method) of each label: the canonical symbol of the ontology (label,
+    canonical); else its own symbol if the closed vocabulary (word) has it; else what a clause such
+    as "makes the ..." speaks of; else the only canonical symbol of the ontology with the same
+    stems, word by word; else the shortest label of those left with the same stems, of equals the
+    first. The last two are ``morphology`` where they change the symbol, ``unchanged`` where not.
+
+    Labels are compared as symbols and stemmed once each; a null label is left out. Groups of one
+    stem are minima, not lists."""
+    own, stems = F.expr(symbol_sql("label")).alias("symbol"), F.expr(morphology_sql("label")).alias("stems")
+    mine = labels.where("label is not null").select("label").distinct().select("label", own, stems)
+    known = ontology.select(F.expr(symbol_sql("label")).alias("symbol"), F.expr(symbol_sql("canonical")).alias("o"), F.expr(morphology_sql("canonical")).alias("stems"))
+    exact = known.groupBy("symbol").agg(F.min("o").alias("o"))
+    by_stems = known.groupBy("stems").agg(F.min("o").alias("m"), F.count_distinct("o").alias("k")).where("k = 1").select("stems", "m")
+    words = vocabulary.select(F.expr(symbol_sql("word")).alias("symbol"), F.lit(True).alias("v")).distinct()
+    told = mine.join(exact, "symbol", "left").join(words, "symbol", "left").join(by_stems, "stems", "left").withColumn("r", clause_noun(F.col("label")))
+    told = written(told, "predicates")
+    left = told.where("o is null and v is null and r is null and m is null")
+    short = left.groupBy("stems").agg(F.min(F.struct(F.char_length("symbol").alias("n"), "label", "symbol")).alias("s")).select("stems", F.col("s.symbol").alias("s"))
+    found = told.join(short, "stems", "left").withColumn("canonical", F.when(F.col("o").isNotNull(), F.col("o")).when(F.col("v"), F.col("symbol")).otherwise(F.coalesce("r", "m", "s")))
+    changed = F.when(F.col("canonical") == F.col("symbol"), "unchanged").otherwise("morphology")
+    method = F.when(F.col("o").isNotNull(), "ontology").when(F.col("v"), "unchanged").when(F.col("r").isNotNull(), "repair").otherwise(changed)
+    return found.select("label", "canonical", method.alias("method"))
 
 
 def alias_suggestions(similar: DataFrame, blocks: DataFrame, least: float = 0.86) -> DataFrame:

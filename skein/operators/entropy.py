@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.graph import both_ways
+from skein.operators.spectral import entries, largest_eigenvalue
 from skein.operators.storage import written
 
 
@@ -45,43 +46,58 @@ def entropy_closed_form(edges: DataFrame) -> DataFrame:
     return quadratic_entropy(edges).select("n", "q", h.alias("entropy"))
 
 
-def lambda_max(edges: DataFrame, rounds: int = 1000, tolerance: float = 1e-4, every: int = 5) -> tuple[float, int, float]:
-    """EN-4. (eigenvalue, rounds, residual) of the normalized Laplacian over n, by power iteration.
-    The vector stays in Spark; one row of sums comes to the driver a round; the vector is written
-    out every few rounds: a lost executor costs no more than these. Without edges all three are 0."""
-    terms = written(edge_terms(edges).select("src", "dst", (F.col("weight") / F.sqrt(F.col("di") * F.col("dj"))).alias("weight")), "scaled")
-    near = written(both_ways(terms), "near")
-    x = near.select("node").distinct().withColumn("x", 1 + F.pmod(F.col("node") * 2654435761, F.lit(1000)) / 1000)
+def _scaled(edges: DataFrame) -> DataFrame:
+    """(node, other, weight) both ways: w / sqrt(di dj) of each edge."""
+    terms = edge_terms(edges).select("src", "dst", (F.col("weight") / F.sqrt(F.col("di") * F.col("dj"))).alias("weight"))
+    return written(both_ways(written(terms, "scaled")), "near")
+
+
+def _start(near: DataFrame) -> DataFrame:
+    """A fixed vector that is not uniform."""
+    return written(near.select("node").distinct().withColumn("x", 1 + F.pmod(F.col("node") * 2654435761, F.lit(1000)) / 1000), "start")
+
+
+def lambda_max(edges: DataFrame, tolerance: float = 1e-4) -> tuple[float, int, float]:
+    """EN-4. (eigenvalue, steps, residual) of the normalized Laplacian over n, by Lanczos until the
+    residual is below ``tolerance`` times the eigenvalue. Without edges all three are 0."""
+    near = _scaled(edges)
+    x = _start(near)
     n = x.count()
     if not n:
         return 0.0, 0, 0.0
-    value, residual, kept = 0.0, math.inf, []
-    for r in range(1, rounds + 1):
-        dot = near.join(x.toDF("other", "xo"), "other").groupBy("node").agg(F.sum(F.col("weight") * F.col("xo")).alias("a"))
-        both = x.join(dot, "node").select("node", "x", ((F.col("x") - F.col("a")) / n).alias("y"))
-        if r % every == 0:
-            both = written(both, "vector")
-            while kept:
-                kept.pop().unpersist()
-        else:
-            kept.append(both := both.persist())
+    times = entries(near, "node", "other", "weight", "node")
+    less = lambda v: v.join(times(v), "node").select("node", (F.col("x") - F.col("y")).alias("y"))
+    try:
+        value, steps, residual = largest_eigenvalue(less, x, "node", tolerance)
+    finally:
+        times.entries.unpersist()
+    return value / n, steps, residual
+
+
+def power_steps(edges: DataFrame, steps: int) -> float:
+    """The Rayleigh quotient of the normalized Laplacian over n after so many steps of power
+    iteration from a fixed start; 0 without edges."""
+    near, value = _scaled(edges), 0.0
+    x = _start(near)
+    n = x.count()
+    for _ in range(steps if n else 0):
+        dot = near.join(x.select(F.col("node").alias("other"), F.col("x").alias("xo")), "other").groupBy("node").agg(F.sum(F.col("weight") * F.col("xo")).alias("a"))
+        both = written(x.join(dot, "node").select("node", "x", ((F.col("x") - F.col("a")) / n).alias("y")), "vector")
         xx, xy, yy = both.agg(F.sum(F.col("x") * F.col("x")), F.sum(F.col("x") * F.col("y")), F.sum(F.col("y") * F.col("y"))).first()
         value = xy / xx
-        residual = math.sqrt(max(0.0, yy / xx - value * value)) / max(value, 1e-300)
-        if residual < tolerance or not yy:
+        if not yy:
             break
         x = both.select("node", (F.col("y") / math.sqrt(yy)).alias("x"))
-    for df in kept:
-        df.unpersist()
-    return value, r, residual
+    return value
 
 
-def graph_entropy(edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """EN-5. -Q ln(lambda), 0 unless 0 < lambda < 1 and Q > 0; with rounds, residual, converged."""
-    value, r, residual = lambda_max(edges, rounds)
+def graph_entropy(edges: DataFrame, tolerance: float = 1e-4) -> DataFrame:
+    """EN-5. -Q ln(lambda), 0 unless 0 < lambda < 1 and Q > 0; with the steps and the residual
+    that ended the search for lambda."""
+    value, steps, residual = lambda_max(edges, tolerance)
     q = quadratic_entropy(edges)
     h = F.when((F.col("q") > 0) & F.lit(0 < value < 1), -F.col("q") * F.lit(math.log(value) if value > 0 else 0.0)).otherwise(0.0)
-    return q.select("n", "q", F.lit(value).alias("lambda"), h.alias("entropy"), F.lit(r).alias("rounds"), F.lit(residual).alias("residual"), F.lit(residual < 1e-4).alias("converged"))
+    return q.select("n", "q", F.lit(value).alias("lambda"), h.alias("entropy"), F.lit(steps).alias("rounds"), F.lit(residual).alias("residual"), F.lit(residual < tolerance).alias("converged"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:

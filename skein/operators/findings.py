@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import PREFERENCE
+from skein.operators.ranking import range_row_number
 from skein.operators.storage import written
 from skein.operators.vectors import cosine
 
@@ -78,19 +79,20 @@ def retire_findings(rows: DataFrame, protected: DataFrame, now: Column, days: in
     """FI-6. (id, fate): archived if unused past retention; over ``most`` those of the least use, the
     oldest first, are archived, or held where a conflict protects them; else hot.
 
-    The cut is by value: use and age of the last one to stay come from an ordered limit, so that
-    no window over all findings is needed.
+    Findings are ranked within ranges of their use and age, so that no task sees them all and none
+    reach the driver; ids are taken to be unique.
     """
     guarded = rows.join(protected.select("id", F.lit(True).alias("guard")), "id", "left").withColumn("use", F.col("recalls") + 4 * F.col("cites"))
     expired = (F.col("use") == 0) & (F.date_diff(now, "at") > days) & F.col("guard").isNull()
-    left = guarded.where(~expired)
+    marked = written(guarded.select("id", "use", "at", "guard", F.coalesce(expired, F.lit(False)).alias("expired")), "guarded")
+    gone = marked.where("expired").select("id", F.lit("archived").alias("fate"))
+    left = marked.where("not expired")
     over = max(0, left.count() - most)
     if not over:
-        return guarded.select("id", F.when(expired, "archived").otherwise("hot").alias("fate"))
-    last = left.orderBy("use", "at", "id").select("use", "at", "id").offset(over - 1).limit(1).first()
-    low = F.struct("use", "at", "id") <= F.struct(F.lit(last["use"]).cast("long").alias("use"), F.lit(last["at"]).alias("at"), F.lit(last["id"]).alias("id"))
-    fate = F.when(expired, "archived").when(low & F.col("guard").isNull(), "archived").when(low, "conflict-held").otherwise("hot")
-    return guarded.select("id", fate.alias("fate"))
+        return gone.unionByName(left.select("id", F.lit("hot").alias("fate")))
+    low = F.col("rank") < over
+    fate = F.when(low & F.col("guard").isNull(), "archived").when(low, "conflict-held").otherwise("hot")
+    return gone.unionByName(range_row_number(left, [F.col("use"), F.col("at"), F.col("id")], "rank").select("id", fate.alias("fate")))
 
 
 def dependency_audit(stored: DataFrame, current: DataFrame) -> DataFrame:

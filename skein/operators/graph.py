@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.components import connected_components
+from skein.operators.ranking import bucketed_row_number
 from skein.operators.storage import written
 
 
@@ -57,7 +58,7 @@ def promoted_phrases(tokens: DataFrame, keys: list[str]) -> DataFrame:
     That is every occurrence but a single one in the first segment of its bigram, so that sums by
     bigram do for a running count and a common bigram needs no window of its own.
     """
-    found = bigrams(tokens, keys)
+    found = written(bigrams(tokens, keys), "bigrams")
     per = found.groupBy("a", "b", *keys).agg(F.count(F.lit(1)).alias("n"))
     first = per.groupBy("a", "b").agg(F.min(F.struct(*keys, "n")).alias("first"))
     alone = first.where("first.n = 1").select("a", "b", *[F.col(f"first.{k}").alias(k) for k in keys])
@@ -142,63 +143,6 @@ def label_propagation(edges: DataFrame, rounds: int) -> DataFrame:
     return labels
 
 
-def communities(edges: DataFrame, rounds: int = 12, levels: int = 3) -> DataFrame:
-    """GA-1. (node, community) by greedy modularity gain, as a distributed Louvain.
-
-    In each round nodes of one parity of a hash may move, to the neighbouring community with the
-    largest gain in modularity, of those the smallest, if it gains over staying; a round that
-    lowers modularity is not taken. When a level settles, communities become nodes and the edges
-    between them are summed. Labels are the smallest member node.
-    """
-    edges = written(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")), "edges")
-    member = both_ways(edges).select("node").distinct().withColumn("community", F.col("node"))
-    graph = edges
-    for _ in range(levels):
-        near = written(both_ways(graph.where("src <> dst")), "near")
-        loops = graph.where("src = dst").select(F.col("src").alias("node"), (2 * F.col("weight")).alias("loop"))
-        k = near.groupBy("node").agg(F.sum("weight").alias("k")).join(loops, "node", "full").select("node", (F.coalesce("k", F.lit(0.0)) + F.coalesce("loop", F.lit(0.0))).alias("k"))
-        k = written(k, "strength")
-        m2 = k.agg(F.sum("k")).first()[0]
-        if not m2:
-            break
-        labels = written(k.select("node", F.col("node").alias("community")), "labels")
-        q = _q(graph, labels, k, m2)
-        still = 0
-        for r in range(rounds):
-            moved = written(_moves(near, labels, k, m2, r % 2), "labels")
-            now = _q(graph, moved, k, m2)
-            if now > q + 1e-12:
-                labels, q, still = moved, now, 0
-            elif (still := still + 1) == 2:
-                break
-        names = labels.groupBy("community").agg(F.min("node").alias("name"))
-        labels = written(labels.join(names, "community").select("node", F.col("name").alias("community")), "named")
-        up = labels.select(F.col("node").alias("community"), F.col("community").alias("next"))
-        member = written(member.join(up, "community").select("node", F.col("next").alias("community")), "member")
-        inside = _inside(graph, labels).groupBy(F.least("ca", "cb").alias("src"), F.greatest("ca", "cb").alias("dst")).agg(F.sum("weight").alias("weight"))
-        graph = written(inside, "contracted")
-    return member
-
-
-def _q(graph: DataFrame, labels: DataFrame, k: DataFrame, m2: float) -> float:
-    inside = _inside(graph, labels).agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")))).first()[0] or 0.0
-    squares = k.join(labels, "node").groupBy("community").agg(F.sum("k").alias("d")).agg(F.sum(F.col("d") * F.col("d"))).first()[0]
-    return 2 * inside / m2 - squares / (m2 * m2)
-
-
-def _moves(near: DataFrame, labels: DataFrame, k: DataFrame, m2: float, parity: int) -> DataFrame:
-    mine = labels.join(k, "node")
-    total = mine.groupBy("community").agg(F.sum("k").alias("total"))
-    around = near.join(labels.select(F.col("node").alias("other"), F.col("community").alias("to")), "other").groupBy("node", "to").agg(F.sum("weight").alias("w"))
-    offers = around.join(mine, "node").join(total.withColumnRenamed("community", "to"), "to")
-    # The node's own strength does not count where it stands now.
-    gain = F.col("w") - F.col("k") * (F.col("total") - F.when(F.col("to") == F.col("community"), F.col("k")).otherwise(0)) / F.lit(m2)
-    best = offers.groupBy("node").agg(F.min(F.struct((-gain).alias("g"), "to")).alias("x"), F.max(F.when(F.col("to") == F.col("community"), gain)).alias("stay"))
-    may = F.pmod(F.xxhash64("node"), F.lit(2)) == parity
-    go = may & (-F.col("x.g") > F.coalesce("stay", F.lit(0.0)) + 1e-12)
-    return labels.join(best, "node", "left").select("node", F.when(go, F.col("x.to")).otherwise(F.col("community")).alias("community"))
-
-
 #: Levels after which what was found is written as one table, so that plans stay short on long chains.
 LEVELS = 16
 
@@ -221,28 +165,70 @@ def breadth_first(edges: DataFrame, sources: DataFrame) -> DataFrame:
             seen = written(seen, "seen")
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, n_nodes: int) -> DataFrame:
-    """GA-4. (node, betweenness) by unweighted hops over (n - 1)(n - 2) / 2. Exact if ``sources``
-    holds all nodes; with fewer pivots the sum is scaled up by n over their number."""
+def _dependencies(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(``source``, ``node``, ``delta``): what share of the shortest paths from the source to all
+    other nodes runs through the node; only nodes with some."""
     near = written(both_ways(edges).select("node", "other").distinct(), "near")
     reached = written(breadth_first(edges, sources), "reached")
-    pivots = sources.count()
     depth = reached.agg(F.max("hops")).first()[0] or 0
-    gathered = reached.where(F.col("hops") == depth).select("source", "node", "hops", "paths", F.lit(0.0).alias("delta"))
-    level = gathered
-    for hop in range(depth - 1, -1, -1):
+    level = reached.where(F.col("hops") == depth).select("source", "node", "hops", "paths", F.lit(0.0).alias("delta"))
+    gathered = level.where("false")
+    for hop in range(depth - 1, 0, -1):
         share = level.join(near, "node").select("source", F.col("other").alias("node"), ((1 + F.col("delta")) / F.col("paths")).alias("part"))
         here = reached.where(F.col("hops") == hop).join(share.groupBy("source", "node").agg(F.sum("part").alias("part")), ["source", "node"], "left")
         level = written(here.select("source", "node", "hops", "paths", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("delta")), "delta")
-        gathered = gathered.unionByName(level)
-        if hop % LEVELS == 0 and hop:
+        gathered = gathered.unionByName(level.where("delta > 0"))
+        if hop % LEVELS == 0:
             gathered = written(gathered, "gathered")
-    total = gathered.where("source <> node").groupBy("node").agg(F.sum("delta").alias("delta"))
-    scale = n_nodes / max(1, pivots) / max(1.0, (n_nodes - 1) * (n_nodes - 2))
+    return gathered.select("source", "node", "delta")
+
+
+def betweenness(edges: DataFrame, sources: DataFrame, n_nodes: int) -> DataFrame:
+    """GA-4. (node, betweenness) by unweighted hops over (n - 1)(n - 2) / 2. Exact if ``sources``
+    holds all nodes; with fewer pivots the sum is scaled up by n over their number."""
+    total = _dependencies(edges, sources).groupBy("node").agg(F.sum("delta").alias("delta"))
+    scale = n_nodes / max(1, sources.count()) / max(1.0, (n_nodes - 1) * (n_nodes - 2))
     nodes = both_ways(edges).select("node").distinct()
     return nodes.join(total, "node", "left").select("node", (F.coalesce("delta", F.lit(0.0)) * scale).alias("betweenness"))
 
 
+def sampled_betweenness(edges: DataFrame, n_nodes: int, error: float = 0.25, top: int = 100, first: int = 32, z: float = 1.96, seed: int = 7) -> tuple[DataFrame, int]:
+    """GA-4. ((node, betweenness, error), sources asked): betweenness to a relative error.
+
+    Sources are taken in the order of a seeded hash, ``first`` of them and then each time as many
+    again. After each block every node has the mean of its share of shortest paths over the
+    sources so far, and the half-width of its interval: ``z`` standard errors, less by the share of
+    sources already asked. The search ends when the half-widths of the ``top`` nodes of the
+    largest means are all within ``error`` of these, or when all nodes have been sources and the
+    figures are exact. ``error`` of the result is that half-width (1.96: at 95 %, for the means of
+    many sources). Nodes on no shortest path from a source have 0 and no known error (null).
+
+    The sums and squares of a block are joined to those before it and written, so that a lost
+    executor costs a block, and the figures of ``top`` rows alone reach the driver.
+    """
+    nodes = both_ways(edges).select("node").distinct()
+    order = bucketed_row_number(nodes, [], F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1024)), [F.xxhash64(F.lit(seed), "node"), "node"], "place")
+    order = written(order, "order")
+    count_ = order.count()
+    total, asked = None, 0
+    while asked < count_:
+        upto = min(count_, max(first, 2 * asked))
+        block = order.where((F.col("place") >= asked) & (F.col("place") < upto)).select(F.col("node").alias("source"))
+        sums = _dependencies(edges, block).groupBy("node").agg(F.sum("delta").alias("s"), F.sum(F.col("delta") * F.col("delta")).alias("ss"))
+        if total is not None:
+            sums = sums.unionByName(total).groupBy("node").agg(F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+        total, asked = written(sums, "shares"), upto
+        variance = F.greatest(F.lit(0.0), F.col("ss") / asked - (F.col("s") / asked) ** 2) / max(1, asked - 1) * (1 - asked / count_)
+        figures = total.select("node", (F.col("s") / asked).alias("mean"), (z * F.sqrt(variance)).alias("half"))
+        if not figures.orderBy(F.desc("mean"), "node").limit(top).where(F.col("half") > error * F.col("mean")).count():
+            break
+    scale = n_nodes / max(1.0, (n_nodes - 1) * (n_nodes - 2))
+    if total is None:
+        return nodes.select("node", F.lit(0.0).alias("betweenness"), F.lit(0.0).alias("error")), 0
+    missing = F.lit(0.0) if asked == count_ else F.lit(None).cast("double")
+    return nodes.join(figures, "node", "left").select("node", (F.coalesce("mean", F.lit(0.0)) * scale).alias("betweenness"), F.coalesce(F.col("half") * scale, missing).alias("error")), asked
+
+
 def cycle_rank(edges: DataFrame) -> DataFrame:
     """GA-7. One row: nodes, edges, components, rank (V - C) and independent cycles (E - V + C)."""
     simple = edges.where("src <> dst").select("src", "dst").distinct()
@@ -372,14 +358,38 @@ def anomaly_census(links: DataFrame, deltas: DataFrame, cycles: DataFrame, verdi
 
 def reachable_from(edges: DataFrame, start: DataFrame) -> DataFrame:
     """GA-21. (start, node): all that depends on a node over directed edges src -> dst, however far;
-    the start itself appears only if it lies on a cycle."""
-    edges = written(edges.select("src", "dst").distinct(), "directed")
-    seen = frontier = written(start.select("start", F.col("start").alias("at")).join(edges, F.col("at") == F.col("src")).select("start", F.col("dst").alias("node")).distinct(), "frontier")
-    for hop in count(1):
-        step = frontier.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        frontier = written(step.join(seen, ["start", "node"], "left_anti"), "frontier")
-        if frontier.isEmpty():
+    the start itself appears only if it lies on a cycle.
+
+    From a node with one way on, all that follows up to the next fork is taken at once: the ways
+    of 1, 2, 4, ... such steps are tables made by joining each to itself, and a set of nodes with
+    its ways of any length is one join a table. So the rounds grow with the forks on a path and
+    with the logarithm of the stretches between them. Cycles end the doubling at their length.
+    """
+    edges = written(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "directed")
+    ways = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("dst"))
+    forks = written(edges.join(ways.where("n > 1").select("src"), "src", "left_semi"), "forks")
+    jumps = [written(ways.where("n = 1").select("src", "dst"), "jump")]
+    most = jumps[0].count()
+    while 1 << len(jumps) <= most:
+        last = jumps[-1]
+        twice = written(last.join(last.toDF("dst", "then"), "dst").select("src", F.col("then").alias("dst")), "jump")
+        if twice.isEmpty():
+            break
+        jumps.append(twice)
+
+    def on(found: DataFrame) -> DataFrame:
+        for jump in reversed(jumps):
+            found = written(found.union(found.join(jump, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"))).distinct(), "on")
+        return found
+
+    first = start.select("start", F.col("start").alias("at")).join(edges, F.col("at") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+    seen = frontier = on(written(first, "first"))
+    for turn in count(1):
+        step = frontier.join(forks, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        step = written(step.join(seen, ["start", "node"], "left_anti"), "step")
+        if step.isEmpty():
             return seen
+        frontier = written(on(step).join(seen, ["start", "node"], "left_anti"), "frontier")
         seen = seen.unionByName(frontier)
-        if hop % LEVELS == 0:
+        if turn % LEVELS == 0:
             seen = written(seen, "seen")

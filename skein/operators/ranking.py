@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.storage import written
+
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like these that no column of ``df`` has, in any case."""
@@ -37,6 +39,14 @@ def bucketed_row_number(df: DataFrame, groups: list[str], bucket: Column, order:
     return ranked.join(starts, [*keys, at]).select(*[F.col(f"`{c}`") for c in kept], (F.col(start) + F.col(place)).alias(name))
 
 
+def range_row_number(df: DataFrame, order: list, name: str = "row_number", rows: int = 50_000) -> DataFrame:
+    """``df`` with ``name``: the row's place from 0 in ``order``, which should be total. Rows are
+    dealt by ranges of the order, of about ``rows`` each, and written with the number of theirs."""
+    (at,) = fresh(df, "_range")
+    ranges = df.repartitionByRange(1 + df.count() // rows, *order).withColumn(at, F.spark_partition_id())
+    return bucketed_row_number(written(ranges, "ranges"), [], F.col(at), order, name).drop(at)
+
+
 def falling(df: DataFrame, name: str, buckets: int = 64) -> Column:
     """A bucket for ranks by a falling number: how many of the table's quantiles are above it."""
     cuts = df.agg(F.percentile_approx(name, [k / buckets for k in range(1, buckets)])).first()[0] or []

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.spectral import entries, largest_eigenvalue, nearest_in_kernel
 from skein.operators.storage import written
 
 
@@ -43,18 +44,24 @@ def diffuse(laplacian: DataFrame, x: DataFrame, alpha: float, rounds: int, toler
     return x
 
 
-def step_size(laplacian: DataFrame, x: DataFrame, rounds: int = 50) -> float:
-    """0.5 over the largest eigenvalue, by power iteration from x."""
-    value = 0.0
-    for _ in range(rounds):
-        y = laplacian.join(x.select(F.col("col").alias("c2"), "x"), "c2").groupBy(F.col("c1").alias("col")).agg(F.sum(F.col("value") * F.col("x")).alias("y"))
-        y = written(y, "power")
-        size = math.sqrt(y.agg(F.sum(F.col("y") * F.col("y"))).first()[0] or 0.0)
-        if not size or abs(size - value) < 1e-6 * size:
-            value = size
-            break
-        value, x = size, y.select("col", (F.col("y") / size).alias("x"))
-    return 0.5 / value if value else 0.5
+def step_size(laplacian: DataFrame, x: DataFrame, tolerance: float = 1e-4) -> float:
+    """0.5 over the largest eigenvalue, by Lanczos from x; 0.5 if that is 0."""
+    times = entries(laplacian, "c1", "c2", "value", "col")
+    try:
+        value, _, _ = largest_eigenvalue(times, x, "col", tolerance)
+    finally:
+        times.entries.unpersist()
+    return 0.5 / value if value > 1e-14 else 0.5
+
+
+def consensus(laplacian: DataFrame, x: DataFrame, tolerance: float = 1e-8) -> tuple[DataFrame, int, float]:
+    """SH-4. ((col, x), steps, |L x|): where ``diffuse`` from x ends, the global section nearest to
+    x, by conjugate gradients until |L x| is below ``tolerance``."""
+    times = entries(laplacian, "c1", "c2", "value", "col")
+    try:
+        return nearest_in_kernel(times, x, "col", tolerance)
+    finally:
+        times.entries.unpersist()
 
 
 def validate_sheaf(vertices: DataFrame, restrictions: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a new local one only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a new local one, if all tasks run
+    on this machine (tests); on a cluster that is an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_skein_dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = spark._skein_dir = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return base.rstrip("/")
 
@@ -26,3 +30,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Written tables of an iteration, of which only the last few are needed: a name's table is
+    deleted once ``kept`` newer ones of that name are written."""
+
+    def __init__(self, spark: SparkSession, kept: int = 3):
+        self.spark, self.kept, self.paths = spark, kept, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, name)
+        df.write.parquet(path)
+        paths = self.paths.setdefault(name, [])
+        paths.append(path)
+        while len(paths) > self.kept:
+            delete(self.spark, paths.pop(0))
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a written table, wherever Spark keeps it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.operators.storage import written
 
 
 def segment_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -45,9 +46,9 @@ def tfidf_single(tokens: DataFrame, doc: tuple[str, ...], floor: float = 0.1) ->
 
 def tfidf_corpus(tokens: DataFrame, doc: str = "doc_id") -> DataFrame:
     """TX-8. Term weight against all documents: tf (1 + ln(N / (1 + df)))."""
-    tf = tokens.groupBy(doc, "token").agg(F.count(F.lit(1)).alias("tf"))
+    tf = written(tokens.groupBy(doc, "token").agg(F.count(F.lit(1)).alias("tf")), "tf")
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    n = tokens.agg(F.count_distinct(doc)).first()[0]
+    n = tf.agg(F.count_distinct(doc)).first()[0]
     return tf.join(df, "token").select(doc, "token", "tf", "df", (F.col("tf") * (1 + F.log(F.lit(float(n)) / (1 + F.col("df"))))).alias("tfidf"))
 
 

@@ -50,6 +50,7 @@ def similarity_search_batch(rows: DataFrame, queries: DataFrame, floor: float, k
         block = placed if blocks == 1 else placed.where((F.col("place") >= b * n // blocks) & (F.col("place") < (b + 1) * n // blocks))
         met = rows.select(key, vector).join(F.broadcast(block.select("query_id", "qv")), F.lit(True)).withColumn("similarity", cosine(F.col(vector), F.col("qv"))).where(F.col("similarity") >= floor)
         best = met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "similarity")
+        best = best if blocks == 1 else written(best, "best")  # a block's broadcast ends before the next
         found = best if found is None else found.unionByName(best)
     return found
 

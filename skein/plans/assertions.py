@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skein.functions.stem import morphology_sql, symbol_sql
 from skein.functions.text import PREFERENCE
 from skein.operators import claims as C
 from skein.operators import findings as D
@@ -102,7 +103,20 @@ def dirichlet_energy(spark, sf):
     return H.dirichlet_energy(b, _state(b)).select(F.round("energy", 4).alias("energy"))
 
 
+def _scales(spark, sf):
+    """The same edges with one map a vertex, so that there are global sections: what a supplier
+    holds times its scale is what its nation holds times that one's."""
+    r = _restrictions(spark, sf)
+    number = F.substring("vertex", 2, 20).cast("long")
+    return r.withColumn("value", F.when(F.col("side") == "source", 1 + F.pmod(number, F.lit(5)) / 10).otherwise(1 + F.pmod(number, F.lit(3)) / 4))
+
+
 def diffuse_consensus(spark, sf):
+    b = H.coboundary(_scales(spark, sf))
+    return H.consensus(H.sheaf_laplacian(b), _state(b))[0].select(F.col("col.vertex").alias("vertex"), r6("x").alias("x"))
+
+
+def diffuse_steps(spark, sf):
     b = H.coboundary(_restrictions(spark, sf))
     return H.diffuse(H.sheaf_laplacian(b), _state(b), 1e-5, 3).select(F.col("col.vertex").alias("vertex"), r6("x").alias("x"))
 
@@ -179,9 +193,13 @@ def clique_projection(spark, sf):
 
 
 def canonical_predicates(spark, sf):
-    labels = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("label")).union(table(spark, sf, "part").select(F.concat(F.substring_index("p_name", " ", -1), F.lit("s")))).union(table(spark, sf, "part").where("p_size = 9").select(F.concat(F.lit("Makes the "), "p_name")))
-    onto = spark.createDataFrame([("ring", "band"), ("bolts", "bolt")], "label string, canonical string")
-    words = table(spark, sf, "part").where("p_size = 7").select(F.substring_index("p_name", " ", -1).alias("word")).distinct()
+    """The words of part names, forms of their first and last words, and clauses about them."""
+    part = table(spark, sf, "part")
+    first, last = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1)
+    forms = F.array(F.concat(last, F.lit("s")), F.concat(first, F.lit("-"), last, F.lit("ing")), F.concat(first, F.lit("s "), last, F.lit("ed")), F.concat(first, F.lit("ation")))
+    labels = part.select(F.explode(F.concat(F.split("p_name", " "), forms)).alias("label")).union(part.where("p_size = 9").select(F.concat(F.lit("Makes the "), "p_name")))
+    onto = spark.createDataFrame([("ring", "band"), ("bolts", "bolt"), ("Gears", "gear-ring")], "label string, canonical string")
+    words = part.where("p_size = 7").select(last.alias("word")).distinct()
     return C.canonical_predicates(labels, onto, words)
 
 
@@ -511,7 +529,7 @@ def similarity_floor(spark, sf):
 
 _NAMES = {
     "io1": read_run_log, "io2": write_run_log, "io3": run_log_counts, "io4": append_entries, "io5": validate_sequence, "io6": entries_range, "io7": corpus_hash, "io8": conversation_summary, "sh1": coboundary, "sh2": sheaf_laplacian,
-    "sh3": dirichlet_energy, "sh4": diffuse_consensus, "sh5": validate_sheaf, "cl1": claim_schema_issues, "cl2": attribution_issues, "cl3": claim_identity, "cl4": claim_incidence, "cl5": clique_projection,
+    "sh3": dirichlet_energy, "sh4": diffuse_consensus, "sh4b": diffuse_steps, "sh5": validate_sheaf, "cl1": claim_schema_issues, "cl2": attribution_issues, "cl3": claim_identity, "cl4": claim_incidence, "cl5": clique_projection,
     "cl6": canonical_predicates, "cl7": alias_suggestions, "cl8": community_of_claim, "cl9": claim_blocks, "cl10": claim_propositions, "cl11": joint_violations, "cl12": minimal_unsat_sets, "cl12b": minimal_unsat_sets_whole,
     "cl13": consistency_graph, "cl14": classify_verdict, "cl15": check_log_page, "cl16": check_log_digest, "cl16b": formula_ids, "cl16c": check_log_signals, "cl17": novel_symbols, "cl18": rank_explanations, "cl19": formula_lint,
     "cl20": symbol_alias_candidates, "cl21": signature_components, "cl22": extraction_failures, "fi1": admit_findings, "fi2": dedup_findings, "fi3": finding_conflicts, "fi4": resolve_conflict,
@@ -525,7 +543,6 @@ _ENT = f"en as (select source, doc_id, row_number() over (partition by source or
 _CANON = "ca as (select id, segment, kind || ';object=' || object || ';predicate=' || predicate || ';subject=' || subject as canonical from cl)"
 _INC = "inc as (select id, unnest(['subject', 'predicate', 'object']) as role, 0 as ordinal, unnest([subject, predicate, object]) as label from cl)"
 _NAME = lambda c: f"regexp_replace(lower({c}), '[^a-z0-9]+', '_', 'g')"
-_STEM = "regexp_replace(lower({}), '(ations?|ings?|ed|es|s|ly)$', '')"
 _DEM = "0.6 * (1 - (list_position(['universal', 'general', 'typical', 'some', 'at-least-one'], {0}) - 1) / 4) + 0.4 * (1 - (list_position(['is', 'indicates', 'appears', 'is-consistent-with'], {1}) - 1) / 3)"
 _CLM = WEIGH + """, cm as (select l_orderkey, round(strength, 6) as strength, (['universal', 'general', 'typical', 'some', 'at-least-one'])[l_orderkey % 5 + 1] as scope, (['is', 'indicates', 'appears', 'is-consistent-with'])[(l_orderkey // 5) % 4 + 1] as certainty from st)"""
 _RESOLVED = """dec as (select distinct newer as w, older as l from conf where newer % 10 = 0), lost as (select distinct l from dec),
@@ -546,7 +563,11 @@ _SQL = {
     "sh1": f"with {RES} select edge, col, round(sum(value), 6) + 0.0 as value from b group by edge, col having sum(value) <> 0",
     "sh2": f"with {_LAP} select c1, c2, round(value, 6) + 0.0 as value from lap",
     "sh3": f"with {RES}, y as (select edge, sum(value * length(col)) as y from b group by edge) select round(sum(y * y), 4) as energy from y",
-    "sh4": f"with {_LAP}, x0 as (select distinct col, length(col)::double as x from b)" + "".join(f", x{k} as (select x.col, x.x - 1e-5 * coalesce(l.lx, 0) as x from x{k - 1} x left join (select c1, sum(value * o.x) as lx from lap join x{k - 1} o on o.col = c2 group by c1) l on l.c1 = x.col)" for k in (1, 2, 3)) + " select col as vertex, round(x, 6) + 0.0 as x from x3",
+    "sh4": """with e as (select distinct 's' || s_suppkey as a, 'n' || s_nationkey as b, s_suppkey, s_nationkey from lineitem join supplier on s_suppkey = l_suppkey),
+        m as (select distinct b as grp, a as vertex, 1 + (s_suppkey % 5) / 10 as f from e union select b, b, 1 + (s_nationkey % 3) / 4 from e),
+        c as (select grp, sum(length(vertex) / f) / sum(1 / (f * f)) as c from m group by grp)
+        select vertex, round(c / f, 6) + 0.0 as x from m join c using (grp)""",
+    "sh4b": f"with {_LAP}, x0 as (select distinct col, length(col)::double as x from b)" + "".join(f", x{k} as (select x.col, x.x - 1e-5 * coalesce(l.lx, 0) as x from x{k - 1} x left join (select c1, sum(value * o.x) as lx from lap join x{k - 1} o on o.col = c2 group by c1) l on l.c1 = x.col)" for k in (1, 2, 3)) + " select col as vertex, round(x, 6) + 0.0 as x from x3",
     "sh5": f"""with {RES}, vx as (select 's' || s_suppkey as vertex, 1 as dim from supplier where s_acctbal > 0 union all select 'n' || n_nationkey, n_nationkey % 2 from nation),
         m as (select edge, case when value = -1.0 then 'source' else 'target' end as side, col as vertex, case when dim is null then 'unknown-vertex' when dim <= 0 then 'shape-mismatch' end as issue from b left join vx on vx.vertex = b.col) select distinct * from m where issue is not null""",
     "cl1": f"""with {CLAIMS}, {_TYPED}, pa as (select id, role, label from ty where not (label like 'n%' and id % 23 = 0) union all select id, 'witness', object from cl where id % 29 = 0),
@@ -559,9 +580,16 @@ _SQL = {
     "cl3": f"with {CLAIMS}, {_CANON} select id, canonical, sha256(canonical) as claim_key, sha256(segment || chr(1) || canonical) as occurrence_id from ca",
     "cl4": f"with {CLAIMS}, {_INC} select id, role, ordinal::int as ordinal, label, sha256(lower(label)) as node_id from inc",
     "cl5": f"with {CLAIMS}, {_INC}, d as (select distinct id, label from inc) select x.label as a, y.label as b, count(*) as n from d x join d y on x.id = y.id and x.label < y.label group by all",
-    "cl6": f"""with l as (select distinct unnest(string_split(p_name, ' ')) as label from part union select split_part(p_name, ' ', -1) || 's' from part union select 'Makes the ' || p_name from part where p_size = 9), o as (select * from (values ('ring', 'band'), ('bolts', 'bolt')) t(label, canonical)), v as (select distinct split_part(p_name, ' ', -1) as word from part where p_size = 7),
-        m as (select {_STEM.format("word")} as stem, min(word) as m from v group by 1 having count(*) = 1), k as (select label, {_STEM.format("label")} as stem from l), s as (select stem, arg_min(label, (length(label), label)) as s from k group by stem)
-        select k.label, coalesce(o.canonical, v.word, nullif(regexp_replace(regexp_extract(regexp_replace(lower(trim(k.label)), '[_\\s]+', '-', 'g'), '^(?:makes?|causes?|implies|means)-(?:the|a|an)-(.+)$', 1), '[^a-z0-9]+', '_', 'g'), ''), m.m, s.s) as canonical, case when o.canonical is not null then 'ontology' when v.word is not null then 'vocabulary' when starts_with(k.label, 'Makes the ') then 'repair' when m.m is not null then 'morphology' else 'shortest' end as method from k left join o on o.label = k.label left join v on v.word = k.label left join m on m.stem = k.stem join s on s.stem = k.stem""",
+    "cl6": f"""with p as (select p_name, p_size, split_part(p_name, ' ', 1) as f, split_part(p_name, ' ', -1) as z from part),
+        l as (select unnest(string_split(p_name, ' ') || [z || 's', f || '-' || z || 'ing', f || 's ' || z || 'ed', f || 'ation']) as label from p union select 'Makes the ' || p_name from p where p_size = 9),
+        k as (select label, {symbol_sql("label", False)} as symbol, {morphology_sql("label", False)} as stems from l),
+        o as (select {symbol_sql("label", False)} as symbol, {symbol_sql("canonical", False)} as o, {morphology_sql("canonical", False)} as stems from (values ('ring', 'band'), ('bolts', 'bolt'), ('Gears', 'gear-ring')) t(label, canonical)),
+        m as (select stems, min(o) as m from o group by stems having count(distinct o) = 1), v as (select distinct {symbol_sql("z", False)} as symbol from p where p_size = 7),
+        t as (select k.*, o.o, v.symbol as v, m.m, nullif(regexp_replace(regexp_extract(regexp_replace(lower(trim(k.label)), '[_\\s]+', '-', 'g'), '^(?:makes?|causes?|implies|means)-(?:the|a|an)-(.+)$', 1), '[^a-z0-9]+', '_', 'g'), '') as r
+            from k left join o on o.symbol = k.symbol left join v on v.symbol = k.symbol left join m on m.stems = k.stems),
+        s as (select stems, arg_min(symbol, (length(symbol), label)) as s from t where o is null and v is null and r is null and m is null group by stems),
+        c as (select t.*, case when o is not null then o when v is not null then symbol else coalesce(r, m, s) end as canonical from t left join s using (stems))
+        select label, canonical, case when o is not null then 'ontology' when v is not null then 'unchanged' when r is not null then 'repair' when canonical = symbol then 'unchanged' else 'morphology' end as method from c""",
     "cl7": """with v as (select vec_id, label, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from embeddings), c as (select q.vec_id as label, r.vec_id as other, q.label as bl, r.label as bo, sum(q.x * r.x) / (sqrt(sum(q.x * q.x)) * sqrt(sum(r.x * r.x))) as s from v q join v r on q.i = r.i where q.vec_id % 100 = 0 and q.vec_id <> r.vec_id group by all)
         select label, other, round(s, 6) + 0.0 as similarity, bl <> bo as critical from c where s >= 0.2 qualify row_number() over (partition by label order by round(s, 6) desc, other) = 1""",
     "cl8": f"with {CLAIMS}, t as (select distinct id, unnest([lower(subject), lower(predicate), object]) as token from cl), m as (select distinct c_nationkey as community, unnest([lower(c_mktsegment), 'n' || c_nationkey]) as token from customer), n as (select id, community, count(*) as n from t join m using (token) group by all) select id, community, n as shared from n qualify row_number() over (partition by id order by n desc, community) = 1",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.operators import graph as G
+from skein.operators import leiden
 from skein.operators.components import connected_components
 from skein.operators.storage import written
 from skein.plans.tables import TOKENS, r6, table, tokens
@@ -21,7 +22,7 @@ def edges_of(toks):
 def _graph(spark, sf):
     """(edges, members) of the whole concept graph: a token's community is its length modulo PARTS,
     its score its occurrences and its tfidf its segments, in thousands."""
-    toks = tokens(spark, sf)
+    toks = written(tokens(spark, sf), "tokens")
     nodes = toks.groupBy("token", "doc_id", "seg").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("segs"))
     members = nodes.select(F.col("token").alias("node"), F.pmod(F.char_length("token"), F.lit(PARTS)).alias("community"), (F.col("n") / 1000).alias("score"), (F.col("segs") / 1000).alias("tfidf"))
     return written(edges_of(toks), "graph"), written(members, "members")
@@ -99,7 +100,7 @@ def segmentation_artifacts(spark, sf):
 
 def communities(spark, sf):
     edges, _ = _graph(spark, sf)
-    found = G.communities(edges)
+    found = written(leiden.communities(edges), "communities")
     return found.join(G.modularity(edges, found), F.lit(True))  # one row each side of the figure
 
 
@@ -112,11 +113,29 @@ def label_propagation(spark, sf):
     return G.label_propagation(_graph(spark, sf)[0], 2)
 
 
-def betweenness(spark, sf, pivots: int = 8):
-    """Estimated from ``pivots`` sources: the nodes that a seeded hash puts first."""
+def betweenness(spark, sf, error: float = 0.25):
+    """To a relative error of the first hundred, with the sources that this took."""
     edges, members = _graph(spark, sf)
-    chosen = members.orderBy(F.xxhash64(F.lit(7), "node"), "node").limit(pivots).select(F.col("node").alias("source"))
-    return G.betweenness(edges, chosen, members.count()).select("node", F.round("betweenness", 9).alias("betweenness"))
+    found, asked = G.sampled_betweenness(edges, members.count(), error)
+    return found.select("node", F.round("betweenness", 9).alias("betweenness"), F.round("error", 9).alias("error"), F.lit(asked).alias("sources"))
+
+
+def _trade(spark, sf):
+    """Edges between nations of which one's customers bought from the other's suppliers more often
+    than the mean of all pairs: as many nodes as nations, whatever the orders."""
+    nation_of = lambda t, k, n: table(spark, sf, t).select(F.col(k), F.col(n).alias(f"{t}_nation"))
+    sold = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").join(nation_of("supplier", "s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    sold = sold.join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    sold = sold.join(nation_of("customer", "c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).where("supplier_nation <> customer_nation")
+    pairs = sold.groupBy(F.least("supplier_nation", "customer_nation").alias("src"), F.greatest("supplier_nation", "customer_nation").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
+    pairs = written(pairs, "trade")
+    return pairs.join(pairs.agg(F.avg("weight").alias("mean")), F.lit(True)).where("weight > mean").select("src", "dst", "weight")  # one figure
+
+
+def betweenness_exact(spark, sf):
+    edges = written(_trade(spark, sf), "strong")
+    nodes = G.degrees(edges).select(F.col("node").alias("source"))
+    return G.betweenness(edges, nodes, nodes.count()).select("node", r6("betweenness").alias("betweenness"))
 
 
 def top_nodes(spark, sf):
@@ -213,7 +232,7 @@ QUERIES = {
     "gr1_cooccurrence_edges": cooccurrence, "gr2_concept_nodes": concept_nodes, "gr3_bigram_counts": bigram_counts, "gr4_promoted_phrases": promoted_phrases,
     "gr5_phrase_edges": phrase_edges, "gr6_edge_provenance": edge_provenance, "gr7_new_edges": new_edges, "gr8_degrees": degrees, "gr8_graph_stats": graph_stats,
     "gr9_unembedded_nodes": unembedded_nodes, "gr10_segmentation_artifacts": segmentation_artifacts, "ga1_communities": communities, "ga2_modularity": modularity,
-    "ga3_label_propagation": label_propagation, "ga4_betweenness": betweenness, "ga5_top_nodes": top_nodes, "ga5_bridge_nodes": bridge_nodes,
+    "ga3_label_propagation": label_propagation, "ga4_betweenness": betweenness, "ga4b_betweenness_exact": betweenness_exact, "ga5_top_nodes": top_nodes, "ga5_bridge_nodes": bridge_nodes,
     "ga6_connected_components": components, "ga7_cycle_rank": cycle_rank, "ga8_community_gaps": community_gaps, "ga9_gap_modularity_delta": gap_modularity_delta,
     "ga10_gap_path_length": gap_path_length, "ga11_gap_bridge_nodes": gap_bridge_nodes, "ga12_gap_lookup": gap_lookup, "ga12_nearest_gap": nearest_gap,
     "ga13_community_summary": community_summary, "ga14_community_edges": community_edges, "ga15_representatives": representatives,
@@ -261,6 +280,17 @@ SQL = {
         select count(*) as edges, sum(weight)::bigint as weight, min(src || '|' || dst) as example from cross_ where not exists (select 1 from edges e where e.src = cross_.src and e.dst = cross_.dst)""",
     "ga2_modularity": f"""with {_S}, k as (select community, sum(weight)::double as d from near join members using (node) group by 1)
         select round((select sum(case when ca = cb then weight else 0 end) / sum(weight) from inside) - sum(d * d) / (4.0 * pow((select sum(weight)::double from inside), 2)), 6) + 0.0 as q from k""",
+    "ga4b_betweenness_exact": """with recursive sold as (select s_nationkey as a, c_nationkey as b from lineitem join supplier on s_suppkey = l_suppkey join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey where s_nationkey <> c_nationkey),
+        pairs as (select least(a, b) as src, greatest(a, b) as dst, count(*) as weight from sold group by all),
+        e as (select src, dst from pairs where weight > (select avg(weight) from pairs)),
+        near as (select src as node, dst as other from e union all select dst, src from e),
+        nodes as (select distinct node from near),
+        walks as (select node as s, node as t, 0 as hops, 1.0::double as paths from nodes
+            union all select s, other, hops + 1, sum(paths) from walks join near on t = node where hops < 24 group by s, other, hops),
+        d as (select s, t, min(hops) as hops, arg_min(paths, hops) as paths from walks group by s, t),
+        b as (select x.t as node, sum(x.paths * y.paths / z.paths) as b from d x join d y on x.t = y.s join d z on z.s = x.s and z.t = y.t
+            where x.hops + y.hops = z.hops and x.hops > 0 and y.hops > 0 group by 1)
+        select node, round(coalesce(b, 0) / ((count(*) over () - 1) * (count(*) over () - 2)), 6) + 0.0 as betweenness from nodes left join b using (node)""",
     "ga3_label_propagation": f"with {_S}{_LABELS} select * from l2",
     "ga5_top_nodes": f"with {_S} select node, round(score, 6) as score from members order by score desc, node limit 10",
     "ga5_bridge_nodes": f"with {_S} select node, round(score, 6) as score from members where score > 0.02",

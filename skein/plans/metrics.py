@@ -153,13 +153,18 @@ def entropy_closed_form(spark, sf):
     return E.entropy_closed_form(_clean(spark, sf)).select("n", r6("entropy").alias("entropy"))
 
 
-def lambda_max(spark, sf, rounds: int = 4):
-    value, r, _ = E.lambda_max(_clean(spark, sf), rounds, 0.0)
-    return spark.range(1).select(F.round(F.lit(value * 1e6), 6).alias("lambda_ppm"), F.lit(r).alias("rounds"))
+def lambda_max(spark, sf):
+    value, _, residual = E.lambda_max(_clean(spark, sf), 1e-6)
+    return spark.range(1).select(F.round(F.lit(value * 1e6), 3).alias("lambda_ppm"), F.lit(residual < 1e-6).alias("converged"))
+
+
+def power_steps(spark, sf, steps: int = 4):
+    return spark.range(1).select(F.round(F.lit(E.power_steps(_clean(spark, sf), steps) * 1e6), 6).alias("lambda_ppm"), F.lit(steps).alias("rounds"))
 
 
 def graph_entropy(spark, sf):
-    return E.graph_entropy(_clean(spark, sf), 30)
+    found = E.graph_entropy(_clean(spark, sf), 1e-6)
+    return found.select("n", F.round("q", 6).alias("q"), F.round("entropy", 4).alias("entropy"), "converged")
 
 
 def entropy_centrality(spark, sf):
@@ -358,7 +363,7 @@ QUERIES = {
     "ts10_regime_features": regime_features, "ts11_surprising_edges": surprising_edges, "ts12_hysteresis_state": hysteresis_state, "ts13_centrality_trend": centrality_trend,
     "ts14_rapid_change": rapid_change, "ts15_topology_reorganized": topology_reorganized, "ts16_peak_valley": peak_valley, "ts17_rising_nodes": rising_nodes,
     "ts18_phase_timings": phase_timings, "en1_normalize_edges": normalize_edges, "en2_quadratic_entropy": quadratic_entropy, "en3_entropy_closed_form": entropy_closed_form,
-    "en4_lambda_max": lambda_max, "en5_graph_entropy": graph_entropy, "en6_entropy_centrality": entropy_centrality, "en7_second_moment": second_moment,
+    "en4_lambda_max": lambda_max, "en4b_power_steps": power_steps, "en5_graph_entropy": graph_entropy, "en6_entropy_centrality": entropy_centrality, "en7_second_moment": second_moment,
     "en8_embedding_entropy": embedding_entropy, "en9_purity_entropy": purity_entropy, "en10_cosine_similarity": cosine_similarity,
     "ve1_similarity_search": similarity_search, "ve2_similarity_search_batch": similarity_search_batch, "ve3_concept_vector": concept_vector, "ga18_question_context": question_context,
     "ve4_concept_similarity": concept_similarity, "ve5_concept_subspace": concept_subspace, "ve6_section_graph": section_graph, "ve7_route_query": route_query,
@@ -431,7 +436,10 @@ SQL = {
     "en1_normalize_edges": f"with {EDGES} select * from e",
     "en2_quadratic_entropy": f"with {EDGES}, {_Q} select n, round(q, 9) as q from q",
     "en3_entropy_closed_form": f"with {EDGES}, {_Q} select n, round(case when n <= 2 or q <= 0 then 0.0 else -q * ln(2.0 / n) end, 6) + 0.0 as entropy from q",
-    "en4_lambda_max": f"with {_LAMBDA} select round(sum(x * y) / sum(x * x) * 1e6, 6) as lambda_ppm, 4::int as rounds from y4",
+    # Orders and parts are the two sides of a bipartite graph, whose largest eigenvalue is 2.
+    "en4_lambda_max": f"with {EDGES} select round(2.0 / count(*) * 1e6, 3) as lambda_ppm, true as converged from deg",
+    "en5_graph_entropy": f"with {EDGES}, {_Q} select n, round(q, 6) as q, round(-q * ln(2.0 / n), 4) as entropy, true as converged from q",
+    "en4b_power_steps": f"with {_LAMBDA} select round(sum(x * y) / sum(x * x) * 1e6, 6) as lambda_ppm, 4::int as rounds from y4",
     "en6_entropy_centrality": f"""with {EDGES}, {_Q}, st as (select sum(term) as s from t), own as (select v, sum(term) as own from (select src as v, term from t union all select dst, term from t) group by v),
         tc as (select v, src, dst, sum(wi) as wi, sum(wj) as wj from (select near.other as v, t.src, t.dst, near.weight as wi, 0 as wj from t join near on near.node = t.src where near.other <> t.dst union all select near.other, t.src, t.dst, 0, near.weight from t join near on near.node = t.dst where near.other <> t.src) group by all),
         ch as (select v, sum(weight * weight / ((di - wi) * (dj - wj)) - term) as c from tc join t using (src, dst) group by v)

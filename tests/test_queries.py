@@ -10,7 +10,7 @@ from skein import plans
 
 SF = "/root/testdata/sf0.001"
 #: Queries that take many rounds; they are held against brute force in other tests.
-SLOW = {"ga1_communities", "ga4_betweenness", "ga10_gap_path_length", "en5_graph_entropy"}
+SLOW = {"ga1_communities", "ga4_betweenness", "ga10_gap_path_length"}
 
 
 @pytest.fixture(scope="module")
