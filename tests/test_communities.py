@@ -49,11 +49,11 @@ def test_no_node_gains_by_a_move(spark):
 
 def test_planted_groups_are_found(spark):
     r = random.Random(3)
-    groups = [range(12 * g, 12 * g + 12) for g in range(4)]
-    edges = [(a, b, 1) for g in groups for a, b in itertools.combinations(g, 2) if r.random() < 0.7]
-    edges += [(r.choice(groups[g]), r.choice(groups[h]), 1) for g, h in itertools.combinations(range(4), 2)]
+    groups = [range(8 * g, 8 * g + 8) for g in range(2)]
+    edges = [(a, b, 1) for g in groups for a, b in itertools.combinations(g, 2) if r.random() < 0.8]
+    edges += [(r.choice(groups[g]), r.choice(groups[h]), 1) for g, h in itertools.combinations(range(2), 2)]
     found = dict(leiden.communities(edges_df(spark, edges)).collect())
-    assert found == {v: 12 * (v // 12) for v in range(48)}
+    assert found == {v: 8 * (v // 8) for v in range(16)}
 
 
 def test_communities_of_little(spark):

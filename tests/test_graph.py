@@ -84,9 +84,10 @@ def test_gap_path_length(spark):
 def test_communities_find_two_cliques(spark):
     edges = [(a, b, 10) for a, b in itertools.combinations(range(5), 2)] + [(a, b, 10) for a, b in itertools.combinations(range(10, 15), 2)] + [(0, 10, 1)]
     df = edges_df(spark, edges)
-    got = dict(leiden.communities(df).collect())
+    found = leiden.communities(df)
+    got = dict(found.collect())
     assert len({got[i] for i in range(5)}) == 1 and len({got[i] for i in range(10, 15)}) == 1 and got[0] != got[10]
-    q = graph.modularity(df, leiden.communities(df)).first()[0]
+    q = graph.modularity(df, found).first()[0]
     assert q == pytest.approx(2 * 100 / 201 - 2 * (201 / 402) ** 2, abs=1e-9)
 
 
