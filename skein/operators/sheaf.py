@@ -17,9 +17,21 @@ def coboundary(restrictions: DataFrame) -> DataFrame:
     blocks' places are their own keys, so no running offset is needed."""
     sign = F.when(F.col("side") == "source", -1.0).otherwise(1.0)
     keyed = restrictions.select(F.struct("edge", "r").alias("row"), F.struct("vertex", "c").alias("col"), (sign * F.col("value")).alias("value"))
+    # Dealt by row alone, so that what is grouped or joined by row next is in place; a row holds the entries of two stalks.
+    keyed = keyed.repartition("row")
     return keyed.groupBy("row", "col").agg(F.sum("value").alias("value")).where("value <> 0")
 
 
+def distinct_rows(b: DataFrame) -> DataFrame:
+    """Entries (row, col, value) of the rows of B at length 1, of equal ones one. The kernel is that of
+    B, and so is the nearest point in it; but how well conditioned the Laplacian is no longer
+    depends on how often an edge is repeated. Nothing is dropped that the kernel depends on."""
+    rows = b.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("col", "value"))).alias("all"))
+    size = F.sqrt(F.aggregate("all", F.lit(0.0), lambda s, e: s + e["value"] * e["value"]))
+    once = rows.select(F.transform("all", lambda e: F.struct(e["col"].alias("col"), (e["value"] / size).alias("value"))).alias("row")).distinct()
+    return once.select("row", F.explode("row").alias("e")).select("row", "e.*")
+
+
 def sheaf_laplacian(b: DataFrame) -> DataFrame:
     """SH-2. (c1, c2, value) of the transpose of B times B."""
     left, right = b.select("row", F.col("col").alias("c1"), F.col("value").alias("v1")), b.select("row", F.col("col").alias("c2"), F.col("value").alias("v2"))

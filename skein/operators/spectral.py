@@ -20,6 +20,10 @@ from skein.operators.storage import Scratch
 Apply = Callable[[DataFrame], DataFrame]
 
 
+#: The share of a residual below which rounding of doubles hides what is left.
+ROUNDING = 1e-13
+
+
 def entries(matrix: DataFrame, row: str, col: str, value: str, key: str) -> Apply:
     """The action of the entries (row, col, value); keys without an entry get 0. The entries are
     dealt by column once and kept so, and only vectors are shuffled at each step."""
@@ -74,14 +78,17 @@ def nearest_in_kernel(apply: Apply, start: DataFrame, key: str, tolerance: float
     That is where steps of x less a small multiple of the matrix times x lead, whatever the
     multiple; conjugate gradients take about the square root of their number. The residual is the
     matrix times x itself, and is taken anew from x before the end, so that rounding cannot hide in
-    it. Raises if ``most`` steps do not reach ``tolerance``.
+    it. Where ``ROUNDING`` of the first residual is more than ``tolerance``, that ends the search:
+    no vector of such numbers is nearer. Raises if ``most`` steps do not reach the end.
     """
     scratch = Scratch(start.sparkSession)
-    steps, x = 0, scratch.keep(start.select(key, F.col("x").cast("double").alias("x")), "begin")
+    first, steps, x = True, 0, scratch.keep(start.select(key, F.col("x").cast("double").alias("x")), "begin")
     while True:
         # x, residual r = -A x, direction p
         state = scratch.keep(x.join(apply(x), key).select(key, "x", (-F.col("y")).alias("r"), (-F.col("y")).alias("p")), "residual")
         rr = state.agg(F.coalesce(F.sum(F.col("r") * F.col("r")), F.lit(0.0))).first()[0]
+        if first:
+            first, tolerance = False, max(tolerance, ROUNDING * math.sqrt(rr))
         if math.sqrt(rr) < tolerance:
             return state.select(key, "x"), steps, math.sqrt(rr)
         while math.sqrt(rr) >= tolerance / 2:

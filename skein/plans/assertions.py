@@ -9,7 +9,7 @@ from skein.functions.text import PREFERENCE
 from skein.operators import claims as C
 from skein.operators import findings as D
 from skein.operators import sheaf as H
-from skein.operators.storage import shared_path
+from skein.operators.storage import shared_path, written
 from skein.plans.tables import r6, table
 from skein.sources import entries as N
 from skein.sources import run_log as L
@@ -112,7 +112,7 @@ def _scales(spark, sf):
 
 
 def diffuse_consensus(spark, sf):
-    b = H.coboundary(_scales(spark, sf))
+    b = written(H.distinct_rows(H.coboundary(_scales(spark, sf))), "rows")
     return H.consensus(H.sheaf_laplacian(b), _state(b))[0].select(F.col("col.vertex").alias("vertex"), r6("x").alias("x"))
 
 

@@ -84,3 +84,24 @@ def test_a_shared_folder_is_asked_for_on_clusters():
 
     with pytest.raises(RuntimeError):
         shared_dir(Session())
+
+
+def test_kernel_of_a_large_matrix_is_reached(spark):
+    """Residuals of such numbers never come below 1e-8."""
+    n = 40
+    m = 3e9 * (n * np.eye(n) - 1 + np.diag(np.zeros(n)))
+    x = np.random.default_rng(2).normal(size=n) * 1e3
+    found, steps, size = nearest_in_kernel(entries(table(spark, m), "i", "j", "v", "i"), vector(spark, x), "i", most=20)
+    assert [r.x for r in found.collect()] == pytest.approx([x.mean()] * n, rel=1e-9) and steps <= 20
+
+
+def test_repeated_edges_change_no_consensus(spark):
+    """Edges of a star repeated 1 to 10,000 times: as many steps as without, and the same point."""
+    f = {"a": 1.0, "b": 1.5, "c": 2.0, "d": 1.1}
+    rows = lambda times: [(f"{v}{k}", s, u, 0, 0, f[u]) for v in "bcd" for k in range(times[v]) for s, u in (("source", v), ("target", "a"))]
+    kind = "edge string, side string, vertex string, r int, c int, value double"
+    once = sheaf.coboundary(spark.createDataFrame(rows({v: 1 for v in "bcd"}), kind))
+    many = sheaf.distinct_rows(sheaf.coboundary(spark.createDataFrame(rows({"b": 1, "c": 100, "d": 10000}), kind)))
+    assert many.count() == once.count() == 6
+    point = lambda b: {r.col.vertex: r.x for r in sheaf.consensus(sheaf.sheaf_laplacian(b), b.select("col").distinct().withColumn("x", F.ascii("col.vertex") * 1.0))[0].collect()}
+    assert point(many) == pytest.approx(point(once), abs=1e-7)
