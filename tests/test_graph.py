@@ -124,3 +124,21 @@ def test_lambda_max(spark):
     d = m.sum(axis=0)
     laplacian = np.eye(len(nodes)) - m / np.sqrt(np.outer(d, d))
     assert value * len(nodes) == pytest.approx(np.linalg.eigvalsh(laplacian)[-1], rel=1e-6) and residual < 1e-4
+
+
+def test_gap_path_length_from_more_sources_than_a_number_has_bits(spark):
+    """A ring of 40 communities of two with chords: 80 sources, each pair of communities by breadth-first search."""
+    n, steps = 80, (1, 9, 23)
+    df = edges_df(spark, [(i, (i + s) % n, 1) for i in range(n) for s in steps])
+    members = spark.createDataFrame([(i, i // 2) for i in range(n)] + [(99, 77)], "node long, community int")
+    hops, queue = {0: 0}, deque([0])
+    while queue:
+        u = queue.popleft()
+        for v in {(u + s) % n for s in steps} | {(u - s) % n for s in steps}:
+            if v not in hops:
+                hops[v] = hops[u] + 1
+                queue.append(v)
+    pairs = [(0, 1), (0, 20), (3, 39), (10, 35), (0, 77)]
+    got = {(r.ca, r.cb): r.path_length for r in graph.gap_path_length(df, members, spark.createDataFrame(pairs, "ca int, cb int")).collect()}
+    want = {(a, b): sum(hops[(y - x) % n] for x in (2 * a, 2 * a + 1) for y in (2 * b, 2 * b + 1)) / 4 for a, b in pairs[:-1]}
+    assert got == {**{p: pytest.approx(w) for p, w in want.items()}, (0, 77): None}
