@@ -51,3 +51,8 @@ def test_artifacts_as_without_marks(spark):
 def test_no_window_over_tokens(spark, query):
     plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+def test_queries_of_nodes_make_no_edges(spark, monkeypatch):
+    monkeypatch.setattr(graph, "edges_of_lists", None)
+    assert graphs.top_nodes(spark, SF).count() == 10
