@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.operators.ranking import bucketed_row_number
 from skein.operators.storage import written
 
 
@@ -29,30 +28,97 @@ def similarity_search(rows: DataFrame, query: list[float], floor: float, k: int,
     return near.where(F.col("similarity") >= floor).orderBy(F.desc("similarity"), key).limit(k)
 
 
-#: Numbers in the query vectors of a block, which is sent to every task: 32 MB.
+#: Numbers in the vectors of a block of queries and of a block of rows that meet in one task, and the
+#: most products it holds at once: 32, 8 and 32 MB of doubles.
 BLOCK_NUMBERS = 4_000_000
+ROW_NUMBERS = 1_000_000
+PRODUCTS = 4_000_000
+
+#: What rounding can do to a cosine is far below this.
+SLACK = 1e-9
+
+
+def _folded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products row by row, added in the order in which ``dot`` adds."""
+    total = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        total += a[:, i] * b[:, i]
+    return total
+
+
+def _best_of_block(queries, rows, floor: float, k: int):
+    """(query place, row place, similarity): the best k of ``rows``, which lie in the order of their
+    key, for each of ``queries``. A product of matrices leaves the rows that may be among them; these
+    are added up as in ``cosine``, so that equal vectors are equal to the last bit."""
+    # Of equal vectors the first k can be among the best.
+    _, same = np.unique(np.ascontiguousarray(rows).view(f"V{8 * rows.shape[1]}").ravel(), return_inverse=True)
+    order = np.argsort(same, kind="stable")
+    starts = np.searchsorted(same[order], same[order])
+    place = np.sort(order[np.arange(len(order)) - starts < k])
+    rows = rows[place]
+    norm_q, norm_r = np.sqrt(_folded(queries, queries)), np.sqrt(_folded(rows, rows))
+    scaled, found, step = (rows / norm_r[:, None]).T, [], max(1, PRODUCTS // len(rows))
+    for at in range(0, len(queries), step):
+        near = (queries[at : at + step] / norm_q[at : at + step, None]) @ scaled
+        least = np.full(len(near), floor) if len(rows) <= k else np.maximum(floor, np.partition(near, len(rows) - k, axis=1)[:, len(rows) - k])
+        q, r = np.nonzero(near >= least[:, None] - SLACK)
+        q += at
+        total = np.zeros(len(q))
+        for i in range(rows.shape[1]):
+            total += rows[r, i] * queries[q, i]
+        similarity = total / (norm_r[r] * norm_q[q])
+        q, r, similarity = (x[similarity >= floor] for x in (q, r, similarity))
+        by = np.lexsort((r, -similarity, q))
+        q, r, similarity = q[by], r[by], similarity[by]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < k
+        found.append((q[first], place[r[first]], similarity[first]))
+    return [np.concatenate(x) for x in zip(*found)]
 
 
 def similarity_search_batch(rows: DataFrame, queries: DataFrame, floor: float, k: int, vector: str, key: str) -> DataFrame:
     """VE-2. (query_id, rank, key, similarity): the best k of each of a table of query vectors.
 
-    A stated query set against all rows, in blocks: queries (query_id, qv) are ranked and cut into
-    blocks of at most BLOCK_NUMBERS numbers by a count of them, and each block is sent to the rows,
-    which stay where they are; only k rows a query leave a task (window group limit).
+    A stated query set against all rows. Queries (query_id, qv) and rows are dealt into blocks by
+    their number, and each block of queries meets each block of rows in one task, where a product of
+    matrices finds the few rows a query that are then compared exactly; only k rows a query leave a
+    task. Vectors whose norm is no usable number (``cosine`` says what they give) meet the others by
+    a plain join, as far as ``floor`` lets anything of it through.
     """
-    asked = written(queries.select("query_id", "qv"), "asked")
-    n, longest = asked.agg(F.count(F.lit(1)), F.max(F.size("qv"))).first()
-    blocks = max(1, -(-n * max(1, longest or 1) // BLOCK_NUMBERS))
-    placed = asked if blocks == 1 else written(bucketed_row_number(asked, [], F.pmod(F.xxhash64("query_id"), F.lit(64 * blocks)), ["query_id"], "place"), "placed")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), key))
-    found = None
-    for b in range(blocks):
-        block = placed if blocks == 1 else placed.where((F.col("place") >= b * n // blocks) & (F.col("place") < (b + 1) * n // blocks))
-        met = rows.select(key, vector).join(F.broadcast(block.select("query_id", "qv")), F.lit(True)).withColumn("similarity", cosine(F.col(vector), F.col("qv"))).where(F.col("similarity") >= floor)
-        best = met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "similarity")
-        best = best if blocks == 1 else written(best, "best")  # a block's broadcast ends before the next
-        found = best if found is None else found.unionByName(best)
-    return found
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    dealt = lambda df, c, id_: df.select(F.col(id_).alias("_id"), F.col(c).cast("array<double>").alias("_v"), F.size(c).alias("_size"), norm(F.col(c)).alias("_norm"))
+    usable = F.col("_norm").between(1e-12, 1e100) & (F.col("_norm") > 0)
+    asked, given = written(dealt(queries, "qv", "query_id"), "asked"), dealt(rows, vector, key)
+    kind_q, kind_r = dict(asked.dtypes)["_id"], dict(given.dtypes)["_id"]
+    n_q, n_r = (df.agg(F.coalesce(F.sum(F.greatest(F.lit(1), "_size")), F.lit(0))).first()[0] for df in (asked, given))
+    blocks_q, blocks_r = max(1, -(-n_q // BLOCK_NUMBERS)), max(1, -(-n_r // ROW_NUMBERS))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({"query_id": left["_id"][:0], "_id": right["_id"][:0], "similarity": pa.array([], pa.float64())})
+        right = right.take(pc.sort_indices(right, sort_keys=[("_id", "ascending")], null_placement="at_start"))
+        cut = lambda t: t["_v"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+        q, r, similarity = _best_of_block(cut(left), cut(right), floor, k)
+        return pa.table({"query_id": left["_id"].take(pa.array(q)), "_id": right["_id"].take(pa.array(r)), "similarity": pa.array(similarity)})
+
+    at = ["_size", "_q", "_r"]
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    part = lambda n: F.pmod(F.xxhash64("_id", "_v"), F.lit(n)).cast("int")
+    left = asked.where(usable & (F.col("_size") > 0)).select("_id", "_v", "_size", part(blocks_q).alias("_q"), every(blocks_r, "_r"))
+    right = given.where(usable & (F.col("_size") > 0)).select("_id", "_v", "_size", part(blocks_r).alias("_r"), every(blocks_q, "_q"))
+    tasks = blocks_q * blocks_r
+    pairs = left.repartition(tasks, *at).groupBy(*at).cogroup(right.repartition(tasks, *at).groupBy(*at))
+    found = pairs.applyInArrow(best, f"query_id {kind_q}, _id {kind_r}, similarity double")
+
+    # Above 0 a norm that is null or next to nothing gives no similarity; others may be NaN, or beyond 1e100.
+    odd = ~F.coalesce(usable, F.lit(False)) & (F.lit(floor <= 0) | F.coalesce(F.col("_norm") > 1, F.lit(False)))
+    q, r = asked.select(F.col("_id").alias("query_id"), F.col("_v").alias("qv"), odd.alias("odd_q")), given.select("_id", F.col("_v").alias("rv"), odd.alias("odd_r"))
+    rest = [q.where("odd_q").join(r, F.lit(True)), q.where("not odd_q").join(r.where("odd_r"), F.lit(True))]
+    for met in rest:
+        found = found.unionByName(met.select("query_id", "_id", cosine(F.col("rv"), F.col("qv")).alias("similarity")).where(F.col("similarity") >= floor))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("_id").alias(key), "similarity")
 
 
 def centroid(rows: DataFrame, group: str, vector: str, dimension: int | None = None) -> DataFrame:
