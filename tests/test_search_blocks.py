@@ -43,3 +43,12 @@ def test_copies_leave_k_rows_a_query():
     same = np.tile(np.array([[1.0, 2.0, 3.0]]), (5000, 1))
     q, r, similarity = V._best_of_block(same[:7], same, 0.1, 3)
     assert r.tolist() == [0, 1, 2] * 7 and q.tolist() == np.repeat(np.arange(7), 3).tolist()
+
+
+def test_questions_have_two_entries_where_copies_come_before_themselves(spark, tmp_path):
+    from skein import plans
+
+    data = [(i, [1.0, 2.0, 3.0], 0) for i in range(1, 9)] + [(100, [1.0, 2.0, 3.0], 0)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = plans.queries()["ga18_question_context"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [(100, "1,2", "context-supported")]
