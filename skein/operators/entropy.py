@@ -57,14 +57,28 @@ def _start(near: DataFrame) -> DataFrame:
     return written(near.select("node").distinct().withColumn("x", 1 + F.pmod(F.col("node") * 2654435761, F.lit(1000)) / 1000), "start")
 
 
+def _sides(edges: DataFrame) -> tuple[int, bool]:
+    """(nodes, whether the edges run between two sides: no node is ``src`` of one and ``dst`` of another)."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(False).alias("upper")), F.struct(F.col("dst").alias("node"), F.lit(True).alias("upper")))).alias("e")).select("e.*")
+    n, mixed = ends.groupBy("node").agg((F.max("upper") & ~F.min("upper")).alias("mixed")).agg(F.count(F.lit(1)), F.count_if("mixed")).first()
+    return n, not mixed
+
+
 def lambda_max(edges: DataFrame, tolerance: float = 1e-4) -> tuple[float, int, float]:
     """EN-4. (eigenvalue, steps, residual) of the normalized Laplacian over n, by Lanczos until the
-    residual is below ``tolerance`` times the eigenvalue. Without edges all three are 0."""
-    near = _scaled(edges)
-    x = _start(near)
-    n = x.count()
+    residual is below ``tolerance`` times the eigenvalue. Without edges all three are 0.
+
+    No eigenvalue is above 2, and the roots of the strengths, negative on one side, belong to 2 where
+    edges of positive weight run between two sides: such graphs (of things and what they hold) take
+    no step. Which side a node is on is read off its edges, so others take the steps as ever.
+    """
+    n, sides = _sides(edges)
     if not n:
         return 0.0, 0, 0.0
+    if sides and not edges.where("src = dst or not coalesce(weight > 0 and weight < double('Infinity'), false)").limit(1).count():
+        return 2.0 / n, 0, 0.0
+    near = _scaled(edges)
+    x = _start(near)
     times = entries(near, "node", "other", "weight", "node")
     less = lambda v: v.join(times(v), "node").select("node", (F.col("x") - F.col("y")).alias("y"))
     try:
@@ -94,6 +108,7 @@ def power_steps(edges: DataFrame, steps: int) -> float:
 def graph_entropy(edges: DataFrame, tolerance: float = 1e-4) -> DataFrame:
     """EN-5. -Q ln(lambda), 0 unless 0 < lambda < 1 and Q > 0; with the steps and the residual
     that ended the search for lambda."""
+    edges = written(edges, "edges")
     value, steps, residual = lambda_max(edges, tolerance)
     q = quadratic_entropy(edges)
     h = F.when((F.col("q") > 0) & F.lit(0 < value < 1), -F.col("q") * F.lit(math.log(value) if value > 0 else 0.0)).otherwise(0.0)

@@ -105,3 +105,33 @@ def test_repeated_edges_change_no_consensus(spark):
     assert many.count() == once.count() == 6
     point = lambda b: {r.col.vertex: r.x for r in sheaf.consensus(sheaf.sheaf_laplacian(b), b.select("col").distinct().withColumn("x", F.ascii("col.vertex") * 1.0))[0].collect()}
     assert point(many) == pytest.approx(point(once), abs=1e-7)
+
+
+def test_two_sides_take_no_step(spark):
+    from skein.operators.entropy import graph_entropy, lambda_max
+
+    rng = np.random.default_rng(3)
+    edges = [(a, 100 + b, float(rng.integers(1, 9))) for a in range(8) for b in range(6) if rng.random() < 0.6]
+    w = np.zeros((120, 120))
+    for a, b, x in edges:
+        w[a, b] = w[b, a] = x
+    w = w[:, (w > 0).any(0)][(w > 0).any(1)]
+    root = np.sqrt(np.outer(w.sum(0), w.sum(0)))
+    top = np.linalg.eigvalsh(np.eye(len(w)) - w / root)[-1] / len(w)
+    df = spark.createDataFrame(edges, "src long, dst long, weight double")
+    value, steps, residual = lambda_max(df, 1e-6)
+    assert abs(value - top) < 1e-9 and (steps, residual) == (0, 0.0)
+    row = graph_entropy(df, 1e-6).first()
+    assert row.n == len(w) and row.rounds == 0 and row.converged
+
+
+@pytest.mark.parametrize("edges", [[(1, 2, 1.0), (2, 3, 1.0), (1, 3, 2.0), (3, 4, 1.0)], [(1, 3, 1.0), (1, 4, 2.0), (2, 3, 0.5), (2, 4, 1.0), (3, 4, 1.0)]])
+def test_other_graphs_take_steps(spark, edges):
+    from skein.operators.entropy import lambda_max
+
+    w = np.zeros((4, 4))
+    for a, b, x in edges:
+        w[a - 1, b - 1] = w[b - 1, a - 1] = x
+    top = np.linalg.eigvalsh(np.eye(4) - w / np.sqrt(np.outer(w.sum(0), w.sum(0))))[-1] / 4
+    value, steps, _ = lambda_max(spark.createDataFrame(edges, "src long, dst long, weight double"), 1e-6)
+    assert abs(value - top) < 1e-6 and steps > 0
