@@ -9,6 +9,7 @@ from skein.operators import entropy as E
 from skein.operators import series as S
 from skein.operators import vectors as V
 from skein.operators.graph import question_context as question_context_of
+from skein.operators.storage import written
 from skein.plans.tables import r6, table
 
 KEY = ["series", "iteration"]
@@ -154,7 +155,7 @@ def entropy_closed_form(spark, sf):
 
 
 def lambda_max(spark, sf):
-    value, _, residual = E.lambda_max(_clean(spark, sf), 1e-6)
+    value, _, residual = E.lambda_max(written(_clean(spark, sf), "edges"), 1e-6)
     return spark.range(1).select(F.round(F.lit(value * 1e6), 3).alias("lambda_ppm"), F.lit(residual < 1e-6).alias("converged"))
 
 
