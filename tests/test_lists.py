@@ -56,3 +56,26 @@ def test_no_window_over_tokens(spark, query):
 def test_queries_of_nodes_make_no_edges(spark, monkeypatch):
     monkeypatch.setattr(graph, "edges_of_lists", None)
     assert graphs.top_nodes(spark, SF).count() == 10
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_links_between_parts_are_those_of_named_edges(spark, monkeypatch, shared):
+    rng = random.Random(11)
+    data = [(i, 0, [rng.choice(["a", "bb", "ccc", "dddd", "ee", "fff", "élan"]) for _ in range(rng.randrange(9))]) for i in range(40)]
+    lists = spark.createDataFrame(data, "doc_id long, seg int, tokens array<string>")
+    part = lambda t: F.pmod(F.char_length(t), F.lit(3))
+    want = graph.edges_of_lists(lists).groupBy(part("src").alias("ca"), part("dst").alias("cb")).agg(F.count(F.lit(1)).alias("links"), F.sum("weight").alias("weight"))
+    one = want.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("links"), F.sum("weight"))
+    nodes = graph.token_counts(lists).select(F.col("token").alias("node"))
+    if shared:  # every token has the same hash
+        monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(5).cast("long"))
+    got = graph.links_of_lists(lists, nodes, part, 3).groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("links"), F.sum("weight"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, one.collect()))
+
+
+def test_queries_of_communities_make_no_table_of_named_edges(spark, monkeypatch):
+    def no(*_):
+        raise AssertionError("a table of edges")
+
+    monkeypatch.setattr(graphs, "_labelled", no)
+    assert graphs.gap_modularity_delta(spark, "/root/testdata/sf0.001").columns == ["ca", "cb", "delta"]
