@@ -80,3 +80,31 @@ def test_sampled_betweenness_stops_within_its_error(spark):
     assert asked < n and len(got) == n
     for h in range(3):
         assert got[h].error <= 0.3 * got[h].betweenness and abs(got[h].betweenness - want[h]) <= 2 * got[h].error
+
+
+def settled(edges, part):
+    members = defaultdict(set)
+    for v, c in part.items():
+        members[c].add(v)
+    q = modularity(edges, part)
+    return all(modularity(edges, part | {v: c}) <= q + 1e-9 for v in part for c in members) and all(c == min(vs) and connected(edges, vs) for c, vs in members.items())
+
+
+def test_no_node_gains_by_a_move_across_blocks(spark, monkeypatch):
+    """Nodes and large communities dealt over several blocks."""
+    monkeypatch.setattr(leiden, "BLOCK", 40)
+    edges = random_edges(18, 36, 4)
+    part = dict(leiden.communities(edges_df(spark, edges)).collect())
+    assert set(part) == {v for a, b, _ in edges for v in (a, b)} and settled(edges, part)
+
+
+def test_a_graph_of_one_block_takes_few_jobs(spark):
+    """Rounds of single moves took hundreds of jobs on a graph of this size."""
+    edges = random_edges(60, 150, 5)
+    spark.sparkContext.setJobGroup("communities", "few")
+    try:
+        part = dict(leiden.communities(edges_df(spark, edges)).collect())
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("communities"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert settled(edges, part) and jobs < 80
