@@ -79,3 +79,27 @@ def test_queries_of_communities_make_no_table_of_named_edges(spark, monkeypatch)
 
     monkeypatch.setattr(graphs, "_labelled", no)
     assert graphs.gap_modularity_delta(spark, "/root/testdata/sf0.001").columns == ["ca", "cb", "delta"]
+
+
+def test_promoted_counts_under_numbers(both):
+    lists, tokens = both
+    assert rows(graph.promoted_counts(lists, KEYS, (3, 3)), "a", "b", "n") == rows(graph.promoted_counts(lists, KEYS), "a", "b", "n")
+
+
+def test_places_that_fit_no_number(spark):
+    bits = lambda data: graph.place_bits(spark.createDataFrame(data, "doc_id long, text string"), "doc_id", "text")
+    assert bits([(5, "a b"), (1 << 40, None)]) == (2, 2) and bits([(0, None)]) == (0, 0)
+    assert bits([(1 << 62, "a b")]) is None and bits([(-1, "a")]) is None and bits([(None, "a"), (1, "a")]) is None and bits([]) is None
+
+
+def test_promoted_phrases_are_not_sorted(spark):
+    plan = graphs.promoted_phrases(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate(key=[a#" not in plan  # TX-3 alone sorts
+
+
+def test_white_space_as_by_patterns(spark):
+    r = random.Random(4)
+    data = [(None,), ("",), *[("".join(r.choice(" \t\n\x0b\f\r\u00a0\u2003ab") for _ in range(r.randint(0, 8))),) for _ in range(500)]]
+    df, t = spark.createDataFrame(data, "t string"), F.col("t")
+    plain = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    assert df.where(~T.trim_space(t).eqNullSafe(plain(t)) | ~T.collapse(t).eqNullSafe(plain(F.regexp_replace(t, r"\s+", " ")))).count() == 0
