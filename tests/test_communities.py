@@ -82,6 +82,19 @@ def test_sampled_betweenness_stops_within_its_error(spark):
         assert got[h].error <= 0.3 * got[h].betweenness and abs(got[h].betweenness - want[h]) <= 2 * got[h].error
 
 
+def test_pairs_meet_without_walks_over_all_edges(spark, monkeypatch):
+    """In lists and groups of a few entries, with a second component, a loop and nodes without edges,
+    which took the figures up by their share."""
+    monkeypatch.setattr(graph, "breadth_first", None)
+    for name, value in (("PIECE", 2), ("GROUP", 8), ("ROW", 1)):
+        monkeypatch.setattr(graph, name, value)
+    edges = random_edges(11, 14, 6) + [(20, 21, 1), (21, 22, 1)]
+    found, asked = graph.sampled_betweenness(edges_df(spark, [*edges, (20, 20, 1)]), 18, error=0.0, first=200)
+    got = {r.node: (r.betweenness, r.error) for r in found.collect()}
+    want = brute_betweenness(edges, 18)
+    assert asked == len(want) and {v: b for v, (b, _) in got.items()} == pytest.approx(want) and all(e == pytest.approx(0, abs=1e-9) for _, e in got.values())
+
+
 def settled(edges, part):
     members = defaultdict(set)
     for v, c in part.items():
