@@ -233,9 +233,11 @@ def run_agreement(outcomes: DataFrame, unmappable: DataFrame, runs: DataFrame, l
 
 def tie_breaker_value(rows: DataFrame, group: str) -> DataFrame:
     """QE-4. Evaluations before the first valid candidate by edit count alone, and with ties broken
-    by a role weight; null if none is valid."""
-    plain = F.row_number().over(Window.partitionBy(group).orderBy("edits", "id"))
-    weighted = F.row_number().over(Window.partitionBy(group).orderBy("edits", F.desc("weight"), "id"))
+    by a role weight; null if none is valid. Nulls come last; of candidates that nothing tells apart a
+    valid one comes first, so that the result does not depend on the order of rows."""
+    edits, *rest = F.asc_nulls_last("edits"), F.asc_nulls_last("id"), F.desc("valid")
+    plain = F.row_number().over(Window.partitionBy(group).orderBy(edits, *rest))
+    weighted = F.row_number().over(Window.partitionBy(group).orderBy(edits, F.desc("weight"), *rest))
     r = rows.withColumn("p", plain).withColumn("w", weighted)
     return r.groupBy(group).agg(F.min(F.when(F.col("valid"), F.col("p"))).alias("plain"), F.min(F.when(F.col("valid"), F.col("w"))).alias("weighted"))
 

@@ -491,9 +491,11 @@ def run_agreement(spark, sf):
 
 
 def tie_breaker_value(spark, sf):
-    li = table(spark, sf, "lineitem")
-    rows = li.select("l_orderkey", (F.col("l_partkey") * 100 + F.col("l_linenumber")).alias("id"), F.floor(F.col("l_quantity") / 10).alias("edits"), F.element_at(F.array(F.lit(1.0), F.lit(0.7), F.lit(0.3)), (F.pmod("l_suppkey", F.lit(3)) + 1).cast("int")).alias("weight"), (F.col("l_returnflag") == "R").alias("valid"))
-    return D.tie_breaker_value(rows, "l_orderkey").na.fill(-1)
+    li, tens, role = table(spark, sf, "lineitem"), F.col("l_quantity") / 10, F.col("l_suppkey") % 3 + 1
+    edits = F.when(F.abs(tens) < 2.0**53, F.floor(tens).cast("double")).otherwise(tens)  # a floor is a long, which has no NaN
+    weight = F.when(role != 0, F.element_at(F.array(F.lit(1.0), F.lit(0.7), F.lit(0.3)), role.cast("int")))
+    rows = li.select("l_orderkey", (F.col("l_partkey") * 100 + F.col("l_linenumber")).alias("id"), edits.alias("edits"), weight.alias("weight"), (F.col("l_returnflag") == "R").alias("valid"))
+    return D.tie_breaker_value(rows, "l_orderkey").na.fill(-1, ["plain", "weighted"])
 
 
 def spearman(spark, sf):
