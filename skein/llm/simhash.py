@@ -87,6 +87,8 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
 
     Each fingerprint stands in the cell of each half's count vector and looks in the cells up to
     ``most // 2`` steps above it; a pair with both above and below steps meets from either side.
+    Both sides are shuffled: Spark sizes a table without the rows that ``explode`` adds, and would
+    send one to the driver that is dozens of times as large as it takes it to be.
     """
     radius = most // 2
 
@@ -100,7 +102,7 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
         return fps.select(F.col("fp").alias(name), _unary(F.col("fp")).alias(f"v{name}"), F.explode(F.array(*at)).alias("c")).select(name, f"v{name}", "c.*")
 
     here = cells("a", radius if radius > 1 else 0)
-    there = cells("b", radius)
+    there = cells("b", radius).hint("merge")
     near = (
         (F.col("a") != F.col("b"))
         & (F.bit_count(F.col("va").bitwiseXOR(F.col("vb"))) <= most)
