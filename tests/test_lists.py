@@ -103,3 +103,20 @@ def test_white_space_as_by_patterns(spark):
     df, t = spark.createDataFrame(data, "t string"), F.col("t")
     plain = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     assert df.where(~T.trim_space(t).eqNullSafe(plain(t)) | ~T.collapse(t).eqNullSafe(plain(F.regexp_replace(t, r"\s+", " ")))).count() == 0
+
+
+def test_provenance_of_lists(both):
+    lists, tokens = both
+    names = ["text", "gap", "user"]
+    origin = F.element_at(F.array(*map(F.lit, names)), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    born = F.pmod(F.col("doc_id") * 5, F.lit(7)) - 3  # of one iteration there are several origins
+    want = graph.edge_provenance(graph.pairs_in_window(tokens, KEYS), born, origin)
+    assert rows(graph.provenance_of_lists(lists, born, origin, names), "src", "dst", "iteration", "origin") == rows(want, "src", "dst", "iteration", "origin")
+
+
+@pytest.mark.parametrize("query", [graphs.edge_provenance, graphs.new_edges])
+def test_provenance_sorts_no_pairs(spark, query):
+    """The one sort left is that of segments, before their first occurrences."""
+    plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    assert "Window" not in plan and plan.count("SortAggregate") == 2
