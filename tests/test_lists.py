@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
-from skein.operators import graph
+from skein.operators import graph, storage
 from skein.plans import graphs
 
 KEYS = ["doc_id", "seg"]
@@ -120,3 +120,22 @@ def test_provenance_sorts_no_pairs(spark, query):
     plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
     plan = plan.split("== Initial Plan ==")[-1]
     assert "Window" not in plan and plan.count("SortAggregate") == 2
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 2, 4])
+def test_label_propagation_of_numbers(both, rounds):
+    lists, tokens = both
+    names, edges, bits = graph.numbered(lists)
+    plain = graph.cooccurrence_edges(tokens, KEYS)
+    a, b = names.toDF("a", "src"), names.toDF("b", "dst")
+    assert rows(edges.toDF("src", "dst", "weight").join(a, "src").join(b, "dst"), "a", "b", "weight") == rows(plain, "src", "dst", "weight")
+    assert rows(graph.label_propagation_of_numbers(edges, names, bits, rounds), "node", "community") == rows(graph.label_propagation(plain, rounds), "node", "community")
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    """They stayed until the driver's garbage was collected, so that all steps of a query were on disk at once."""
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in local.getAllFiles().mkString("\n").splitlines() if "shuffle_" in x}
+    before = files()
+    storage.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    assert not files() - before
