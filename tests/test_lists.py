@@ -139,3 +139,12 @@ def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
     before = files()
     storage.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
     assert not files() - before
+
+
+@pytest.mark.parametrize("bits", [None, (3, 4)])
+def test_phrases_by_numbers(both, bits):
+    lists, tokens = both
+    found = graph.phrase_edges_of_lists(lists, KEYS, bits=bits)
+    assert rows(found, "phrase", "w", "weight") == rows(graph.phrase_edges(tokens, KEYS), "phrase", "w", "weight")
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "Join" not in plan and plan.count("Exchange") == 1  # nothing but the last sum is on disk with it
