@@ -121,3 +121,17 @@ def test_a_graph_of_one_block_takes_few_jobs(spark):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert settled(edges, part) and jobs < 80
+
+
+def test_numbered_tokens_have_communities(spark, monkeypatch):
+    """By the query's way: lists, numbers, communities of numbers, in one block and in several."""
+    r = random.Random(9)
+    lists = spark.createDataFrame([([r.choice("abcdefghi"[3 * (d % 3) :][:5]) for _ in range(5)],) for d in range(12)], "tokens array<string>")
+    want = {x for row in lists.collect() for x in row.tokens}
+    names, edges, _ = graph.numbered(lists)
+    name = {x.id: x.node for x in names.collect()}
+    plain = [(x.src, x.dst, x.weight) for x in edges.collect()]
+    for block in (1 << 21, 30):
+        monkeypatch.setattr(leiden, "BLOCK", block)
+        part = dict(leiden.communities_of_numbers(edges).collect())
+        assert {name[v] for v in part} == want and settled(plain, part)
